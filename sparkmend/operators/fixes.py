@@ -20,6 +20,7 @@ from ..functions.exprs import categorical_cols, clip_keep_null, coerce_numeric,
 from .quantiles import exact_quantiles
 
 MAX_LEVELS = 1000
+ONE_HOT_MAX = 100
 
 
 def _fit_rows(df: DataFrame, fit_on: DataFrame | str | None, split_col: str | None = None) -> DataFrame:
@@ -263,7 +264,16 @@ def apply_fixes(df: DataFrame, plan: DataFrame | list, target: str, split_col: s
         elif a == "impute_median":
             out = impute(out, [c for c in cols if c in out.columns], "median", fit_on=fit)
         elif a == "one_hot":
-            out = one_hot(out, [c for c in cols if c in out.columns], drop_first=True, fit_on=fit)
+            # text with more than ONE_HOT_MAX levels is an identifier, not a
+            # category: it is dropped instead of widened into thousands of columns
+            enc, wide = [], []
+            for c in [c for c in cols if c in out.columns]:
+                try:
+                    levels(fit if fit is not None else out, c, ONE_HOT_MAX)
+                    enc.append(c)
+                except ValueError:
+                    wide.append(c)
+            out = one_hot(out.drop(*wide), enc, drop_first=True, fit_on=fit.drop(*wide) if fit is not None else None)
         elif a == "clip_iqr":
             k = json.loads(by_action[a][0]["params"]).get("k", DEFAULT_REWARD.clip_iqr_factor)
             out = clip_outliers(out, [c for c in cols if c in out.columns], k=k, fit_on=fit)
