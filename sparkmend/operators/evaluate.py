@@ -107,7 +107,9 @@ def evaluate_fix(
     spark = df.sparkSession
     task = task or detect_task(df, target, cfg)
     keys = [key] if isinstance(key, str) else list(key)
-    d = train_test_split(df, keys, cfg.test_size, cfg.random_state)
+    # the split input feeds both scores and every fit pass of the repair:
+    # kept once (memory, spilling to disk) and released by the caller's GC
+    d = train_test_split(df, keys, cfg.test_size, cfg.random_state).persist()
     before = baseline_score(d, target, keys, task, cfg)
     err = None
     fixed = d

@@ -61,38 +61,10 @@ def validate_feature(before_cols: Sequence[str], after: DataFrame, non_null: dic
 
 
 def _moments(df: DataFrame, cols: list[str], y: str, shift: np.ndarray, yshift: float):
-    """Sums over rows of z = [x - shift, y - yshift]: n, sum z, z'z (mapInPandas
-    partials summed by Spark)."""
-    import pandas as pd
-
-    names = [f"x{i}" for i in range(len(cols))] + ["yv"]
-    sel = df.select(*[F.col(q(c)).cast("double").alias(n) for c, n in zip(cols, names[:-1])], F.col(q(y)).cast("double").alias("yv"))
-    sh = np.append(shift, yshift)
-    m = len(names)
-
-    def part(batches):
-        n = 0
-        s = np.zeros(m)
-        g = np.zeros((m, m))
-        for pdf in batches:
-            z = pdf[names].to_numpy(dtype=float) - sh
-            n += len(z)
-            s += z.sum(axis=0)
-            g += z.T @ z
-        yield pd.DataFrame({"i": np.repeat(np.arange(m), m + 2), "j": np.tile(np.arange(m + 2), m), "v": np.concatenate([np.append(np.append(g[i], s[i]), n) for i in range(m)])})
-
-    tot = sel.mapInPandas(part, "i long, j long, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    G = np.zeros((m, m))
-    S = np.zeros(m)
-    n = 0.0
-    for r in tot:
-        if r["j"] < m:
-            G[r["i"], r["j"]] = r["v"]
-        elif r["j"] == m:
-            S[r["i"]] = r["v"]
-        else:
-            n = r["v"]
-    return n, S, G
+    """Sums over rows of z = [x - shift, y - yshift]: n, sum z, z'z."""
+    from .gram import moments
+
+    return moments(df, list(cols) + [y], shift=np.append(shift, yshift))[0]
 
 
 def _ridge_rmse(idx: list[int], tr, te, alpha: float = 1.0) -> float:

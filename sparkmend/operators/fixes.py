@@ -20,7 +20,7 @@ from ..functions.exprs import categorical_cols, clip_keep_null, coerce_numeric,
 from .quantiles import exact_quantiles
 
 MAX_LEVELS = 1000
-ONE_HOT_MAX = 100
+ONE_HOT_MAX = 50
 
 
 def _fit_rows(df: DataFrame, fit_on: DataFrame | str | None, split_col: str | None = None) -> DataFrame:
@@ -180,11 +180,13 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight", fit_on: Dat
     (one row per class) is broadcast."""
     src = df if fit_on is None else fit_on
     counts = src.where(F.col(q(label)).isNotNull()).groupBy(F.col(q(label)).alias("__cls")).agg(F.count("*").alias("__nc"))
+    # internal names differ from any ``out`` name
     from pyspark.sql import Window
 
     every = Window.partitionBy()  # over the class table only (one row per class)
-    w = counts.select("__cls", (F.sum("__nc").over(every) / (F.count("*").over(every) * F.col("__nc"))).alias("__w"))
-    return df.join(F.broadcast(w), df[label].eqNullSafe(w["__cls"]), "left").withColumn(out, F.col("__w")).drop("__cls", "__w")
+    w = counts.select("__cls", (F.sum("__nc").over(every) / (F.count("*").over(every) * F.col("__nc"))).alias("__bw_val"))
+    joined = df.join(F.broadcast(w), df[label].eqNullSafe(w["__cls"]), "left")
+    return joined.withColumn(out, F.col("__bw_val")).drop("__cls", "__bw_val")
 
 
 # ── report -> plan -> apply ─────────────────────────────────────────────────

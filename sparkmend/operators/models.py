@@ -42,13 +42,23 @@ class LinearStats:
 
 def linear_stats(df: DataFrame, feats: Sequence[str], y: str) -> LinearStats:
     """n, means, population covariances of features and target (rows with
-    any missing value in feats / y are skipped)."""
+    any missing value in feats / y are skipped).  Up to 4 features: one
+    fused ``covar_pop`` aggregate; more: Gram partials (``gram.moments``),
+    which keep the generated code small and the pass vectorised."""
     feats = list(feats)
-    d = df.na.drop(subset=feats + [y]) if feats else df.na.drop(subset=[y])
+    p = len(feats)
+    if p > 4:
+        from .gram import moments
+
+        (n, S, G), shift = moments(df, feats + [y])
+        n = max(n, 1.0)
+        mz = S / n
+        C = G / n - np.outer(mz, mz)
+        return LinearStats(feats, int(n), shift[:p] + mz[:p], float(shift[p] + mz[p]), C[:p, :p], C[:p, p], float(C[p, p]))
+    d = df.na.drop(subset=feats + [y])
     xs = [F.col(q(c)).cast("double") for c in feats]
     yy = F.col(q(y)).cast("double")
     exprs = [F.count(F.lit(1)).alias("n"), F.avg(yy).alias("my"), F.var_pop(yy).alias("vy")]
-    p = len(feats)
     for i in range(p):
         exprs.append(F.avg(xs[i]).alias(f"m{i}"))
         exprs.append(F.covar_pop(xs[i], yy).alias(f"cy{i}"))

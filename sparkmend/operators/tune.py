@@ -98,39 +98,11 @@ def search_space(spark, space: str, n: int, seed: int = 42) -> DataFrame:
 
 def fold_moments(df: DataFrame, feats: Sequence[str], y: str, fold_col: str, k: int):
     """{fold: (n, S, G)} sums of z = [x, y] - shift per fold, one pass."""
-    feats = list(feats)
-    means = df.agg(*[F.avg(F.col(q(c)).cast("double")).alias(f"m{i}") for i, c in enumerate(feats + [y])]).first()
-    sh = np.array([means[f"m{i}"] or 0.0 for i in range(len(feats) + 1)])
-    names = [f"x{i}" for i in range(len(feats))] + ["yv"]
-    sel = df.select(F.col(q(fold_col)).alias("f"), *[F.col(q(c)).cast("double").alias(n) for c, n in zip(feats + [y], names)])
-    m = len(names)
-
-    def part(batches):
-        acc = {}
-        for pdf in batches:
-            for f, g in pdf.groupby("f"):
-                z = g[names].to_numpy(dtype=float) - sh
-                n0, s0, g0 = acc.get(f, (0, np.zeros(m), np.zeros((m, m))))
-                acc[f] = (n0 + len(z), s0 + z.sum(axis=0), g0 + z.T @ z)
-        rows = []
-        for f, (n0, s0, g0) in acc.items():
-            vec = np.concatenate([[n0], s0, g0.ravel()])
-            rows.append(pd.DataFrame({"f": f, "idx": np.arange(len(vec)), "v": vec}))
-        if rows:
-            yield pd.concat(rows)
-
-    tot = sel.mapInPandas(part, "f long, idx long, v double").groupBy("f", "idx").agg(F.sum("v").alias("v")).collect()
-    out = {f: [0.0, np.zeros(m), np.zeros((m, m))] for f in range(k)}
-    for r in tot:
-        f, i, v = int(r["f"]), int(r["idx"]), r["v"]
-        if i == 0:
-            out[f][0] = v
-        elif i <= m:
-            out[f][1][i - 1] = v
-        else:
-            j = i - 1 - m
-            out[f][2][j // m, j % m] = v
-    return {f: tuple(v) for f, v in out.items()}
+    from .gram import moments
+
+    res, _shift = moments(df, list(feats) + [y], by=fold_col)
+    m = len(feats) + 1
+    return {f: res.get(f, (0.0, np.zeros(m), np.zeros((m, m)))) for f in range(k)}
 
 
 def _linear_from_moments(n, S, G, kind, params):
@@ -157,45 +129,61 @@ def _acc(pred: DataFrame, label: str, p: str) -> float:
     return M.metric_value(pred, label, p, "accuracy")
 
 
-def cv_score(df: DataFrame, fold_col: str, k: int, feats: Sequence[str], label: str, params: dict, task: str, log_target: bool = False, moments=None, weight_col: str | None = None) -> list[float]:
-    """Per-fold scores (accuracy or RMSE) of one parameter set."""
+def _fold_score(df: DataFrame, fold_col: str, f: int, feats, label: str, params: dict, task: str, log_target: bool, weight_col: str | None) -> float:
     model = params.get("model", "knn")
-    scores = []
-    if model in ("ridge", "lasso", "elasticnet", "ols") and not log_target:
-        tot_n = sum(v[0] for v in moments.values())
-        tot_s = sum(v[1] for v in moments.values())
-        tot_g = sum(v[2] for v in moments.values())
-        for f in range(k):
-            n, S, G = moments[f]
-            w, b = _linear_from_moments(tot_n - n, tot_s - S, tot_g - G, model, params)
-            scores.append(_rmse_from_moments(w, b, n, S, G))
-        return scores
-    for f in range(k):
-        tr = df.where(F.col(q(fold_col)) != f)
-        va = df.where(F.col(q(fold_col)) == f)
-        if task == "classification":
-            if model == "knn":
-                pred = knn_classify(tr, va, "__key", label, k=params["n_neighbors"], weights=params.get("weights", "uniform"), feats=feats, metric=params.get("metric", "euclidean"), p=float(params.get("p", 2)))
-                scores.append(_acc(pred, label, "prediction"))
-            else:
-                mp = dict(params)
-                if mp.get("max_features") not in (None, "sqrt", "log2"):
-                    mp["max_features"] = str(mp["max_features"])
-                wc = weight_col if params.get("class_weight") == "balanced" else None
-                fit = M.fit_classifier(tr, feats, label, "rf" if model == "rf" else "gbt", mp, weight_col=wc)
-                scores.append(_acc(fit.predict(va), label, "pred_label"))
+    tr = df.where(F.col(q(fold_col)) != f)
+    va = df.where(F.col(q(fold_col)) == f)
+    if task == "classification":
+        if model == "knn":
+            pred = knn_classify(tr, va, "__key", label, k=params["n_neighbors"], weights=params.get("weights", "uniform"), feats=feats, metric=params.get("metric", "euclidean"), p=float(params.get("p", 2)))
+            return _acc(pred, label, "prediction")
+        wc = weight_col if params.get("class_weight") == "balanced" else None
+        fit = M.fit_classifier(tr, feats, label, "rf" if model == "rf" else "gbt", params, weight_col=wc)
+        return _acc(fit.predict(va), label, "pred_label")
+    ycol = "__ylog" if log_target else label
+    if model == "gbt_r":
+        mdl = M.fit_gbt_regressor(tr, feats, ycol, params)
+        pr = M.predict_regressor(mdl, va, feats, "__p")
+    else:
+        lm = M.fit_linear(tr, feats, ycol, model if model != "ols" else "linear", params.get("alpha", 1.0), params.get("l1_ratio", 0.5))
+        pr = va.withColumn("__p", lm.predict_col())
+    if log_target:
+        pr = pr.withColumn("__p", F.expm1(F.least(F.greatest(F.col("__p"), F.lit(-10.0)), F.lit(20.0))))
+    return M.metric_value(pr, label, "__p", "rmse")
+
+
+def cv_scores(df: DataFrame, fold_col: str, k: int, feats, label: str, trials: list[dict], task: str, log_target: bool = False, moments=None, weight_col: str | None = None, parallelism: int = 4) -> list[list[float]]:
+    """Per-trial, per-fold scores.  Linear-family trials come from the fold
+    moments (no pass); every other (trial, fold) fit is a Spark job
+    submitted from a thread pool, so small fits overlap on the cluster
+    (as CrossValidator's ``parallelism`` does)."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    out: list[list[float]] = [[float("nan")] * k for _ in trials]
+    jobs = []
+    for t, params in enumerate(trials):
+        model = params.get("model", "knn")
+        if model in ("ridge", "lasso", "elasticnet", "ols") and not log_target and moments is not None:
+            tot_n = sum(v[0] for v in moments.values())
+            tot_s = sum(v[1] for v in moments.values())
+            tot_g = sum(v[2] for v in moments.values())
+            for f in range(k):
+                n, S, G = moments[f]
+                w, b = _linear_from_moments(tot_n - n, tot_s - S, tot_g - G, model, params)
+                out[t][f] = _rmse_from_moments(w, b, n, S, G)
         else:
-            ycol = "__ylog" if log_target else label
-            if model == "gbt_r":
-                mdl = M.fit_gbt_regressor(tr, feats, ycol, params)
-                pr = M.predict_regressor(mdl, va, feats, "__p")
-            else:
-                lm = M.fit_linear(tr, feats, ycol, model if model != "ols" else "linear", params.get("alpha", 1.0), params.get("l1_ratio", 0.5))
-                pr = va.withColumn("__p", lm.predict_col())
-            if log_target:
-                pr = pr.withColumn("__p", F.expm1(F.least(F.greatest(F.col("__p"), F.lit(-10.0)), F.lit(20.0))))
-            scores.append(M.metric_value(pr, label, "__p", "rmse"))
-    return scores
+            jobs += [(t, f) for f in range(k)]
+    if jobs:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            futs = {pool.submit(_fold_score, df, fold_col, f, feats, label, trials[t], task, log_target, weight_col): (t, f) for t, f in jobs}
+            for fu, (t, f) in futs.items():
+                out[t][f] = fu.result()
+    return out
+
+
+def cv_score(df: DataFrame, fold_col: str, k: int, feats: Sequence[str], label: str, params: dict, task: str, log_target: bool = False, moments=None, weight_col: str | None = None) -> list[float]:
+    """Per-fold scores (accuracy or RMSE) of one parameter set."""
+    return cv_scores(df, fold_col, k, feats, label, [params], task, log_target, moments, weight_col)[0]
 
 
 TRIAL_SCHEMA = "trial int, model string, params string, metric string, score double, fold_scores string"
@@ -249,8 +237,8 @@ def tune(
             rows = _tune_knn(d, feats, target, cv_folds, trials)
             base = float(np.mean(cv_score(d, "fold", cv_folds, feats, target, {"model": "knn", "n_neighbors": 5}, task)))
         else:
-            for t, params in enumerate(trials):
-                sc = cv_score(d, "fold", cv_folds, feats, target, params, task, preset == "log_target", moments, weight_col)
+            all_sc = cv_scores(d, "fold", cv_folds, feats, target, trials, task, preset == "log_target", moments, weight_col)
+            for t, (params, sc) in enumerate(zip(trials, all_sc)):
                 rows.append((t, params.get("model", "knn"), json.dumps(params, sort_keys=True), metric, float(np.mean(sc)), json.dumps([round(s, 6) for s in sc])))
             if task == "classification":
                 base = float(np.mean(cv_score(d, "fold", cv_folds, feats, target, {"model": "rf", "n_estimators": 100, "max_depth": None, "max_features": "sqrt"}, task)))

@@ -290,3 +290,62 @@ def q_drop_report(spark, sf):
 @query("heatmap_data")
 def q_heatmap_data(spark, sf):
     return _filtered(spark, sf)[3]
+
+
+# ── SQL oracles for the greedy redundancy walk (recursive CTE) ──────────────
+
+
+def _walk_sql() -> str:
+    """tc: |r| to the target (raw and 4-dp); pairs among the features kept by
+    the weak-feature step, ranked; the walk carries the dropped list."""
+    feats = LI_FEATS
+    tc = union(
+        [
+            f"SELECT '{c}' AS col, {i} AS ord, abs({guarded_corr_sql(c, TGT_SQL)}) AS raw, round(abs({guarded_corr_sql(c, TGT_SQL)}), 4) AS t FROM {_LCF}"
+            for i, c in enumerate(feats)
+        ]
+    )
+    allpairs = union(
+        [
+            f"SELECT '{a}' AS a, '{b}' AS b, {i} AS i, {j} AS j, abs({guarded_corr_sql(a, b)}) AS v FROM {_LCF}"
+            for i, a in enumerate(feats)
+            for j, b in enumerate(feats)
+            if i < j
+        ]
+    )
+    return f"""WITH RECURSIVE tc AS ({tc}),
+kept1 AS (SELECT col FROM tc WHERE raw >= 0.1),
+pairs AS (SELECT a, b, row_number() OVER (ORDER BY v DESC, i, j) AS rk FROM ({allpairs})
+          WHERE v > 0.9 AND a IN (SELECT col FROM kept1) AND b IN (SELECT col FROM kept1)),
+walk(rk, dropped) AS (
+  SELECT 0, CAST([] AS VARCHAR[])
+  UNION ALL
+  SELECT w.rk + 1,
+         CASE WHEN list_contains(w.dropped, p.a) OR list_contains(w.dropped, p.b) THEN w.dropped
+              WHEN ta.t >= tb.t THEN list_append(w.dropped, p.b)
+              ELSE list_append(w.dropped, p.a) END
+  FROM walk w JOIN pairs p ON p.rk = w.rk + 1 JOIN tc ta ON ta.col = p.a JOIN tc tb ON tb.col = p.b),
+final AS (SELECT dropped FROM walk ORDER BY rk DESC LIMIT 1)"""
+
+
+from .registry import ORACLES  # noqa: E402
+
+ORACLES["drop_redundant"] = _walk_sql() + "\nSELECT unnest(dropped) AS col_name FROM final"
+ORACLES["drop_report"] = (
+    _walk_sql()
+    + """
+SELECT col AS col_name, t AS abs_target_corr,
+       CASE WHEN raw < 0.1 THEN 'low_target_corr' WHEN list_contains((SELECT dropped FROM final), col) THEN 'redundant' ELSE 'kept' END AS status
+FROM tc"""
+)
+_HEAT_COLS = LI_FEATS + [TGT]
+ORACLES["heatmap_data"] = (
+    _walk_sql()
+    + ",\nsurv AS (SELECT col FROM kept1 WHERE NOT list_contains((SELECT dropped FROM final), col) UNION ALL SELECT '"
+    + TGT
+    + "')\nSELECT * FROM ("
+    + union(
+        [f"SELECT '{a}' AS row, '{b}' AS col, round({guarded_corr_sql(a, b)}, 2) AS corr FROM {_LCF}" for a in _HEAT_COLS for b in _HEAT_COLS]
+    )
+    + ") WHERE row IN (SELECT col FROM surv) AND col IN (SELECT col FROM surv)"
+)

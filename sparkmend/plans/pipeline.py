@@ -42,6 +42,7 @@ def run_pipeline(
         step += 1
         summary.append((step, stage, status, metric, None if value is None else float(value), detail))
 
+    df = df.persist()  # profiled, planned and scored in several passes
     try:
         task = P.detect_task(df, target, cfg)
         note("task", "ok", "n_classes_max", cfg.max_classes, task)
@@ -72,3 +73,10 @@ def run_pipeline(
         note("pipeline", "error", None, None, f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}")
     out["summary"] = spark.createDataFrame(summary, SUMMARY_SCHEMA)
     return out
+
+
+def release(result: dict) -> None:
+    """Drop cached frames held by a pipeline result."""
+    for v in result.values():
+        if isinstance(v, DataFrame) and v.is_cached:
+            v.unpersist()

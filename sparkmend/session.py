@@ -26,9 +26,39 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "spa
     )
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set = set()
+_ZIP: str | None = None
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers once per
+    SparkContext (``addPyFile`` of a zip built on the driver), so pandas
+    UDFs that call package functions import on every executor."""
+    global _ZIP
+    sc = spark.sparkContext
+    if id(sc) in _SHIPPED:
+        return
+    if _ZIP is None:
+        import zipfile
+
+        root = os.path.dirname(os.path.abspath(__file__))
+        fd, path = tempfile.mkstemp(prefix="sparkmend-", suffix=".zip")
+        os.close(fd)
+        with zipfile.ZipFile(path, "w") as z:
+            for base, _dirs, files in os.walk(root):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(base, f)
+                        z.write(full, os.path.join("sparkmend", os.path.relpath(full, root)))
+        _ZIP = path
+    sc.addPyFile(_ZIP)
+    _SHIPPED.add(id(sc))
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; set a scratch one only when
     the session has none (local tests)."""

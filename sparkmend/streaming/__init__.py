@@ -1,0 +1,9 @@
+"""Streaming: intentionally empty.
+
+The reference has no watermark, window, state or late-data logic, so there
+is no streaming operator to rebuild.  Every operator in this package takes
+a DataFrame and returns a DataFrame, so a user can already apply the
+row-local repairs (casts, imputations with fitted literals, encoders,
+scalers, clips) inside ``foreachBatch`` of a stream; fitting statistics is a
+batch job over a table.
+"""
