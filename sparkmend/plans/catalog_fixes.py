@@ -11,7 +11,7 @@ from ..operators import profile as P
 from ..operators import split as S
 from ..sources import io
 from .catalog_profile import EV_HEALTH_SRC, HEALTH_SQL, _events_health_input
-from .common import faulted_events, faulted_events_sql, rounded
+from .common import faulted_events, faulted_events_sql, memo, rounded
 from .registry import query
 from .sqlgen import guarded_corr_sql, r, union
 
@@ -264,6 +264,7 @@ def q_drop_low_target_corr(spark, sf):
     return spark.createDataFrame(rows, "col_name string, abs_corr double, dropped boolean")
 
 
+@memo
 def _filtered(spark, sf):
     d = lineitem_corr_frame(spark, sf).select(*LI_FEATS, TGT, "l_returnflag")
     return C.filter_features(d, TGT)

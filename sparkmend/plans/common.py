@@ -45,3 +45,22 @@ FROM (SELECT *, row_number() OVER (ORDER BY h1, event_id) AS r1,
                row_number() OVER (ORDER BY h2, event_id) AS r2,
                count(*) OVER () AS n
       FROM (SELECT *, {h1} AS h1, {h2} AS h2 FROM events)))"""
+
+
+_MEMO: dict = {}
+
+
+def memo(fn):
+    """Reuse one result per (SparkContext, sf_dir) for queries that are
+    views of the same parent run (e.g. best_trial and compare_tuning read the
+    trials of one tune run; drop_report and heatmap_data come from one
+    filter_features run)."""
+
+    def run(spark, sf):
+        k = (fn.__name__, id(spark.sparkContext), sf)
+        if k not in _MEMO:
+            _MEMO[k] = fn(spark, sf)
+        return _MEMO[k]
+
+    run.__name__ = fn.__name__
+    return run

@@ -16,6 +16,7 @@ from ..operators import features as FE
 from ..operators import fixes as FX
 from ..operators import profile as P
 from ..functions.exprs import numeric_cols
+from ..session import cut_lineage
 
 SUMMARY_SCHEMA = "step int, stage string, status string, metric string, value double, detail string"
 
@@ -60,7 +61,10 @@ def run_pipeline(
         note("repair", "error" if r["exec_error"] else "ok", r["metric"], r["after"], f"before={r['before']} reward={r['reward']}" + (f" error={r['exec_error']}" if r["exec_error"] else ""))
         if r["exec_error"]:
             raise RuntimeError(r["exec_error"])
-        fixed = fixed.drop(*[c for c in ("weight",) if c in fixed.columns])
+        # the repaired frame feeds the feature search and the filter (several
+        # passes): its lineage is cut with a reliable checkpoint in the
+        # cluster's shared checkpoint folder
+        fixed = cut_lineage(fixed.drop(*[c for c in ("weight",) if c in fixed.columns]))
         cands = FE.candidate_features(fixed, target, candidate_kinds, cols=[c for c in numeric_cols(fixed, exclude=[target, key])])
         feat_df, log = FE.greedy_features(fixed, target, cands, key, fcfg, cfg, task)
         out["features_log"] = log
