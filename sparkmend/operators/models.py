@@ -209,7 +209,7 @@ def fit_classifier(train: DataFrame, feats: Sequence[str], y: str, model: str =
                 elasticNetParam=0.0,
                 standardization=False,
                 maxIter=int(params.get("max_iter", 1000)),
-                tol=1e-8,
+                tol=float(params.get("tol", 1e-6)),
             )
             if weight_col:
                 est.setWeightCol(weight_col)

@@ -139,12 +139,17 @@ def resolve(df: DataFrame, cols, probs, n, br, cfg: ProfileConfig = DEFAULT_PROF
     if ready:
         keys = list(ready)
         x_parts = []
+        any_in = F.lit(False)
         for t, key in enumerate(keys):
             i, _j = key
             lo, hi, _below = ready[key]
-            x_parts.append(F.when(_between(xs[i], lo, hi), F.struct(F.lit(t).alias("pair"), xs[i].alias("v"))))
+            inside = _between(xs[i], lo, hi)
+            any_in = any_in | inside
+            x_parts.append(F.when(inside, F.struct(F.lit(t).alias("pair"), xs[i].alias("v"))))
+        # only rows inside some bracket build the pair array
         exploded = (
-            df.select(F.explode(F.filter(F.array(*x_parts), lambda s: s.isNotNull())).alias("s"))
+            df.where(any_in)
+            .select(F.explode(F.filter(F.array(*x_parts), lambda s: s.isNotNull())).alias("s"))
             .select("s.pair", "s.v")
             .groupBy("pair", "v")
             .count()
