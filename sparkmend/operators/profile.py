@@ -252,10 +252,21 @@ def wrong_dtypes_exprs(df: DataFrame, cols):
     return out
 
 
-def wrong_dtypes(df: DataFrame, cols=None) -> DataFrame:
+def wrong_dtypes(df: DataFrame, cols=None, sample: int | None = None, key: str | None = None) -> DataFrame:
     """(column, dtype, n_checked, n_bad, message) for string columns whose
-    every non-missing value parses as a number (full scan, one pass)."""
+    every non-missing value parses as a number (full scan, one pass).
+    ``sample=50, key=k`` checks only the first 50 non-missing values of each
+    column in key order (the reference's sample, made deterministic): one
+    bounded top-k per column."""
     cols = list(cols) if cols is not None else categorical_cols(df)
+    if sample is not None and key is not None and cols:
+        rows = []
+        for c in cols:
+            head = head_non_null(df, c, sample, key)
+            r = head.agg(*wrong_dtypes_exprs(head, [c])).first()
+            rows += _wrong_rows(r, [c])
+        return _frame(df.sparkSession, rows, _schema(
+            ("col_name", T.StringType()), ("dtype", T.StringType()), ("n_checked", T.LongType()), ("n_bad", T.LongType()), ("message", T.StringType())))
     spark = df.sparkSession
     schema = _schema(
         ("col_name", T.StringType()),

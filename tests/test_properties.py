@@ -208,3 +208,28 @@ def test_clip_keeps_null(spark):
     df = spark.createDataFrame([(float(i),) for i in range(20)] + [(1000.0,), (None,)], "x double")
     out = [r[0] for r in FX.clip_outliers(df, ["x"]).collect()]
     assert out[-1] is None and max(v for v in out if v is not None) < 1000
+
+
+def test_wrong_dtypes_sample_by_key(spark):
+    rows = [(i, str(i * 1.5) if i < 60 else "text") for i in range(100)]
+    df = spark.createDataFrame(rows, "k long, s string")
+    assert [r["col_name"] for r in P.wrong_dtypes(df, sample=50, key="k").collect()] == ["s"]
+    assert P.wrong_dtypes(df).count() == 0
+
+
+def test_histogram_density_integrates_to_one(spark):
+    docs = io.table(spark, SF, "documents")
+    h = P.histogram(docs, "n_chars", 40).collect()
+    assert len(h) == 40
+    total = sum(r["density"] * (r["hi"] - r["lo"]) for r in h)
+    assert total == pytest.approx(1.0)
+    assert sum(r["count"] for r in h) == docs.count()
+
+
+def test_extract_code_and_metric(spark):
+    texts = ["```python\nx = 1\n```", "pre ```Python\r\ny = 2\n``` post", "```\nz = 3\n```", "plain ```js text", "no fence"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r[0] for r in df.select(X.extract_code(F.col("t"))).collect()]
+    assert got == ["x = 1", "y = 2", "z = 3", "plain  text", "no fence"]
+    m = spark.createDataFrame([("step 3 New RMSLE: 0.4312",), ("nothing",)], "t string")
+    assert [r[0] for r in m.select(X.extract_metric(F.col("t"))).collect()] == [0.4312, None]
