@@ -96,9 +96,15 @@ def coerce_numeric(c: Column) -> Column:
     return F.when(F.isnan(v), F.lit(None).cast("double")).otherwise(v)
 
 
+# fixed values: the white-space characters stripped around text (space,
+# tab, newline, carriage return, vertical tab, form feed)
+WS_CHARS = " \t\n\r\x0b\x0c"
+
+
 def strip_ws(c: Column) -> Column:
-    """Remove leading and trailing white space (blanks, tabs, newlines)."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove leading and trailing white space (linear BTRIM, not a regex:
+    a trailing-space regex rescans long texts at every blank)."""
+    return F.trim(c, F.lit(WS_CHARS))
 
 
 def g1_skew(c: Column) -> Column:

@@ -179,6 +179,7 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight", fit_on: Dat
     """Row weight n / (k * n_class) (sklearn 'balanced'); the class table
     (one row per class) is broadcast."""
     src = df if fit_on is None else fit_on
+    levels(src, label, MAX_LEVELS)  # the class table is broadcast: its size is checked first
     counts = src.where(F.col(q(label)).isNotNull()).groupBy(F.col(q(label)).alias("__cls")).agg(F.count("*").alias("__nc"))
     # internal names differ from any ``out`` name
     from pyspark.sql import Window

@@ -128,9 +128,15 @@ def resolve(df: DataFrame, cols, probs, n, br, cfg: ProfileConfig = DEFAULT_PROF
                 x = xs[i]
                 nexprs.append(F.percentile_approx(F.when(_between(x, lo, hi), x), [plo, phi], acc).alias(f"n{t}"))
             nrow = df.agg(*nexprs).first()
-            for t, (key, _below, _inside) in enumerate(narrow):
+            for t, (key, below, _inside) in enumerate(narrow):
                 arr = nrow[f"n{t}"]
-                pending[key] = [arr[0], arr[1]]
+                if [arr[0], arr[1]] == pending[key]:
+                    # the sketch cannot split the bracket: it holds few
+                    # distinct values (ties), so the by-value gather is small
+                    ready[key] = (arr[0], arr[1], below)
+                    del pending[key]
+                else:
+                    pending[key] = [arr[0], arr[1]]
     if pending:  # pathological: fall back to gathering the whole bracket
         for key, (lo, hi) in pending.items():
             i, _ = key

@@ -354,7 +354,7 @@ def _extract_code_sql(c: str) -> str:
         f"WHEN regexp_matches({c}, '{anyf}') THEN regexp_extract({c}, '{anyf}', 1) "
         f"ELSE regexp_replace({c}, '{mark}', '', 'g') END"
     )
-    return f"regexp_replace({inner}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({inner}, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 
 
 @query("extract_code", f"SELECT conv_id, turn, {_extract_code_sql('reply')} AS code FROM (SELECT conv_id, turn, {_FENCED} AS reply FROM conversations)")

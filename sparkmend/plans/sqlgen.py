@@ -8,7 +8,7 @@ from ..functions.exprs import NUM_RE
 
 
 def strip_sql(c: str) -> str:
-    return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({c}, chr(32) || chr(9) || chr(10) || chr(13) || chr(11) || chr(12))"
 
 
 def parse_sql(c: str) -> str:

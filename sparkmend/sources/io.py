@@ -47,7 +47,9 @@ def sample_n(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
 def inject_nulls(df: DataFrame, fracs: dict, key: str, seed: int = 42, n_rows: int | None = None) -> DataFrame:
     """Set exactly int(n * frac) rows of each listed column to NULL; the
     rows are those with the smallest hash of (key, seed, column name), so
-    each column gets its own rows."""
+    each column gets its own rows.  ``key`` must be unique: rows sharing a
+    key share a hash, and the exact count is then broken arbitrarily among
+    them (and a hot key would land in the one ranked bucket)."""
     n = df.count() if n_rows is None else n_rows
     out = df
     for col, frac in fracs.items():
