@@ -97,13 +97,25 @@ def category_codes(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEV
     return df.withColumns(repl) if repl else df
 
 
-def category_codes_join(df: DataFrame, col: str) -> DataFrame:
+def category_codes_join(df: DataFrame, col: str, n_ranges: int | None = None) -> DataFrame:
+    """Codes for a column with many levels, without a single-task window:
+    the distinct levels are range-partitioned (sampled boundaries, so no
+    partition holds most levels), each range is numbered locally, and the
+    per-range counts (one row per range) give the offsets.  The level table
+    is persisted so the range assignment is computed once."""
     from pyspark.sql import Window
 
+    spark = df.sparkSession
+    n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     lv = df.select(F.col(q(col)).alias("__lv")).where(F.col("__lv").isNotNull()).distinct()
-    # window over the distinct level table only (one row per level)
-    ranked = lv.withColumn("__code", (F.row_number().over(Window.orderBy("__lv")) - 1).cast("int"))
-    out = df.join(ranked, df[col] == ranked["__lv"], "left")
+    ranged = lv.repartitionByRange(n_ranges, "__lv").withColumn("__pid", F.spark_partition_id()).persist()
+    counts = ranged.groupBy("__pid").agg(F.count("*").alias("__n"))
+    # one row per range: a window over this small table only
+    offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
+    codes = ranged.join(F.broadcast(offs), "__pid").withColumn(
+        "__code", (F.col("__off") + F.row_number().over(Window.partitionBy("__pid").orderBy("__lv")) - 1).cast("int")
+    ).select("__lv", "__code")
+    out = df.join(codes, df[col] == codes["__lv"], "left")
     return out.withColumn(col, F.coalesce(F.col("__code"), F.lit(-1)).cast("int")).drop("__lv", "__code")
 
 

@@ -298,7 +298,17 @@ def q_candidate_features(spark, sf):
     return rounded(d.select("p_partkey", *[c.alias(n) for n, (c, _s) in cands.items()]))
 
 
-@query("validate_feature")
+_VALIDATE_SQL = """SELECT 'fe_price_per_size' AS attempt, count(CASE WHEN p_size = 0 THEN NULL ELSE p_retailprice / p_size END) > 0 AS ok,
+       CASE WHEN count(CASE WHEN p_size = 0 THEN NULL ELSE p_retailprice / p_size END) > 0 THEN 'fe_price_per_size'
+            ELSE 'New column ''fe_price_per_size'' is entirely NaN' END AS detail FROM part
+UNION ALL SELECT 'bad_feature', false, 'New column ''bad_feature'' does not start with ''fe_'''
+UNION ALL SELECT 'fe_empty', count(CASE WHEN p_size < 0 THEN 1.0 END) > 0,
+       CASE WHEN count(CASE WHEN p_size < 0 THEN 1.0 END) > 0 THEN 'fe_empty' ELSE 'New column ''fe_empty'' is entirely NaN' END FROM part
+UNION ALL SELECT 'two_new', false, 'Expected 1 new column, got 2: [''fe_a'', ''fe_b'']'
+UNION ALL SELECT 'none_new', false, 'No new column was added'"""
+
+
+@query("validate_feature", _VALIDATE_SQL)
 def q_validate_feature(spark, sf):
     d = T(spark, sf, "part")
     before = d.columns

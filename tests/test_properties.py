@@ -233,3 +233,12 @@ def test_extract_code_and_metric(spark):
     assert got == ["x = 1", "y = 2", "z = 3", "plain  text", "no fence"]
     m = spark.createDataFrame([("step 3 New RMSLE: 0.4312",), ("nothing",)], "t string")
     assert [r[0] for r in m.select(X.extract_metric(F.col("t"))).collect()] == [0.4312, None]
+
+
+def test_category_codes_join_equals_sorted_rank(spark):
+    vals = [f"lv{(i * 7919) % 1000:04d}" for i in range(3000)] + [None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "k long, s string").repartition(5)
+    got = {r["k"]: r["s"] for r in FX.category_codes_join(df, "s", n_ranges=7).collect()}
+    order = {v: i for i, v in enumerate(sorted({v for v in vals if v is not None}))}
+    for k, v in enumerate(vals):
+        assert got[k] == (order[v] if v is not None else -1)
