@@ -152,7 +152,7 @@ def _fold_score(df: DataFrame, fold_col: str, f: int, feats, label: str, params:
     return M.metric_value(pr, label, "__p", "rmse")
 
 
-def cv_scores(df: DataFrame, fold_col: str, k: int, feats, label: str, trials: list[dict], task: str, log_target: bool = False, moments=None, weight_col: str | None = None, parallelism: int = 4) -> list[list[float]]:
+def cv_scores(df: DataFrame, fold_col: str, k: int, feats, label: str, trials: list[dict], task: str, log_target: bool = False, moments=None, weight_col: str | None = None, parallelism: int | None = None) -> list[list[float]]:
     """Per-trial, per-fold scores.  Linear-family trials come from the fold
     moments (no pass); every other (trial, fold) fit is a Spark job
     submitted from a thread pool, so small fits overlap on the cluster
@@ -174,7 +174,10 @@ def cv_scores(df: DataFrame, fold_col: str, k: int, feats, label: str, trials: l
         else:
             jobs += [(t, f) for f in range(k)]
     if jobs:
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        # tree learners on small folds run many one-task jobs: up to 8 fits
+        # at once keep the cluster's cores busy
+        parallelism = parallelism or max(1, min(8, df.sparkSession.sparkContext.defaultParallelism))
+        with ThreadPoolExecutor(max_workers=parallelism) as pool:
             futs = {pool.submit(_fold_score, df, fold_col, f, feats, label, trials[t], task, log_target, weight_col): (t, f) for t, f in jobs}
             for fu, (t, f) in futs.items():
                 out[t][f] = fu.result()
