@@ -81,6 +81,27 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_lev
     return df.select(*keep, *dummies)
 
 
+def one_hot_vector(df: DataFrame, col: str, out: str | None = None, drop_first: bool = True, fit_on: DataFrame | None = None) -> DataFrame:
+    """Wide case of ``one_hot``: one sparse vector column instead of one
+    column per level (Spark ML StringIndexer in sorted level order +
+    OneHotEncoder).  Spark ML drops the *last* slot, so all slots are kept
+    and slot 0 (the first sorted level) is sliced off for drop_first.
+    Missing and unseen levels -> an all-zero vector."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorSlicer
+
+    out = out or f"{col}_vec"
+    src = df if fit_on is None else fit_on
+    idx = StringIndexer(inputCol=col, outputCol="__idx", stringOrderType="alphabetAsc", handleInvalid="keep").fit(src)
+    n = len(idx.labels)
+    enc = OneHotEncoder(inputCols=["__idx"], outputCols=["__vec"], dropLast=True, handleInvalid="keep").fit(idx.transform(src))
+    # handleInvalid=keep adds one slot for missing/unseen; dropLast removes it,
+    # so the vector has exactly one slot per level
+    d = enc.transform(idx.transform(df))
+    first = 1 if drop_first else 0
+    d = VectorSlicer(inputCol="__vec", outputCol=out, indices=list(range(first, n))).transform(d)
+    return d.drop("__idx", "__vec", col)
+
+
 def category_codes(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> DataFrame:
     """String -> position of its level in sorted order; missing -> -1.
     Few levels: a literal map lookup (no join).  Many levels: the distinct

@@ -6,13 +6,14 @@ column ends in one task holding the column.  Here the work is:
 
 1. one pass: ``count`` and ``percentile_approx`` at p +- delta for every
    (column, p) (mergeable sketches, partial aggregation);
-2. one pass: rows below / inside each bracket (``count_if``), which checks
-   that the bracket holds the wanted order statistics; a missed side is
-   widened, an over-full bracket is narrowed by another sketch pass over
-   the bracket rows only;
-3. one pass: ``groupBy(pair, value).count()`` over bracket rows, which is
-   bounded by the bracket size (ties collapse map-side), gathered and
-   walked on the driver.
+2. one pass: rows below each bracket and the bracket's values, grouped by
+   (pair, value) -- ties and the below-rows collapse map-side, so the result
+   is bounded by the distinct values inside the brackets (about
+   4n/accuracy); the driver walks it to the wanted order statistics.
+   This path is taken only while 4n/accuracy stays under the gather bound;
+3. otherwise (or when a bracket misses the wanted ranks) a checked loop:
+   ``count_if`` below / inside, widen a missed side, narrow an over-full
+   bracket by another sketch pass over the bracket rows only, then gather.
 
 The quantile definition is the linear one (h = (n-1)p, interpolate
 between order statistics floor(h) and ceil(h)).
@@ -69,7 +70,9 @@ def _between(x, lo, hi):
 
 
 def resolve(df: DataFrame, cols, probs, n, br, cfg: ProfileConfig = DEFAULT_PROFILE) -> dict:
-    """Passes 2-3: exact values.  Returns {(col_index, prob_index): value}."""
+    """Exact values from the pass-1 brackets.  Returns {(col_index,
+    prob_index): value}.  Usually one more pass (count below + gather by
+    value); the checked widen / narrow loop handles the rest."""
     result: dict = {}
     targets = {}
     pending = {}
@@ -82,6 +85,20 @@ def resolve(df: DataFrame, cols, probs, n, br, cfg: ProfileConfig = DEFAULT_PROF
             targets[(i, j)] = (int(math.floor(h)), int(math.ceil(h)), h)
             pending[(i, j)] = list(br[(i, j)])
     xs = {i: F.col(q(c)).cast("double") for i, c in enumerate(cols)}
+    # one-pass path: when the bracket is expected to hold few values
+    # (about 4n/accuracy), count the rows below it and gather its values by
+    # value in the same job; brackets that turn out not to contain the wanted
+    # ranks go on to the checked loop below
+    fast = [key for key in pending if 4.0 * n[key[0]] / cfg.quantile_accuracy <= cfg.quantile_max_bracket]
+    if fast:
+        got = _count_and_gather(df, xs, [(t, key[0], *pending[key]) for t, key in enumerate(fast)])
+        for t, key in enumerate(fast):
+            below, vals = got.get(t, (0, []))
+            klo, khi, h = targets[key]
+            if below <= klo and below + sum(c for _v, c in vals) > khi:
+                a, b = _at(vals, below, klo), _at(vals, below, khi)
+                result[key] = a + (b - a) * (h - klo)
+                del pending[key]
     ready = {}
     for _round in range(12):
         if not pending:
@@ -182,6 +199,45 @@ def resolve(df: DataFrame, cols, probs, n, br, cfg: ProfileConfig = DEFAULT_PROF
     return result
 
 
+def _at(vals, below: int, k: int):
+    """k-th (0-based) order statistic from the rows below a bracket and the
+    bracket's sorted (value, count) pairs."""
+    pos = below
+    for v, cnt in vals:
+        pos += cnt
+        if k < pos:
+            return v
+    return vals[-1][0]
+
+
+def _count_and_gather(df: DataFrame, xs: dict, items) -> dict:
+    """{t: (rows below, sorted [(value, count)] inside)} for (t, col, lo, hi)
+    items, in one grouped job (ties and the below-rows collapse map-side)."""
+    parts = []
+    for t, i, lo, hi in items:
+        x = xs[i]
+        below = F.coalesce(x < F.lit(lo), F.lit(False)) if lo is not None else F.lit(False)
+        parts.append(
+            F.when(below, F.struct(F.lit(t).alias("pair"), F.lit(None).cast("double").alias("v"))).when(
+                _between(x, lo, hi), F.struct(F.lit(t).alias("pair"), x.alias("v"))
+            )
+        )
+    grouped = (
+        df.select(F.explode(F.filter(F.array(*parts), lambda z: z.isNotNull())).alias("z"))
+        .select("z.pair", "z.v")
+        .groupBy("pair", "v")
+        .count()
+    )
+    out: dict = {}
+    for r in grouped.collect():  # rows: one per pair for the below-count + distinct bracket values
+        b, vals = out.setdefault(r["pair"], [0, []])
+        if r["v"] is None:
+            out[r["pair"]][0] = r["count"]
+        else:
+            vals.append((r["v"], r["count"]))
+    return {t: (b, sorted(vals)) for t, (b, vals) in out.items()}
+
+
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], cfg: ProfileConfig = DEFAULT_PROFILE) -> dict:
     """{column: [value per prob]} of linear-interpolated exact quantiles."""
     cols = list(cols)

@@ -242,3 +242,10 @@ def test_category_codes_join_equals_sorted_rank(spark):
     order = {v: i for i, v in enumerate(sorted({v for v in vals if v is not None}))}
     for k, v in enumerate(vals):
         assert got[k] == (order[v] if v is not None else -1)
+
+
+def test_one_hot_vector_matches_columns(spark):
+    df = spark.createDataFrame([("b",), ("a",), (None,), ("c",)], "s string")
+    vec = [list(r[0].toArray()) for r in FX.one_hot_vector(df, "s").collect()]
+    cols = [list(map(float, r)) for r in FX.one_hot(df, ["s"]).collect()]
+    assert vec == cols
