@@ -299,3 +299,26 @@ def metric(df: DataFrame, y: str, p: str, kind: str) -> DataFrame:
 def metric_value(df: DataFrame, y: str, p: str, kind: str) -> float:
     v = metric(df, y, p, kind).first()[0]
     return float("nan") if v is None else float(v)
+
+
+def fit_log_target(train: DataFrame, feats: Sequence[str], y: str, kind: str = "linear", params: dict | None = None):
+    """Log-target regression: fit on log1p(y), predict expm1 of the
+    prediction clipped to [-10, 20] (back on the original scale).  Returns a
+    function DataFrame -> DataFrame adding ``prediction``."""
+    from ..functions.exprs import expm1_clip
+
+    params = dict(params or {})
+    tr = train.withColumn("__ylog", F.log1p(F.col(q(y)).cast("double")))
+    if kind == "gbt_r":
+        mdl = fit_gbt_regressor(tr, feats, "__ylog", params)
+
+        def predict(df: DataFrame) -> DataFrame:
+            return predict_regressor(mdl, df, feats, "__plog").withColumn("prediction", expm1_clip(F.col("__plog"))).drop("__plog")
+
+        return predict
+    lm = fit_linear(tr, feats, "__ylog", kind, params.get("alpha", 1.0), params.get("l1_ratio", 0.5))
+
+    def predict(df: DataFrame) -> DataFrame:
+        return df.withColumn("prediction", expm1_clip(lm.predict_col()))
+
+    return predict

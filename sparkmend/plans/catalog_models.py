@@ -125,10 +125,10 @@ pr AS (SELECT l_extendedprice AS y, exp(least(greatest(a + b * l_quantity, -10.0
 SELECT round(sqrt(avg((y - p) * (y - p))), 6) AS rmse, round(sqrt(avg(power(ln(1 + y) - ln(1 + greatest(p, 0)), 2))), 6) AS rmsle FROM pr""",
 )
 def q_log_target_regression(spark, sf):
-    d = lineitem_split(spark, sf).withColumn("__ylog", F.log1p("l_extendedprice"))
-    lm = M.fit_linear(d.where(~F.col("is_test")), ["l_quantity"], "__ylog", "linear")
-    pr = d.where(F.col("is_test")).withColumn("__p", F.expm1(F.least(F.greatest(lm.predict_col(), F.lit(-10.0)), F.lit(20.0))))
-    return rounded(pr.agg(M.rmse_expr("l_extendedprice", "__p").alias("rmse"), M.rmsle_expr("l_extendedprice", "__p").alias("rmsle")))
+    d = lineitem_split(spark, sf)
+    predict = M.fit_log_target(d.where(~F.col("is_test")), ["l_quantity"], "l_extendedprice", "linear")
+    pr = predict(d.where(F.col("is_test")))
+    return rounded(pr.agg(M.rmse_expr("l_extendedprice", "prediction").alias("rmse"), M.rmsle_expr("l_extendedprice", "prediction").alias("rmsle")))
 
 
 # ── metrics ─────────────────────────────────────────────────────────────────
