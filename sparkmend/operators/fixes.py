@@ -11,26 +11,18 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import DEFAULT_PROFILE, DEFAULT_REWARD, ProfileConfig
-from ..functions.exprs import categorical_cols, clip_keep_null, coerce_numeric, numeric_cols, q
+from ..config import DEFAULT_REWARD
+from ..functions.exprs import clip_keep_null, coerce_numeric, numeric_cols, q
 from .quantiles import exact_quantiles
 
 MAX_LEVELS = 1000
 ONE_HOT_MAX = 50
 
 
-def _fit_rows(df: DataFrame, fit_on: DataFrame | str | None, split_col: str | None = None) -> DataFrame:
-    if isinstance(fit_on, DataFrame):
-        return fit_on
-    if fit_on == "train" and split_col is not None:
-        return df.where(~F.col(q(split_col)))
-    return df
-
-
 def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean", fit_on: DataFrame | None = None) -> DataFrame:
     """Missing -> column mean or exact median, fitted on ``fit_on`` rows
     (default: all rows)."""
@@ -323,11 +315,3 @@ def apply_fixes(df: DataFrame, plan: DataFrame | list, target: str, split_col: s
         else:
             raise ValueError(f"unknown action {a}")
     return out
-
-
-def remaining_text(df: DataFrame, target: str) -> list[str]:
-    return categorical_cols(df, exclude=[target])
-
-
-def numeric_features(df: DataFrame, target: str, extra_exclude: Sequence[str] = ()) -> list[str]:
-    return numeric_cols(df, exclude=[target, *extra_exclude])

@@ -4,9 +4,6 @@ user steps and the whole pipeline (SURVEY 2.3, 2.4 metrics, 2.9-2.11,
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions.exprs import row_hash_sql
@@ -441,5 +438,3 @@ def pipeline_input(spark, sf):
 def q_run_pipeline(spark, sf):
     return run_pipeline(pipeline_input(spark, sf), "value", "event_id")["summary"]
 
-
-del json, pd
