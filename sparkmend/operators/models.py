@@ -182,8 +182,8 @@ class ClassifierFit:
 def fit_classifier(train: DataFrame, feats: Sequence[str], y: str, model: str = "logistic", params: dict | None = None, weight_col: str | None = None, seed: int = 42) -> ClassifierFit:
     """model: logistic (sklearn C -> regParam 1/(C n), no standardisation),
     rf (RandomForestClassifier), gbt (GBTClassifier; more than two classes
-    through OneVsRest).  The training frame is cached for the iterations
-    and released after the fit."""
+    through OneVsRest).  The input is not cached here: Spark ML caches its
+    own (blocked) training instances for the iterations."""
     from pyspark.ml.classification import (
         GBTClassifier,
         LogisticRegression,
@@ -196,74 +196,71 @@ def fit_classifier(train: DataFrame, feats: Sequence[str], y: str, model: str =
     idx = _label_index(tr, y)
     d = _assemble(idx.transform(tr), feats)
     cols = ["features", "__label"] + ([weight_col] if weight_col else [])
-    d = d.select(*cols).persist()
-    try:
-        n = d.count()
-        n_classes = len(idx.labels)
-        if model == "logistic":
-            C = float(params.get("C", 1.0))
-            est = LogisticRegression(
-                featuresCol="features",
-                labelCol="__label",
-                regParam=1.0 / (C * max(n, 1)),
-                elasticNetParam=0.0,
-                standardization=False,
-                maxIter=int(params.get("max_iter", 1000)),
-                tol=float(params.get("tol", 1e-6)),
-            )
-            if weight_col:
-                est.setWeightCol(weight_col)
-        elif model == "rf":
-            depth = params.get("max_depth")
-            est = RandomForestClassifier(
-                featuresCol="features",
-                labelCol="__label",
-                numTrees=int(params.get("n_estimators", 100)),
-                maxDepth=int(depth) if depth is not None else 30,
-                minInstancesPerNode=int(max(params.get("min_samples_leaf", 1), math.ceil(params.get("min_samples_split", 2) / 2))),
-                featureSubsetStrategy=str(params.get("max_features", "sqrt")),
-                seed=seed,
-            )
-            if weight_col:
-                est.setWeightCol(weight_col)
-        elif model == "gbt":
-            base = GBTClassifier(
-                featuresCol="features",
-                labelCol="__label",
-                maxIter=int(params.get("n_estimators", 100)),
-                stepSize=float(params.get("learning_rate", 0.1)),
-                maxDepth=int(params.get("max_depth", 3)),
-                subsamplingRate=float(params.get("subsample", 1.0)),
-                seed=seed,
-            )
-            est = base if n_classes <= 2 else OneVsRest(classifier=base, featuresCol="features", labelCol="__label")
-        else:
-            raise ValueError(model)
-        fitted = est.fit(d)
-    finally:
-        d.unpersist()
-    return ClassifierFit(fitted, idx, list(feats), y)
-
-
-def fit_gbt_regressor(train: DataFrame, feats: Sequence[str], y: str, params: dict | None = None, seed: int = 42):
-    from pyspark.ml.regression import GBTRegressor
-
-    params = dict(params or {})
-    d = _assemble(train.where(F.col(q(y)).isNotNull()), feats).select("features", F.col(q(y)).cast("double").alias("__y")).persist()
-    try:
-        est = GBTRegressor(
+    # not persisted here: Spark ML caches its own blocked instances when the
+    # input is not cached (a cached DataFrame makes every iteration convert
+    # rows again)
+    d = d.select(*cols)
+    n = d.count()
+    n_classes = len(idx.labels)
+    if model == "logistic":
+        C = float(params.get("C", 1.0))
+        est = LogisticRegression(
+            featuresCol="features",
+            labelCol="__label",
+            regParam=1.0 / (C * max(n, 1)),
+            elasticNetParam=0.0,
+            standardization=False,
+            maxIter=int(params.get("max_iter", 1000)),
+            tol=float(params.get("tol", 1e-6)),
+        )
+        if weight_col:
+            est.setWeightCol(weight_col)
+    elif model == "rf":
+        depth = params.get("max_depth")
+        est = RandomForestClassifier(
             featuresCol="features",
-            labelCol="__y",
+            labelCol="__label",
+            numTrees=int(params.get("n_estimators", 100)),
+            maxDepth=int(depth) if depth is not None else 30,
+            minInstancesPerNode=int(max(params.get("min_samples_leaf", 1), math.ceil(params.get("min_samples_split", 2) / 2))),
+            featureSubsetStrategy=str(params.get("max_features", "sqrt")),
+            seed=seed,
+        )
+        if weight_col:
+            est.setWeightCol(weight_col)
+    elif model == "gbt":
+        base = GBTClassifier(
+            featuresCol="features",
+            labelCol="__label",
             maxIter=int(params.get("n_estimators", 100)),
             stepSize=float(params.get("learning_rate", 0.1)),
             maxDepth=int(params.get("max_depth", 3)),
             subsamplingRate=float(params.get("subsample", 1.0)),
-            minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
             seed=seed,
         )
-        return est.fit(d)
-    finally:
-        d.unpersist()
+        est = base if n_classes <= 2 else OneVsRest(classifier=base, featuresCol="features", labelCol="__label")
+    else:
+        raise ValueError(model)
+    fitted = est.fit(d)
+    return ClassifierFit(fitted, idx, list(feats), y)
+
+
+def fit_gbt_regressor(train: DataFrame, feats: Sequence[str], y: str, params: dict | None = None, seed: int = 42):
+    from pyspark.ml.regression import GBTRegressor
+
+    params = dict(params or {})
+    d = _assemble(train.where(F.col(q(y)).isNotNull()), feats).select("features", F.col(q(y)).cast("double").alias("__y"))
+    est = GBTRegressor(
+        featuresCol="features",
+        labelCol="__y",
+        maxIter=int(params.get("n_estimators", 100)),
+        stepSize=float(params.get("learning_rate", 0.1)),
+        maxDepth=int(params.get("max_depth", 3)),
+        subsamplingRate=float(params.get("subsample", 1.0)),
+        minInstancesPerNode=int(params.get("min_samples_leaf", 1)),
+        seed=seed,
+    )
+    return est.fit(d)
 
 
 def predict_regressor(model, df: DataFrame, feats: Sequence[str], out: str = "prediction") -> DataFrame:
