@@ -108,7 +108,7 @@ def evaluate_fix(
     task = task or detect_task(df, target, cfg)
     keys = [key] if isinstance(key, str) else list(key)
     # the split input feeds both scores and every fit pass of the repair:
-    # kept once (memory, spilling to disk) and released by the caller's GC
+    # kept once (memory, spilling to disk) and released before returning
     d = train_test_split(df, keys, cfg.test_size, cfg.random_state).persist()
     before = baseline_score(d, target, keys, task, cfg)
     err = None
@@ -124,6 +124,7 @@ def evaluate_fix(
         err = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
         after = before
         fixed = d
+    d.unpersist(blocking=False)  # the returned frame recomputes from its lineage when used
     reward = reward_of(task, before.value, after.value) if err is None else 0.0
     row = (
         task,

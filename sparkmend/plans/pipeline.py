@@ -76,6 +76,7 @@ def run_pipeline(
     except Exception as exc:  # the partial result is kept
         note("pipeline", "error", None, None, f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}")
     out["summary"] = spark.createDataFrame(summary, SUMMARY_SCHEMA)
+    df.unpersist(blocking=False)  # every returned frame is local or checkpointed
     return out
 
 
