@@ -114,14 +114,15 @@ def category_codes_join(df: DataFrame, col: str, n_ranges: int | None = None) ->
     """Codes for a column with many levels, without a single-task window:
     the distinct levels are range-partitioned (sampled boundaries, so no
     partition holds most levels), each range is numbered locally, and the
-    per-range counts (one row per range) give the offsets.  The level table
-    is persisted so the range assignment is computed once."""
+    per-range counts (one row per range) give the offsets."""
     from pyspark.sql import Window
 
     spark = df.sparkSession
     n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     lv = df.select(F.col(q(col)).alias("__lv")).where(F.col("__lv").isNotNull()).distinct()
-    ranged = lv.repartitionByRange(n_ranges, "__lv").withColumn("__pid", F.spark_partition_id()).persist()
+    # range boundaries come from a seeded sample, so every evaluation of this
+    # shuffle (and a retried task) puts a level into the same range
+    ranged = lv.repartitionByRange(n_ranges, "__lv").withColumn("__pid", F.spark_partition_id())
     counts = ranged.groupBy("__pid").agg(F.count("*").alias("__n"))
     # one row per range: a window over this small table only
     offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
