@@ -64,16 +64,45 @@ def q_fit_ridge(spark, sf):
     return rounded(M.fit_linear(d.where(~F.col("is_test")), ["l_quantity", "l_discount"], "l_extendedprice", "ridge", alpha=1.0).coef_frame(spark))
 
 
-@query("fit_lasso")
+def _cd_sql(l1: float, l2: float, sweeps: int = 300) -> str:
+    """Coordinate descent for 1/2 w'Gw - c'w + l1|w|_1 + l2/2|w|^2 on the
+    covariance of three features, written as a recursive CTE (an independent
+    solver for the oracle)."""
+    x = ["l_quantity", "l_discount", "l_tax"]
+    g = ", ".join(f"covar_pop({a}, {b}) AS g{i}{j}" for i, a in enumerate(x) for j, b in enumerate(x) if i <= j)
+    c = ", ".join(f"covar_pop({a}, l_extendedprice) AS c{i}" for i, a in enumerate(x))
+    m = ", ".join(f"avg({a}) AS m{i}" for i, a in enumerate(x))
+
+    def soft(z):
+        return f"(sign({z}) * greatest(abs({z}) - {l1}, 0.0))"
+
+    return f"""WITH RECURSIVE st AS (SELECT {g}, {c}, {m}, avg(l_extendedprice) AS my FROM {LI_SPLIT} WHERE NOT is_test),
+cd(it, w0, w1, w2) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT it + 1, n0, n1, n2 FROM (
+    SELECT it, {soft('c0 - g01 * w1 - g02 * w2')} / (g00 + {l2}) AS n0,
+           {soft('c1 - g01 * n0 - g12 * w2')} / (g11 + {l2}) AS n1,
+           {soft('c2 - g02 * n0 - g12 * n1')} / (g22 + {l2}) AS n2
+    FROM cd, st WHERE it < {sweeps}))
+SELECT 'intercept' AS term, round(my - m0 * w0 - m1 * w1 - m2 * w2, 4) AS coef FROM cd, st WHERE it = {sweeps}
+UNION ALL SELECT 'l_quantity', round(w0, 4) FROM cd WHERE it = {sweeps}
+UNION ALL SELECT 'l_discount', round(w1, 4) FROM cd WHERE it = {sweeps}
+UNION ALL SELECT 'l_tax', round(w2, 4) FROM cd WHERE it = {sweeps}"""
+
+
+@query("fit_lasso", _cd_sql(10.0, 0.0))
 def q_fit_lasso(spark, sf):
     d = lineitem_split(spark, sf)
-    return rounded(M.fit_linear(d.where(~F.col("is_test")), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "lasso", alpha=10.0).coef_frame(spark))
+    m = M.fit_linear(d.where(~F.col("is_test")), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "lasso", alpha=10.0)
+    return rounded(m.coef_frame(spark), 4)
 
 
-@query("fit_elasticnet")
+@query("fit_elasticnet", _cd_sql(1.0 * 0.5, 1.0 * 0.5))
 def q_fit_elasticnet(spark, sf):
     d = lineitem_split(spark, sf)
-    return rounded(M.fit_linear(d.where(~F.col("is_test")), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "elasticnet", alpha=1.0, l1_ratio=0.5).coef_frame(spark))
+    m = M.fit_linear(d.where(~F.col("is_test")), ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", "elasticnet", alpha=1.0, l1_ratio=0.5)
+    return rounded(m.coef_frame(spark), 4)
 
 
 # ── classifiers and regressors (Spark ML) ───────────────────────────────────
