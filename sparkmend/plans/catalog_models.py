@@ -467,3 +467,37 @@ def pipeline_input(spark, sf):
 def q_run_pipeline(spark, sf):
     return run_pipeline(pipeline_input(spark, sf), "value", "event_id")["summary"]
 
+
+
+# ── SQL oracle for the scaling check (KNN accuracy before / after) ──────────
+
+
+def _scaling_sql() -> str:
+    h = row_hash_sql(["vec_id"], 42)
+    base = f"""base AS (SELECT vec_id, label, ({h} % 100) < 20 AS is_test,
+      list_transform(embedding, lambda x, i: CASE WHEN i = 1 THEN CAST(x AS DOUBLE) * 1500.0 ELSE CAST(x AS DOUBLE) END) AS v
+    FROM embeddings),
+dims AS (SELECT d, avg(x) AS mu, coalesce(nullif(stddev_pop(x), 0), 1.0) AS sd
+         FROM (SELECT unnest(generate_series(1, len(v))) AS d, unnest(v) AS x FROM base WHERE NOT is_test) GROUP BY d),
+st AS (SELECT list(mu ORDER BY d) AS mus, list(sd ORDER BY d) AS sds FROM dims),
+sc AS (SELECT vec_id, label, is_test, list_transform(v, lambda x, i: (x - st.mus[i]) / st.sds[i]) AS v FROM base, st)"""
+
+    def acc(src: str) -> str:
+        dist = "sqrt(list_sum(list_transform(list_zip(l.v, r.v), lambda t: (t[1] - t[2]) * (t[1] - t[2]))))"
+        return f"""(SELECT avg(CAST(CAST(t.label AS VARCHAR) = CAST(p.pred AS VARCHAR) AS DOUBLE)) FROM (SELECT * FROM {src} WHERE is_test) t LEFT JOIN
+  (SELECT vec_id, nb_label AS pred FROM (
+     SELECT vec_id, nb_label, count(*) AS votes FROM (
+       SELECT l.vec_id, r.label AS nb_label, row_number() OVER (PARTITION BY l.vec_id ORDER BY {dist}, r.vec_id) AS rk
+       FROM (SELECT * FROM {src} WHERE is_test) l, (SELECT * FROM {src} WHERE NOT is_test) r) WHERE rk <= 5
+     GROUP BY vec_id, nb_label)
+   QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY votes DESC, nb_label) = 1) p ON t.vec_id = p.vec_id)"""
+
+    return f"""WITH {base},
+a AS (SELECT {acc('base')} AS b, {acc('sc')} AS af)
+SELECT 'accuracy_gain' AS rule, round(b, 6) AS before, round(af, 6) AS after, (af - b) >= 0.15 AS passed,
+       printf('gain %+.4f (threshold 0.15)', af - b) AS detail FROM a"""
+
+
+from .registry import ORACLES as _OR  # noqa: E402
+
+_OR["check_improvement"] = _scaling_sql()
