@@ -501,3 +501,25 @@ SELECT 'accuracy_gain' AS rule, round(b, 6) AS before, round(af, 6) AS after, (a
 from .registry import ORACLES as _OR  # noqa: E402
 
 _OR["check_improvement"] = _scaling_sql()
+
+
+def _scorecard_sql() -> str:
+    body = _scaling_sql()
+    head, tail = body.split("\na AS (", 1)
+    ratio = """(SELECT CASE WHEN count(*) >= 2 AND max(s) / min(s) > 1000.0 THEN 'True' ELSE 'False' END FROM
+      (SELECT d, stddev_samp(x) AS s FROM (SELECT unnest(generate_series(1, len(v))) AS d, unnest(v) AS x FROM {src}) GROUP BY d) WHERE s > 0)"""
+    return f"""{head}
+a AS ({tail.split(chr(10) + "SELECT")[0]},
+m AS (SELECT {ratio.format(src='base')} AS mb, {ratio.format(src='sc')} AS ma),
+c AS (
+  SELECT 'runs' AS "check", 0.2::DOUBLE AS points, true AS passed, 'scaler fitted and applied' AS detail
+  UNION ALL SELECT 'scale_fixed', CASE WHEN mb = 'True' AND ma = 'False' THEN 0.4 ELSE 0.0 END::DOUBLE, mb = 'True' AND ma = 'False',
+                   'mismatch before=' || mb || ' after=' || ma FROM m
+  UNION ALL SELECT 'accuracy_gain', CASE WHEN af - b >= 0.15 THEN 0.4 ELSE 0.0 END::DOUBLE, af - b >= 0.15,
+                   printf('gain %+.4f (threshold 0.15)', af - b) FROM a)
+SELECT * FROM c
+UNION ALL SELECT 'total', round(least(sum(points), 1.0), 2), round(least(sum(points), 1.0), 2) >= 1.0,
+                 CASE WHEN round(least(sum(points), 1.0), 2) >= 1.0 THEN 'done' ELSE 'not done' END FROM c"""
+
+
+_OR["scorecard"] = _scorecard_sql()
