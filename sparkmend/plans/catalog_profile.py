@@ -374,3 +374,21 @@ def q_extract_metric(spark, sf):
     df = T(spark, sf, "events")
     line = F.concat(F.lit("step "), F.col("event_id").cast("string"), F.lit(" New RMSLE: "), F.format_string("%.4f", F.col("value")))
     return rounded(df.select("event_id", X.extract_metric(line, "New RMSLE:").alias("rmsle")))
+
+
+def _health_json_sql() -> str:
+    """The report as one JSON text: findings sorted like Spark's array_sort of
+    (issue, col_name, value, detail) structs, NULL fields left out."""
+    item = (
+        """'{"issue":"' || issue || '"'"""
+        """ || CASE WHEN col_name IS NULL THEN '' ELSE ',"col_name":"' || col_name || '"' END"""
+        """ || CASE WHEN value IS NULL THEN '' ELSE ',"value":' || CAST(value AS VARCHAR) END"""
+        """ || CASE WHEN detail IS NULL THEN '' ELSE ',"detail":"' || detail || '"' END || '}'"""
+    )
+    order = "issue, col_name NULLS FIRST, value NULLS FIRST, detail NULLS FIRST"
+    return f"""SELECT '{{"findings":[' || string_agg({item}, ',' ORDER BY {order}) || ']}}' AS report FROM ({HEALTH_SQL})"""
+
+
+from .registry import ORACLES as _OR  # noqa: E402
+
+_OR["health_json"] = _health_json_sql()
