@@ -62,14 +62,16 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder; set a scratch one only when
     the session has none (local tests)."""
+    sc = spark.sparkContext
+    already = sc.getCheckpointDir()
+    if already:  # set once per context (each set makes a new sub-folder)
+        return already
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
     if not current:
         current = tempfile.mkdtemp(prefix="sparkmend-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    sc.setCheckpointDir(current)
+    return sc.getCheckpointDir() or current
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
