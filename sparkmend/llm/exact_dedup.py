@@ -72,5 +72,5 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
         .withColumn("keep_id", F.when(is_hot, F.col(hot_id)).otherwise(F.first(id_col).over(first)))
         .withColumn("group_size", F.when(is_hot, F.col(hot_n)).otherwise(F.count(F.lit(1)).over(equal)))
         .withColumn("kept", (F.col(pos) == 1) & F.col(id_col).eqNullSafe(F.col("keep_id")))
-        .drop(head, salt, norm, pos, hot_n, hot_id, hot_sha)
+        .select(*[F.col(f"`{c}`") for c in df.columns], *RESULT)
     )

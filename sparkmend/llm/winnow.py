@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower
+from .common import ascii_lower, stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BITS = 1 << 17  # of each bit set
@@ -60,6 +60,15 @@ def _is_min(h: Column, p: Column, run: int) -> Column:
     return F.exists(F.sequence(F.greatest(p - (run - 1), F.lit(0)), F.least(p, F.size(h) - run)), leads)
 
 
+def _whole_items(m: int, bits: Column) -> Column:
+    """Candidates of items of m words at the places in ``starts``."""
+    gram = lambda p: _gram(F.col("wh"), p, m)
+    return F.transform(
+        F.filter("starts", lambda p: (p + m <= F.col("n")) & _has(bits, gram(p))),
+        lambda p: F.struct(F.lit(m).alias("kind"), p.alias("p"), gram(p).alias("h"), F.slice(F.col("w"), p + 1, m).alias("ctx")),
+    )
+
+
 def _context(words: Column, p: Column, side: int, k: int, pad: str) -> Column:
     """Words p-side .. p+k+side-1; ``pad`` stands before the first word and
     nothing after the last."""
@@ -126,9 +135,6 @@ def decontaminate(
     once; repeated documents give one row each; documents that share an id but
     not a text are told apart.  Other columns are not read.
     """
-    spark = docs.sparkSession
-    from .common import stage
-
     fps = stage(item_fingerprints(items, item_col, item_text_col, window, k), "fingerprints")
     run, side = window - k + 1, window - k
     sizes = fps.groupBy("kind").agg(
@@ -169,15 +175,7 @@ def decontaminate(
         firsts = _bit_set(fps.filter("kind > 0"), "first")
         whole = _bit_set(fps.filter("kind > 0"), "h")
         base = base.withColumn("starts", F.filter(_positions(F.col("n")), lambda i: _has(firsts, F.get(F.col("wh"), i))))
-        for m in short:
-            cands.append(
-                F.transform(
-                    F.filter("starts", lambda p, m=m: (p + m <= F.col("n")) & _has(whole, _gram(F.col("wh"), p, m))),
-                    lambda p, m=m: F.struct(
-                        F.lit(m).alias("kind"), p.alias("p"), _gram(F.col("wh"), p, m).alias("h"), F.slice(F.col("w"), p + 1, m).alias("ctx")
-                    ),
-                ).cast(cand_type)
-            )
+        cands += [_whole_items(m, whole).cast(cand_type) for m in short]
     rows = base.select("id", "key", "n", F.explode(F.concat(*cands)).alias("c")).select("id", "key", "n", "c.*")
     joined = rows.join(F.broadcast(fps) if small else fps, ["kind", "h"], "left")
 
