@@ -81,6 +81,8 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray):
         """counts: (languages, n-gram buckets)"""
         self.langs = langs
+        if not langs:
+            return
         self.code = code_matrix(len(langs))
         share = counts + 0.5
         for k in range(len(ORDERS)):

@@ -1,5 +1,11 @@
+import os
+import sys
+
 import pytest
 
+HERE = os.path.dirname(os.path.abspath(__file__))
+sys.path[:0] = [HERE, os.path.join(HERE, "..", "..", "tools")]
+
 
 @pytest.fixture(scope="session")
 def docs_schema():
