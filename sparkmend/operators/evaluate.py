@@ -50,12 +50,15 @@ def baseline_score(
     cfg: ProfileConfig = DEFAULT_PROFILE,
     fit_on: str = "train",
     exclude: Sequence[str] = (),
+    log_target: bool = False,
 ) -> Score:
     """Drop rows without a target; numeric features that are not wholly
     missing; mean-impute (fitted on the training rows, or on all rows with
     fit_on='all' as the reference does); hash split 80/20; ridge (alpha 1)
     test RMSE for regression, logistic (C 1) test accuracy for
-    classification.  No usable feature: target std (regression) or 0."""
+    classification.  No usable feature: target std (regression) or 0.
+    ``log_target`` fits the ridge on log1p of the target and scores expm1 of
+    its predictions, on the target's scale."""
     task = task or detect_task(df, target, cfg)
     metric = "rmse" if task == "regression" else "accuracy"
     d = df.where(F.col(q(target)).isNotNull())
@@ -74,7 +77,10 @@ def baseline_score(
     d = impute(d, feats, "mean", fit_on=fit_rows)
     train = d.where(~F.col("is_test"))
     test = d.where(F.col("is_test"))
-    if task == "regression":
+    if task == "regression" and log_target:
+        predict = M.fit_log_target(train.where(F.col(q(target)) > -1), feats, target, "ridge", {"alpha": 1.0})
+        v = M.metric_value(predict(test), target, "prediction", "rmse")
+    elif task == "regression":
         model = M.fit_linear(train, feats, target, "ridge", alpha=1.0)
         v = M.metric_value(test.withColumn("__p", model.predict_col()), target, "__p", "rmse")
     else:
@@ -112,14 +118,22 @@ def evaluate_fix(
     d = train_test_split(df, keys, cfg.test_size, cfg.random_state).persist()
     before = baseline_score(d, target, keys, task, cfg)
     err = None
-    fixed = d
+    fixed, logged = d, False
     try:
         if callable(fix) and not isinstance(fix, DataFrame):
             fixed = fix(d)
             fixed.schema  # analysis errors surface here
         else:
-            fixed = apply_fixes(d, fix, target, split_col="is_test")
-        after = baseline_score(fixed, target, keys, task, cfg)
+            steps = fix.orderBy("seq").collect() if isinstance(fix, DataFrame) else list(fix)
+            logged = any(s["action"] == "log_target" for s in steps) and task == "regression"
+            held = [k for k in keys if k != target]
+            fixed = apply_fixes(d, steps, target, split_col="is_test", key=held)
+        if logged:
+            # scored on the target's own scale, over the same rows as before
+            kept = apply_fixes(d, [s for s in steps if s["action"] != "log_target"], target, split_col="is_test", key=held)
+            after = baseline_score(kept, target, keys, task, cfg, log_target=True)
+        else:
+            after = baseline_score(fixed, target, keys, task, cfg)
     except Exception as exc:  # reported in the result row
         err = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
         after = before

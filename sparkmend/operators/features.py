@@ -10,6 +10,7 @@ cached once and each trial is a logistic fit.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 import numpy as np
@@ -25,11 +26,12 @@ from .profile import detect_task
 from .split import train_test_split
 
 
-def candidate_features(df: DataFrame, target: str, kinds: Sequence[str] = ("log1p", "ratio", "product"), cols: Sequence[str] | None = None) -> dict[str, tuple[Column, str]]:
-    """{fe_name: (Column, SQL text)} built by rule from the numeric
-    features: log1p(x) (x > -1), x / y (NULL when y = 0), x * y."""
+def candidate_features(df: DataFrame, target: str, kinds: Sequence[str] = ("log1p", "ratio", "product"), cols: Sequence[str] | None = None, limit: int | None = None, extra: dict[str, str] | None = None) -> dict[str, tuple[Column, str]]:
+    """{fe_name: (Column, SQL text)}: the user's own ``extra`` {fe_name: SQL}
+    first, then by rule from the numeric features log1p(x) (x > -1), x / y
+    (NULL when y = 0), x * y; at most ``limit`` in that order."""
     cols = list(cols) if cols is not None else numeric_cols(df, exclude=[target])
-    out: dict[str, tuple[Column, str]] = {}
+    out: dict[str, tuple[Column, str]] = {n: (F.expr(sql), sql) for n, sql in (extra or {}).items()}
     if "log1p" in kinds:
         for c in cols:
             x = F.col(q(c)).cast("double")
@@ -41,23 +43,56 @@ def candidate_features(df: DataFrame, target: str, kinds: Sequence[str] = ("log1
                 out[f"fe_ratio_{a}_{b}"] = (F.try_divide(xa, xb), f"CASE WHEN {b} = 0 THEN NULL ELSE CAST({a} AS DOUBLE) / {b} END")
             if "product" in kinds:
                 out[f"fe_prod_{a}_{b}"] = (xa * xb, f"CAST({a} AS DOUBLE) * {b}")
-    return out
-
-
-def validate_feature(before_cols: Sequence[str], after: DataFrame, non_null: dict | None = None) -> tuple[bool, str]:
-    """Exactly one new column, named fe_*, not wholly missing."""
-    new = [c for c in after.columns if c not in set(before_cols)]
-    if not new:
-        return False, "No new column was added"
-    if len(new) > 1:
-        return False, f"Expected 1 new column, got {len(new)}: {new}"
-    name = new[0]
-    if not name.startswith("fe_"):
-        return False, f"New column '{name}' does not start with 'fe_'"
-    n = non_null[name] if non_null is not None else after.agg(F.count(F.col(q(name)))).first()[0]
-    if n == 0:
-        return False, f"New column '{name}' is entirely NaN"
-    return True, name
+    return out if limit is None else dict(list(out.items())[:limit])
+
+
+# fixed values: texts of the checks, in the order they are applied
+FEATURE_CHECKS = {
+    "none": "No new column was added",
+    "many": "Expected 1 new column, got {n}: {names}",
+    "name": "New column '{name}' does not start with 'fe_'",
+    "null": "New column '{name}' is entirely NaN",
+    "touched": "Columns changed or lost: {names}",
+}
+
+
+def validate_feature(before: DataFrame | Sequence[str], after: DataFrame, non_null: dict | None = None) -> tuple[bool, str]:
+    """(ok, name or text): the step must add exactly one column, named fe_*
+    and not wholly missing, and leave every old column in place with its type
+    (and, for a DataFrame ``before``, as the same untouched attribute)."""
+    old = {f.name: f.dataType for f in before.schema.fields} if isinstance(before, DataFrame) else dict.fromkeys(before)
+    now = {f.name: f.dataType for f in after.schema.fields}
+    added = [c for c in after.columns if c not in old]
+    touched = sorted(c for c, t in old.items() if c not in now or (t is not None and now[c] != t))
+    if not touched and isinstance(before, DataFrame):
+        touched = _rewritten(before, after, list(old))
+    name = added[0] if added else ""
+    filled = lambda: non_null[name] if non_null is not None else after.agg(F.count(F.col(q(name)))).first()[0]
+    failed = next(
+        (
+            kind
+            for kind, bad in (
+                ("none", lambda: not added),
+                ("many", lambda: len(added) > 1),
+                ("name", lambda: not name.startswith("fe_")),
+                ("touched", lambda: bool(touched)),
+                ("null", lambda: filled() == 0),
+            )
+            if bad()
+        ),
+        None,
+    )
+    if failed is None:
+        return True, name
+    return False, FEATURE_CHECKS[failed].format(n=len(added), names=touched if failed == "touched" else added, name=name)
+
+
+def _rewritten(before: DataFrame, after: DataFrame, cols: list[str]) -> list[str]:
+    """Old columns that ``after`` computes anew: they no longer resolve to the
+    attribute that ``before`` has."""
+    ids = lambda df: dict(re.findall(r"([\w. ]+)#(\d+)", df.select(*[F.col(q(c)) for c in cols])._jdf.queryExecution().analyzed().output().mkString(",")))
+    mine, theirs = ids(before), ids(after)
+    return sorted(c for c in cols if mine.get(c) != theirs.get(c))
 
 
 def _moments(df: DataFrame, cols: list[str], y: str, shift: np.ndarray, yshift: float):
@@ -104,7 +139,7 @@ def greedy_features(
     spark = df.sparkSession
     task = task or detect_task(df, target, pcfg)
     keys = [key] if isinstance(key, str) else list(key)
-    n_orig = len([c for c in df.columns if c != target])
+    n_orig = len([c for c in df.columns if c not in (target, "is_test")])
     budget = max(1, int(cfg.max_feature_ratio * n_orig))
     d = df.where(F.col(q(target)).isNotNull())
     if "is_test" not in d.columns:
@@ -141,30 +176,27 @@ def greedy_features(
             return M.metric_value(fit.predict(cached.where(F.col("is_test"))), target, "pred_label", "accuracy")
 
         better = lambda new, cur: new > cur
-    cur = score(current)
-    added = fails = it = 0
-    for name in cand_names:
-        if added >= budget or fails >= cfg.early_stop_patience:
-            break
-        it += 1
-        ok, detail = validate_feature(d.columns, d.withColumn(name, F.lit(None)), {name: non_null[name]})
-        if not ok:
-            log.append((it, "", candidates[name][1], round(cur, 4), round(cur, 4), 0.0, False, f"Validation failed: {detail}"))
-            fails += 1
-            continue
-        new = score(current + [name])
-        imp = better(new, cur)
-        delta = round((cur - new) if task == "regression" else (new - cur), 4)
-        log.append((it, name, candidates[name][1], round(cur, 4), round(new, 4), delta, bool(imp), "Improved metric" if imp else "No improvement"))
-        if imp:
-            current.append(name)
-            cur = new
-            added += 1
-            fails = 0
-        else:
-            fails += 1
-    if task != "regression":
-        cached.unpersist()
+    gain_of = (lambda old, new: old - new) if task == "regression" else (lambda old, new: new - old)
+    try:
+        cur = score(current)
+        room, misses = budget, 0
+        for it, name in enumerate(cand_names, 1):
+            if room == 0 or misses == cfg.early_stop_patience:
+                break
+            good, text = validate_feature(d.columns, d.withColumn(name, F.lit(None)), {name: non_null[name]})
+            new = score(current + [name]) if good else cur
+            keep = good and better(new, cur)
+            # fixed values: reasons in the log
+            why = ("Improved metric" if keep else "No improvement") if good else f"Validation failed: {text}"
+            log.append((it, name if good else "", candidates[name][1], round(cur, 4), round(new, 4), round(gain_of(cur, new), 4), bool(keep), why))
+            if keep:
+                current.append(name)
+            cur = new if keep else cur
+            room -= keep
+            misses = 0 if keep else misses + 1
+    finally:
+        if task != "regression":
+            cached.unpersist()
     kept = [c for c in current if c not in base]
     out = df.withColumns({n: candidates[n][0] for n in kept}) if kept else df
     schema = "iteration int, feature_name string, code string, metric_before double, metric_after double, delta double, kept boolean, reason string"

@@ -17,10 +17,10 @@ from pyspark.sql import types as T
 
 from ..config import DEFAULT_REWARD
 from ..functions.exprs import clip_keep_null, coerce_numeric, numeric_cols, q
+from ..session import cut_lineage
 from .quantiles import exact_quantiles
 
-MAX_LEVELS = 1000
-ONE_HOT_MAX = 50
+MAX_LEVELS = 1000  # of a literal level list; more are joined or become one sparse vector
 
 
 def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean", fit_on: DataFrame | None = None) -> DataFrame:
@@ -56,12 +56,22 @@ def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
     return sorted(r[0] for r in rows)
 
 
+def is_wide(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> bool:
+    """More than ``max_levels`` levels."""
+    return df.select(F.col(q(col))).where(F.col(q(col)).isNotNull()).distinct().limit(max_levels + 1).count() > max_levels
+
+
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_levels: int = MAX_LEVELS, fit_on: DataFrame | None = None) -> DataFrame:
     """One 0/1 column per sorted level named col_level, first level dropped,
     missing -> all 0; the source column is removed and the dummies go to
-    the end (in column, then level order)."""
+    the end (in column, then level order).  A column of more than
+    ``max_levels`` levels becomes one sparse vector col_vec of the same slots
+    instead (``one_hot_vector``)."""
     cols = list(cols)
     src = df if fit_on is None else fit_on
+    for c in [c for c in cols if is_wide(src, c, max_levels)]:
+        df = one_hot_vector(df, c, drop_first=drop_first, fit_on=src)
+        cols.remove(c)
     keep = [F.col(q(c)) for c in df.columns if c not in cols]
     dummies = []
     for c in cols:
@@ -74,24 +84,26 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_lev
 
 
 def one_hot_vector(df: DataFrame, col: str, out: str | None = None, drop_first: bool = True, fit_on: DataFrame | None = None) -> DataFrame:
-    """Wide case of ``one_hot``: one sparse vector column instead of one
-    column per level (Spark ML StringIndexer in sorted level order +
-    OneHotEncoder).  Spark ML drops the *last* slot, so all slots are kept
-    and slot 0 (the first sorted level) is sliced off for drop_first.
-    Missing and unseen levels -> an all-zero vector."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorSlicer
+    """Wide case of ``one_hot``: one sparse vector column with a slot per
+    sorted level (the first one left out with ``drop_first``) instead of one
+    column per level.  The level table stays on the cluster and is joined.
+    Missing and unseen levels -> an all-zero vector; a column with no slot at
+    all is only removed."""
+    from pyspark.ml.feature import OneHotEncoder
 
     out = out or f"{col}_vec"
-    src = df if fit_on is None else fit_on
-    idx = StringIndexer(inputCol=col, outputCol="__idx", stringOrderType="alphabetAsc", handleInvalid="keep").fit(src)
-    n = len(idx.labels)
-    enc = OneHotEncoder(inputCols=["__idx"], outputCols=["__vec"], dropLast=True, handleInvalid="keep").fit(idx.transform(src))
-    # handleInvalid=keep adds one slot for missing/unseen; dropLast removes it,
-    # so the vector has exactly one slot per level
-    d = enc.transform(idx.transform(df))
+    codes = level_codes(df if fit_on is None else fit_on, col)
     first = 1 if drop_first else 0
-    d = VectorSlicer(inputCol="__vec", outputCol=out, indices=list(range(first, n))).transform(d)
-    return d.drop("__idx", "__vec", col)
+    slots = codes.count() - first
+    if slots <= 0:
+        return df.drop(col)
+    # the slot after the last one stands for "none" and is dropped by the encoder
+    size = df.sparkSession.createDataFrame([(float(slots),)], "__idx double")
+    enc = OneHotEncoder(inputCols=["__idx"], outputCols=["__vec"], dropLast=True).fit(size)
+    idx = F.when(F.col("__code") >= first, F.col("__code") - first).otherwise(slots).cast("double")
+    coded = df.join(codes, df[col] == codes["__lv"], "left").withColumn("__idx", idx)
+    vec = F.col("__vec").alias(out, metadata={})  # without a name per slot in the schema
+    return enc.transform(coded).select(*[F.col(q(c)) for c in df.columns if c != col], vec)
 
 
 def category_codes(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEVELS) -> DataFrame:
@@ -110,25 +122,29 @@ def category_codes(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEV
     return df.withColumns(repl) if repl else df
 
 
-def category_codes_join(df: DataFrame, col: str, n_ranges: int | None = None) -> DataFrame:
-    """Codes for a column with many levels, without a single-task window:
-    the distinct levels are range-partitioned (sampled boundaries, so no
-    partition holds most levels), each range is numbered locally, and the
+def level_codes(df: DataFrame, col: str, n_ranges: int | None = None) -> DataFrame:
+    """(__lv, __code): sorted position of every level, without a single-task
+    window: the distinct levels are range-partitioned (sampled boundaries, so
+    no partition holds most levels), each range is numbered locally, and the
     per-range counts (one row per range) give the offsets."""
     from pyspark.sql import Window
 
     spark = df.sparkSession
     n_ranges = n_ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     lv = df.select(F.col(q(col)).alias("__lv")).where(F.col("__lv").isNotNull()).distinct()
-    # range boundaries come from a seeded sample, so every evaluation of this
-    # shuffle (and a retried task) puts a level into the same range
-    ranged = lv.repartitionByRange(n_ranges, "__lv").withColumn("__pid", F.spark_partition_id())
+    # ranges and their numbers are written once: both uses below must see the
+    # same boundaries, which a second evaluation need not give
+    ranged = cut_lineage(lv.repartitionByRange(n_ranges, "__lv").withColumn("__pid", F.spark_partition_id()))
     counts = ranged.groupBy("__pid").agg(F.count("*").alias("__n"))
     # one row per range: a window over this small table only
     offs = counts.withColumn("__off", F.coalesce(F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
-    codes = ranged.join(F.broadcast(offs), "__pid").withColumn(
-        "__code", (F.col("__off") + F.row_number().over(Window.partitionBy("__pid").orderBy("__lv")) - 1).cast("int")
-    ).select("__lv", "__code")
+    place = F.row_number().over(Window.partitionBy("__pid").orderBy("__lv")) - 1
+    return ranged.join(F.broadcast(offs), "__pid").select("__lv", (F.col("__off") + place).cast("int").alias("__code"))
+
+
+def category_codes_join(df: DataFrame, col: str, n_ranges: int | None = None) -> DataFrame:
+    """Codes for a column with many levels, by a join with ``level_codes``."""
+    codes = level_codes(df, col, n_ranges)
     out = df.join(codes, df[col] == codes["__lv"], "left")
     return out.withColumn(col, F.coalesce(F.col("__code"), F.lit(-1)).cast("int")).drop("__lv", "__code")
 
@@ -203,16 +219,16 @@ def clip_outliers(df: DataFrame, cols: Sequence[str], k: float = DEFAULT_REWARD.
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight", fit_on: DataFrame | None = None) -> DataFrame:
     """Row weight n / (k * n_class) (sklearn 'balanced'); the class table
-    (one row per class) is broadcast."""
+    (one row per class) is broadcast up to MAX_LEVELS classes."""
     src = df if fit_on is None else fit_on
-    levels(src, label, MAX_LEVELS)  # the class table is broadcast: its size is checked first
     counts = src.where(F.col(q(label)).isNotNull()).groupBy(F.col(q(label)).alias("__cls")).agg(F.count("*").alias("__nc"))
     # internal names differ from any ``out`` name
     from pyspark.sql import Window
 
     every = Window.partitionBy()  # over the class table only (one row per class)
     w = counts.select("__cls", (F.sum("__nc").over(every) / (F.count("*").over(every) * F.col("__nc"))).alias("__bw_val"))
-    joined = df.join(F.broadcast(w), df[label].eqNullSafe(w["__cls"]), "left")
+    small = counts.limit(MAX_LEVELS + 1).count() <= MAX_LEVELS
+    joined = df.join(F.broadcast(w) if small else w, df[label].eqNullSafe(w["__cls"]), "left")
     return joined.withColumn(out, F.col("__bw_val")).drop("__cls", "__bw_val")
 
 
@@ -271,10 +287,11 @@ def recommend_fixes(report: DataFrame, target: str) -> DataFrame:
     return steps.select(F.row_number().over(w).cast("int").alias("seq"), "issue", "col_name", "action", "params")
 
 
-def apply_fixes(df: DataFrame, plan: DataFrame | list, target: str, split_col: str | None = None) -> DataFrame:
+def apply_fixes(df: DataFrame, plan: DataFrame | list, target: str, split_col: str | None = None, key: str | Sequence[str] | None = None) -> DataFrame:
     """Run the ordered steps.  With ``split_col`` every statistic is fitted
     on training rows only (split_col false).  Steps of one kind share one
-    statistics pass."""
+    statistics pass.  ``key`` columns are never changed."""
+    keys = [] if key is None else [key] if isinstance(key, str) else list(key)
     steps = plan.orderBy("seq").collect() if isinstance(plan, DataFrame) else plan  # plan rows: one per column at most
     by_action: dict[str, list] = {}
     order: list[str] = []
@@ -284,35 +301,33 @@ def apply_fixes(df: DataFrame, plan: DataFrame | list, target: str, split_col: s
             order.append(a)
             by_action[a] = []
         by_action[a].append(s)
-    out = df
+    out, wide = df, []
     for a in order:
-        cols = [s["col_name"] for s in by_action[a] if s["col_name"] is not None]
+        cols = [s["col_name"] for s in by_action[a] if s["col_name"] is not None and s["col_name"] not in keys]
         fit = out.where(~F.col(q(split_col))) if split_col else None
         if a == "cast_numeric":
             out = out.withColumns({c: coerce_numeric(F.col(q(c))) for c in cols})
         elif a == "impute_median":
             out = impute(out, [c for c in cols if c in out.columns], "median", fit_on=fit)
         elif a == "one_hot":
-            # text with more than ONE_HOT_MAX levels is an identifier, not a
-            # category: it is dropped instead of widened into thousands of columns
-            enc, wide = [], []
-            for c in [c for c in cols if c in out.columns]:
-                try:
-                    levels(fit if fit is not None else out, c, ONE_HOT_MAX)
-                    enc.append(c)
-                except ValueError:
-                    wide.append(c)
-            out = one_hot(out.drop(*wide), enc, drop_first=True, fit_on=fit.drop(*wide) if fit is not None else None)
+            # no later step touches the vector of a wide column: it is joined
+            # last, so that the statistics passes in between do without the join
+            here = [c for c in cols if c in out.columns]
+            wide = [c for c in here if is_wide(fit if fit is not None else out, c)]
+            out = one_hot(out, [c for c in here if c not in wide], drop_first=True, fit_on=fit)
         elif a == "clip_iqr":
             k = json.loads(by_action[a][0]["params"]).get("k", DEFAULT_REWARD.clip_iqr_factor)
             out = clip_outliers(out, [c for c in cols if c in out.columns], k=k, fit_on=fit)
         elif a == "standard_scale":
-            feats = numeric_cols(out, exclude=[target] + ([split_col] if split_col else []))
+            feats = numeric_cols(out, exclude=[target, *keys] + ([split_col] if split_col else []))
             out = scale(out, feats, "standard", fit_on=fit)
         elif a == "log_target":
-            out = out.withColumn(target, F.log1p(F.col(q(target)).cast("double")))
+            y = F.col(q(target)).cast("double")
+            out = out.withColumn(target, F.when(y > -1, F.log1p(y)))
         elif a == "balanced_weights":
             out = balanced_weights(out, target, fit_on=fit)
         else:
             raise ValueError(f"unknown action {a}")
+    for c in wide:
+        out = one_hot_vector(out, c, drop_first=True, fit_on=df.where(~F.col(q(split_col))) if split_col else df)
     return out

@@ -33,7 +33,15 @@ MAX_PIVOTS = 1024
 def vector_col(df: DataFrame, vec: str | None = None, feats: Sequence[str] | None = None) -> Column:
     if vec is not None:
         return F.transform(F.col(q(vec)), lambda x: x.cast("double"))
-    return F.array(*[F.coalesce(F.col(q(c)).cast("double"), F.lit(0.0)) for c in feats])
+    return F.array(*[F.col(q(c)).cast("double") for c in feats])
+
+
+def require_complete(df: DataFrame, feats: Sequence[str]) -> None:
+    """Raise when a feature is missing in some row: a distance needs all."""
+    row = df.agg(*[F.count_if(F.col(q(c)).isNull()).alias(c) for c in feats]).first().asDict()
+    lacking = sorted(c for c, n in row.items() if n)
+    if lacking:
+        raise ValueError(f"missing values in {lacking}: impute them first")
 
 
 def distance_expr(a: Column, b: Column, metric: str = "euclidean", p: float = 2.0) -> Column:
@@ -77,6 +85,9 @@ def knn_join(
     """(lkey, rkey, dist, rank) for the k nearest right rows of every left
     row; ties ordered by right key."""
     spark = left.sparkSession
+    if feats is not None:
+        require_complete(left, feats)
+        require_complete(right, feats)
     L = left.select(F.col(q(lkey)).alias("lk"), vector_col(left, vec, feats).alias("lv"))
     R = right.select(F.col(q(rkey)).alias("rk"), vector_col(right, vec, feats).alias("rv"))
     n_right = R.count()

@@ -160,7 +160,7 @@ def _assemble(df: DataFrame, feats: Sequence[str], out: str = "features") -> Dat
 def _label_index(train: DataFrame, y: str):
     from pyspark.ml.feature import StringIndexer
 
-    return StringIndexer(inputCol=y, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train.select(F.col(q(y)).cast("string").alias(y)))
+    return StringIndexer(inputCol=y, outputCol="__label", stringOrderType="alphabetAsc", handleInvalid="error").fit(train.select(F.col(q(y)).cast("string").alias(y)))
 
 
 @dataclass

@@ -203,12 +203,16 @@ def detect_task(df: DataFrame, target: str, cfg: ProfileConfig = DEFAULT_PROFILE
     return "classification" if n <= cfg.max_classes else "regression"
 
 
-def class_imbalance(df: DataFrame, target: str, cfg: ProfileConfig = DEFAULT_PROFILE) -> DataFrame:
+def class_imbalance(df: DataFrame, target: str, cfg: ProfileConfig = DEFAULT_PROFILE, task: str | None = None) -> DataFrame:
     """(minority, ratio, imbalanced, message): smallest class count over all
     rows (missing target rows count in the denominator).  Ties -> smallest
-    label.  No row for a regression target or an empty table."""
+    label.  No row for a regression target or an empty table.  With ``task``
+    the number of classes does not matter; without, more than
+    ``cfg.max_classes`` values mean regression."""
     t = F.col(q(target))
     g = df.groupBy(t.alias("cls")).agg(F.count("*").alias("n"))
+    if task == "regression":
+        g = g.limit(0)
     s = g.agg(
         F.sum("n").alias("total"),
         F.count("cls").alias("n_classes"),
@@ -224,7 +228,8 @@ def class_imbalance(df: DataFrame, target: str, cfg: ProfileConfig = DEFAULT_PRO
         F.lit(f" (threshold {cfg.imbalance_threshold})"),
     )
     imb = ratio < cfg.imbalance_threshold
-    return s.where((F.col("n_classes") <= cfg.max_classes) & (F.col("n_classes") >= 1)).select(
+    few = F.lit(True) if task == "classification" else F.col("n_classes") <= cfg.max_classes
+    return s.where(few & (F.col("n_classes") >= 1)).select(
         F.col("m.cls").cast("string").alias("minority"),
         ratio.cast("double").alias("ratio"),
         imb.alias("imbalanced"),
@@ -442,9 +447,9 @@ def health_rows(df: DataFrame, cfg: ProfileConfig = DEFAULT_PROFILE, target: str
             fences[c] = (q1, q3, q1 - k * iqr, q3 + k * iqr)
         for c, _q1, _q3, _lo, _hi, cnt in outlier_counts_from_fences(df, fences, cfg):
             out.append(("outliers", c, float(cnt), None))
-    if target is not None and task is not None:
-        for r in class_imbalance(df, target, cfg).collect():  # one row at most
-            if task == "classification" and r["imbalanced"]:
+    if target is not None and task == "classification":
+        for r in class_imbalance(df, target, cfg, task).collect():  # one row at most
+            if r["imbalanced"]:
                 out.append(("class_imbalance", r["minority"], float(r["ratio"]), r["message"]))
     for c, _dt, _n, _bad, msg in _wrong_rows(row, cat):
         out.append(("wrong_dtypes", c, None, msg))

@@ -14,15 +14,16 @@ def user_transform(df: DataFrame, fn: Callable, batch_schema: str | None = None,
     """Returns (result, error_text or None).  With ``batch_schema`` the
     function is an iterator of pandas batches -> iterator of pandas batches
     (``mapInPandas``); otherwise it maps a DataFrame to a DataFrame
-    (``DataFrame.transform``).  ``check`` runs one cheap action (a
-    one-row probe) so that errors surface here rather than later."""
+    (``DataFrame.transform``).  ``check`` runs the
+    step over every row once (into the no-op sink, nothing kept) so that an
+    error in any row is reported here rather than raised later."""
     try:
         out = df.mapInPandas(fn, batch_schema) if batch_schema else df.transform(fn)
         if not isinstance(out, DataFrame):
             return df, f"TypeError: step returned {type(out).__name__}, not a DataFrame"
         out.schema  # analysis errors
         if check:
-            out.limit(1).collect()
+            out.write.format("noop").mode("overwrite").save()
         return out, None
     except Exception as exc:
         msg = str(exc).splitlines()[0] if str(exc) else ""

@@ -301,7 +301,8 @@ def q_check_improvement(spark, sf):
 def q_scorecard(spark, sf):
     acc_b, acc_a, mb, ma = _scaling_checks(spark, sf)
     checks = {
-        "runs": (True, "scaler fitted and applied"),
+        # the scaled frame was scored: a failed fit, apply or prediction leaves NaN
+        "runs": (acc_a == acc_a, "scaler fitted and applied"),
         "scale_fixed": (bool(mb) and not ma, f"mismatch before={mb} after={ma}"),
         "accuracy_gain": EV.check_improvement(acc_b, acc_a, "accuracy_gain"),
     }
@@ -338,19 +339,21 @@ UNION ALL SELECT 'bad_feature', false, 'New column ''bad_feature'' does not star
 UNION ALL SELECT 'fe_empty', count(CASE WHEN p_size < 0 THEN 1.0 END) > 0,
        CASE WHEN count(CASE WHEN p_size < 0 THEN 1.0 END) > 0 THEN 'fe_empty' ELSE 'New column ''fe_empty'' is entirely NaN' END FROM part
 UNION ALL SELECT 'two_new', false, 'Expected 1 new column, got 2: [''fe_a'', ''fe_b'']'
-UNION ALL SELECT 'none_new', false, 'No new column was added'"""
+UNION ALL SELECT 'none_new', false, 'No new column was added'
+UNION ALL SELECT 'fe_touched', false, 'Columns changed or lost: [''p_size'']'"""
 
 
 @query("validate_feature", _VALIDATE_SQL)
 def q_validate_feature(spark, sf):
     d = T(spark, sf, "part")
-    before = d.columns
+    before = d
     trials = {
         "fe_price_per_size": d.withColumn("fe_price_per_size", F.try_divide(F.col("p_retailprice"), F.col("p_size"))),
         "bad_feature": d.withColumn("bad_feature", F.col("p_size") * 10),
         "fe_empty": d.withColumn("fe_empty", F.when(F.col("p_size") < 0, F.lit(1.0))),
         "two_new": d.withColumn("fe_a", F.col("p_size")).withColumn("fe_b", F.col("p_size")),
         "none_new": d,
+        "fe_touched": d.withColumn("p_size", F.col("p_size") + 1).withColumn("fe_touched", F.col("p_size")),
     }
     rows = [(name,) + FE.validate_feature(before, after) for name, after in trials.items()]
     return spark.createDataFrame(rows, "attempt string, ok boolean, detail string")

@@ -34,7 +34,7 @@ def faulted_events(spark, sf_dir: str) -> DataFrame:
     (shared checkpoint folder): every check reads it in several passes."""
     from ..session import cut_lineage
 
-    k = ("faulted_events", id(spark.sparkContext), sf_dir)
+    k = ("faulted_events", spark.sparkContext.applicationId, sf_dir)
     if k not in _MEMO:
         _MEMO[k] = cut_lineage(inject_nulls(table(spark, sf_dir, "events"), EVENT_FAULTS, key="event_id", seed=42))
     return _MEMO[k]
@@ -62,7 +62,7 @@ def memo(fn):
     filter_features run)."""
 
     def run(spark, sf):
-        k = (fn.__name__, id(spark.sparkContext), sf)
+        k = (fn.__name__, spark.sparkContext.applicationId, sf)
         if k not in _MEMO:
             _MEMO[k] = fn(spark, sf)
         return _MEMO[k]

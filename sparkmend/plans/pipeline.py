@@ -65,7 +65,8 @@ def run_pipeline(
         # passes): its lineage is cut with a reliable checkpoint in the
         # cluster's shared checkpoint folder
         fixed = cut_lineage(fixed.drop(*[c for c in ("weight",) if c in fixed.columns]))
-        cands = FE.candidate_features(fixed, target, candidate_kinds, cols=[c for c in numeric_cols(fixed, exclude=[target, key])])
+        # candidates come from columns of the input, not from 0/1 level columns
+        cands = FE.candidate_features(fixed, target, candidate_kinds, cols=[c for c in numeric_cols(fixed, exclude=[target, key]) if c in df.columns])
         feat_df, log = FE.greedy_features(fixed, target, cands, key, fcfg, cfg, task)
         out["features_log"] = log
         kept = [x["feature_name"] for x in log.where("kept").collect()]

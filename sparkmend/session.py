@@ -40,7 +40,7 @@ def ship_package(spark: SparkSession) -> None:
     UDFs that call package functions import on every executor."""
     global _ZIP
     sc = spark.sparkContext
-    if id(sc) in _SHIPPED:
+    if sc.applicationId in _SHIPPED:
         return
     if _ZIP is None:
         import zipfile
@@ -56,18 +56,20 @@ def ship_package(spark: SparkSession) -> None:
                         z.write(full, os.path.join("sparkmend", os.path.relpath(full, root)))
         _ZIP = path
     sc.addPyFile(_ZIP)
-    _SHIPPED.add(id(sc))
+    _SHIPPED.add(sc.applicationId)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder; set a scratch one only when
-    the session has none (local tests)."""
+    """Return the cluster's checkpoint folder; a scratch one is made only for
+    a local master (tests), as executors elsewhere could not share it."""
     sc = spark.sparkContext
     already = sc.getCheckpointDir()
     if already:  # set once per context (each set makes a new sub-folder)
         return already
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="sparkmend-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", current)
     sc.setCheckpointDir(current)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import nan_to_null, q, row_hash
 from ..operators.quantiles import exact_quantiles
-from ..operators.rank import hash_select_smallest
+from ..operators.rank import smallest_cutoffs
 
 
 def load(spark: SparkSession, path: str, fmt: str = "parquet", target: str | None = None, **options) -> DataFrame:
@@ -51,13 +51,14 @@ def inject_nulls(df: DataFrame, fracs: dict, key: str, seed: int = 42, n_rows: i
     key share a hash, and the exact count is then broken arbitrarily among
     them (and a hot key would land in the one ranked bucket)."""
     n = df.count() if n_rows is None else n_rows
-    out = df
-    for col, frac in fracs.items():
-        m = int(n * frac)
-        marked = hash_select_smallest(out, [key], seed, m, salt=col, out="__sel")
-        dt = df.schema[col].dataType
-        out = marked.withColumn(col, F.when(F.col("__sel"), F.lit(None).cast(dt)).otherwise(F.col(q(col)))).drop("__sel")
-    return out.select(*df.columns)
+    wanted = {c: int(n * frac) for c, frac in fracs.items() if int(n * frac) > 0}
+    cutoffs = smallest_cutoffs(df, key, seed, wanted) if wanted else {}
+    repl = {}
+    for c, (edge, last) in cutoffs.items():
+        h = row_hash([key], seed, c)
+        hit = h <= edge if last is None else (h < edge) | ((h == edge) & (F.col(q(key)) <= F.lit(last)))
+        repl[c] = F.when(~hit, F.col(q(c)))
+    return df.withColumns(repl) if repl else df
 
 
 def inject_scale(df: DataFrame, col: str, factor: float = 1500.0) -> DataFrame:
