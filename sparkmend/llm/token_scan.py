@@ -105,7 +105,9 @@ def count_tokens(files: DataFrame, folder: str, eod: int = EOD, block: int = BLO
                     lengths, rest = scan(np.frombuffer(f.read(min(step, size - k * step)), DTYPE), eod)
                 yield pd.DataFrame({"file": [file], "block": [k], "last": [(k + 1) * step >= size], "ends": [lengths], "rest": [rest]})
 
-    cuts = cuts.repartition("file", "block")
+    # by number: a few bytes per row here stand for a whole block of work, which
+    # a split by size would put into one task
+    cuts = cuts.repartition(int(cuts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "file", "block")
     blocks = cuts.mapInPandas(read, "file string, block bigint, last boolean, ends array<bigint>, rest bigint")
     # prefix scan over a file's blocks: documents before the block, and the
     # tokens left over since the last block with a separator
@@ -140,4 +142,5 @@ def document_tokens(
     files = manifest.groupBy("file").agg(F.max("bytes").alias("bytes"))
     counts = count_tokens(files, folder, block=block)
     kind = dict(df.dtypes)[id_col]
-    return manifest.join(counts, ["file", "doc"]).select(F.col("id").cast(kind).alias(id_col), "n_tokens")
+    # both sides grow with the documents: never broadcast
+    return manifest.join(counts.hint("merge"), ["file", "doc"]).select(F.col("id").cast(kind).alias(id_col), "n_tokens")
