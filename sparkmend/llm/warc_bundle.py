@@ -208,7 +208,10 @@ def read_bundles(index: DataFrame, folder: str, payload: bool = True) -> DataFra
                         yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
 
     frames = index.select("archive", "frame").distinct()
-    return frames.repartition("archive", "frame").mapInPandas(pages, PAGES)
+    # dealt out evenly by number: a row stands for a whole frame of work, and a
+    # split by key or size would be merged into one task
+    parts = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return frames.repartition(parts).mapInPandas(pages, PAGES)
 
 
 def read_records(index_rows: DataFrame, folder: str) -> DataFrame:
