@@ -133,7 +133,11 @@ def evaluate_fix(
             kept = apply_fixes(d, [s for s in steps if s["action"] != "log_target"], target, split_col="is_test", key=held)
             after = baseline_score(kept, target, keys, task, cfg, log_target=True)
         else:
-            after = baseline_score(fixed, target, keys, task, cfg)
+            scored = fixed.persist()  # read by every pass of the score
+            try:
+                after = baseline_score(scored, target, keys, task, cfg)
+            finally:
+                scored.unpersist(blocking=False)
     except Exception as exc:  # reported in the result row
         err = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
         after = before
