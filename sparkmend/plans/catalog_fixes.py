@@ -377,3 +377,12 @@ ORACLES["heatmap_data"] = (
     )
     + ") WHERE row IN (SELECT col FROM surv) AND col IN (SELECT col FROM surv)"
 )
+# the surviving columns depend on the walk: they are named here, and the walk
+# must leave exactly them, or the oracle has no rows
+_SURVIVORS = ["l_qty_copy"]
+ORACLES["filter_features"] = (
+    _walk_sql()
+    + f"""
+SELECT {', '.join([*_SURVIVORS, TGT, 'l_returnflag'])} FROM {_LCF}
+WHERE (SELECT list(col ORDER BY ord) FROM tc WHERE raw >= 0.1 AND NOT list_contains((SELECT dropped FROM final), col)) = {_SURVIVORS}"""
+)

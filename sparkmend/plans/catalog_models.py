@@ -4,6 +4,7 @@ user steps and the whole pipeline (SURVEY 2.3, 2.4 metrics, 2.9-2.11,
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import row_hash_sql
@@ -16,10 +17,11 @@ from ..operators import profile as P
 from ..operators import split as S
 from ..operators import tune as TU
 from ..sources import io
+from . import catalog_fixes as FXQ
 from .common import faulted_events, faulted_events_sql, memo, rounded
 from .pipeline import run_pipeline
 from .registry import query
-from .sqlgen import missing_sql
+from .sqlgen import gram_sql, means_sql, missing_sql, residual_sql, ridge_sql, union
 
 T = io.table
 FE_SQL = faulted_events_sql()
@@ -107,40 +109,133 @@ def q_fit_elasticnet(spark, sf):
 
 # ── classifiers and regressors (Spark ML) ───────────────────────────────────
 
+# a target that the features explain up to noise: l_qty_noisy (quantity plus a
+# hashed 0-10), as number, as two classes and as three
+_NOISY = FXQ._LCF
+_BAND = "CASE WHEN l_qty_noisy < 18 THEN 'low' WHEN l_qty_noisy < 38 THEN 'mid' ELSE 'high' END"
+_HALF = "CASE WHEN l_qty_noisy > 30 THEN 'b' ELSE 'a' END"
+TREE_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
-def _classify(spark, sf, model, params):
+
+def noisy_split(spark, sf):
+    d = FXQ.lineitem_corr_frame(spark, sf)
+    return S.train_test_split(d.withColumn("band", F.expr(_BAND)).withColumn("half", F.expr(_HALF)), "l_orderkey")
+
+
+_NOISY_SPLIT = f"(SELECT *, {_BAND} AS band, {_HALF} AS half, ({row_hash_sql(['l_orderkey'], 42)} % 100) < 20 AS is_test FROM {_NOISY})"
+
+
+def _newton_sql(steps: int = 12) -> str:
+    """L2 logistic regression of ``half`` on two scaled features by Newton
+    steps: (1/n) sum logloss + |w|^2 / (2n), intercept free."""
+    return f"""WITH RECURSIVE raw AS MATERIALIZED (SELECT l_quantity AS a, l_discount AS b, CAST(half = 'b' AS DOUBLE) AS y FROM {_NOISY_SPLIT} WHERE NOT is_test),
+st AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM raw),
+d AS MATERIALIZED (SELECT (a - ma) / sa AS x1, (b - mb) / sb AS x2, y FROM raw, st),
+it(k, b0, b1, b2) AS (
+  SELECT 0, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+  UNION ALL
+  SELECT k + 1,
+    b0 - (g0 * (h11 * h22 - h12 * h12) + g1 * (h02 * h12 - h01 * h22) + g2 * (h01 * h12 - h02 * h11)) / det,
+    b1 - (g0 * (h02 * h12 - h01 * h22) + g1 * (h00 * h22 - h02 * h02) + g2 * (h01 * h02 - h00 * h12)) / det,
+    b2 - (g0 * (h01 * h12 - h02 * h11) + g1 * (h01 * h02 - h00 * h12) + g2 * (h00 * h11 - h01 * h01)) / det
+  FROM (SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM (
+    SELECT k, b0, b1, b2, sum(p - y) AS g0, sum((p - y) * x1) + b1 AS g1, sum((p - y) * x2) + b2 AS g2,
+           sum(v) AS h00, sum(v * x1) AS h01, sum(v * x2) AS h02, sum(v * x1 * x1) + 1 AS h11, sum(v * x1 * x2) AS h12, sum(v * x2 * x2) + 1 AS h22
+    FROM (SELECT *, p * (1 - p) AS v FROM (SELECT *, 1 / (1 + exp(-(b0 + b1 * x1 + b2 * x2))) AS p FROM it, d WHERE k < {steps}))
+    GROUP BY k, b0, b1, b2)))
+SELECT 'intercept' AS term, round(b0, 3) AS coef, 2 AS n_classes FROM it WHERE k = {steps}
+UNION ALL SELECT 'l_quantity', round(b1, 3), 2 FROM it WHERE k = {steps}
+UNION ALL SELECT 'l_discount', round(b2, 3), 2 FROM it WHERE k = {steps}"""
+
+
+@query("fit_logistic", _newton_sql())
+def q_fit_logistic(spark, sf):
+    feats = ["l_quantity", "l_discount"]
+    d = noisy_split(spark, sf)
+    train = d.where(~F.col("is_test"))
+    train = FX.apply_scale(train, FX.scale_params(train, feats, "standard"))
+    fit = M.fit_classifier(train, feats, "half", "logistic", {"C": 1.0, "tol": 1e-12})
+    coefs = [("intercept", float(fit.model.intercept))] + list(zip(feats, map(float, fit.model.coefficients)))
+    rows = [(t, round(c, 3), int(fit.model.numClasses)) for t, c in coefs]
+    return spark.createDataFrame(rows, "term string, coef double, n_classes int")
+
+
+@query("fit_logistic_classes")
+def q_fit_logistic_classes(spark, sf):
     d = lineitem_split(spark, sf)
-    if model == "logistic":
-        # the scale mismatch is repaired first (standard scaler fitted on the
-        # training rows), as the repair plan would; the L2 objective is
-        # ill-conditioned on raw prices and day numbers
-        d = FX.apply_scale(d, FX.scale_params(d.where(~F.col("is_test")), CLS_FEATS, "standard"))
-    fit = M.fit_classifier(d.where(~F.col("is_test")), CLS_FEATS, "l_returnflag", model, params)
+    # the scale mismatch is repaired first (standard scaler fitted on the
+    # training rows), as the repair plan would; the L2 objective is
+    # ill-conditioned on raw prices and day numbers
+    d = FX.apply_scale(d, FX.scale_params(d.where(~F.col("is_test")), CLS_FEATS, "standard"))
+    fit = M.fit_classifier(d.where(~F.col("is_test")), CLS_FEATS, "l_returnflag", "logistic", {"C": 1.0})
     return fit.predict(d.where(F.col("is_test"))).select("l_orderkey", "l_linenumber", "l_returnflag", F.col("pred_label").alias("prediction"))
 
 
-@query("fit_logistic")
-def q_fit_logistic(spark, sf):
-    return _classify(spark, sf, "logistic", {"C": 1.0})
+# What trees grown by another engine must share: one row per test row, labels
+# seen in training, and a score as good as looking the row's quantity up in the
+# training rows (most frequent class, mean) up to SLACK.
+SLACK = 0.02
+
+
+def _lookup_sql(label: str) -> str:
+    return f"""WITH s AS MATERIALIZED (SELECT * FROM {_NOISY_SPLIT}),
+best AS (SELECT l_quantity, {label} AS guess FROM (SELECT l_quantity, {label}, count(*) AS n FROM s WHERE NOT is_test GROUP BY ALL)
+         QUALIFY row_number() OVER (PARTITION BY l_quantity ORDER BY n DESC, {label}) = 1)
+SELECT l_orderkey, l_linenumber, s.{label} AS label, true AS seen_label,
+       round((SELECT avg(CAST(t.{label} = guess AS DOUBLE)) FROM s t JOIN best USING (l_quantity) WHERE t.is_test), 6) AS lookup_accuracy,
+       true AS as_good FROM s WHERE is_test"""
+
 
+def _classify(spark, sf, label, model, params):
+    d = noisy_split(spark, sf)
+    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    fit = M.fit_classifier(train, TREE_FEATS, label, model, params)
+    out = fit.predict(test)
+    w = Window.partitionBy("l_quantity").orderBy(F.col("n").desc(), F.col(label))
+    best = train.groupBy("l_quantity", label).agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(w))
+    best = best.where("r = 1").select("l_quantity", F.col(label).alias("guess"))
+    both = out.join(best, "l_quantity", "left")
+    got, lookup = both.agg(M.accuracy_expr(label, "pred_label"), F.avg((F.col(label) == F.col("guess")).cast("double"))).first()
+    return out.select(
+        "l_orderkey", "l_linenumber", F.col(label).alias("label"), F.col("pred_label").isin(fit.indexer.labels).alias("seen_label"),
+        F.lit(round(lookup, 6)).alias("lookup_accuracy"), F.lit(got >= lookup - SLACK).alias("as_good"),
+    )
 
-@query("fit_random_forest")
+
+@query("fit_random_forest", _lookup_sql("band"))
 def q_fit_random_forest(spark, sf):
-    return _classify(spark, sf, "rf", {"n_estimators": 50, "max_depth": 8, "min_samples_leaf": 1, "max_features": "sqrt"})
+    return _classify(spark, sf, "band", "rf", {"n_estimators": 100, "max_depth": 8, "min_samples_leaf": 1, "max_features": "sqrt"})
 
 
-@query("fit_gbt_classifier")
+@query("fit_gbt_classifier", _lookup_sql("half"))
 def q_fit_gbt_classifier(spark, sf):
-    return _classify(spark, sf, "gbt", {"n_estimators": 20, "max_depth": 3, "learning_rate": 0.1})
+    return _classify(spark, sf, "half", "gbt", {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.1})
 
 
-@query("fit_gbt_regressor")
+@query(
+    "fit_gbt_regressor",
+    f"""WITH s AS MATERIALIZED (SELECT * FROM {_NOISY_SPLIT}),
+best AS (SELECT l_quantity, avg(l_qty_noisy) AS guess FROM s WHERE NOT is_test GROUP BY l_quantity)
+SELECT l_orderkey, l_linenumber, round(l_qty_noisy, 6) AS l_qty_noisy, true AS in_range,
+       round((SELECT sqrt(avg(power(t.l_qty_noisy - guess, 2))) FROM s t JOIN best USING (l_quantity) WHERE t.is_test), 6) AS lookup_rmse,
+       true AS as_good FROM s WHERE is_test""",
+)
 def q_fit_gbt_regressor(spark, sf):
-    d = lineitem_split(spark, sf)
-    feats = ["l_quantity", "l_discount", "l_tax", "ship_day"]
-    mdl = M.fit_gbt_regressor(d.where(~F.col("is_test")), feats, "l_extendedprice", {"n_estimators": 30, "max_depth": 4, "learning_rate": 0.1})
-    out = M.predict_regressor(mdl, d.where(F.col("is_test")), feats, "prediction")
-    return rounded(out.select("l_orderkey", "l_linenumber", "l_extendedprice", "prediction"))
+    d = noisy_split(spark, sf)
+    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
+    mdl = M.fit_gbt_regressor(train, TREE_FEATS, "l_qty_noisy", {"n_estimators": 100, "max_depth": 4, "learning_rate": 0.1})
+    out = M.predict_regressor(mdl, test, TREE_FEATS, "prediction")
+    lo, hi = train.agg(F.min("l_qty_noisy"), F.max("l_qty_noisy")).first()
+    best = train.groupBy("l_quantity").agg(F.avg("l_qty_noisy").alias("guess"))
+    both = out.join(best, "l_quantity", "left")
+    got, lookup = both.agg(M.rmse_expr("l_qty_noisy", "prediction"), M.rmse_expr("l_qty_noisy", "guess")).first()
+    pad = (hi - lo) / 10  # boosted sums may step a little outside
+    return rounded(
+        out.select(
+            "l_orderkey", "l_linenumber", "l_qty_noisy", F.col("prediction").between(lo - pad, hi + pad).alias("in_range"),
+            F.lit(round(lookup, 6)).alias("lookup_rmse"), F.lit(got <= lookup * (1 + SLACK)).alias("as_good"),
+        )
+    )
 
 
 @query(
@@ -366,12 +461,69 @@ def _greedy(spark, sf):
     return FE.greedy_features(d, "l_extendedprice", cands, "l_orderkey", task="regression")
 
 
-@query("greedy_features")
+_GREEDY_COLS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _greedy_sql() -> str:
+    """The keep-if-better walk over ridge scores from one train and one test
+    Gram matrix (recursive CTE; a feature that is not in the model is masked)."""
+    base = ["l_orderkey", *_GREEDY_COLS]
+    cands = [(f"fe_log1p_{c}", f"CASE WHEN {c} > -1 THEN ln(1 + {c}) END") for c in _GREEDY_COLS]
+    for i, a in enumerate(_GREEDY_COLS):
+        for b in _GREEDY_COLS[i + 1 :]:
+            cands.append((f"fe_ratio_{a}_{b}", f"CASE WHEN {b} = 0 THEN NULL ELSE CAST({a} AS DOUBLE) / {b} END"))
+            cands.append((f"fe_prod_{a}_{b}", f"CAST({a} AS DOUBLE) * {b}"))
+    names, y = [n for n, _ in cands], "l_extendedprice"
+    feats = base + names
+    p, nb, nc = len(feats), len(base), len(cands)
+    table = ", ".join(f"({i + 1}, '{n}', '{sql}')" for i, (n, sql) in enumerate(cands))
+    made = ", ".join(f"{sql} AS {n}" for n, sql in cands)
+    keys = ", ".join(["l_orderkey", *_GREEDY_COLS, y, "l_returnflag"])
+    return f"""WITH RECURSIVE wide AS MATERIALIZED (SELECT {keys}, is_test, {made} FROM {LI_SPLIT}),
+mu AS MATERIALIZED ({means_sql('wide', feats, y, 'NOT is_test')}),
+tr AS MATERIALIZED ({gram_sql('wide', feats, y, 'NOT is_test', 'mu')}),
+te AS MATERIALIZED ({gram_sql('wide', feats, y, 'is_test', 'mu')}),
+cand(i, name, code) AS (VALUES {table}),
+first AS (SELECT list_transform(range(1, {p + 1}), lambda i: CASE WHEN i <= {nb} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS mask),
+walk(it, mask, cur, before, after, kept, room, misses) AS (
+  SELECT 0, mask, s, s, s, false, greatest(1, CAST(floor(0.5 * {nb + 1}) AS INTEGER)), 0
+  FROM (SELECT mask, {residual_sql('w', 'te.g', 'te.n', p)} AS s FROM (SELECT mask, {ridge_sql('tr.g', 'mask', p)} AS w FROM first, tr), te)
+  UNION ALL
+  SELECT it + 1, CASE WHEN new < cur THEN trial ELSE mask END, least(new, cur), cur, new, new < cur,
+         room - CAST(new < cur AS INTEGER), CASE WHEN new < cur THEN 0 ELSE misses + 1 END
+  FROM (SELECT it, mask, trial, cur, room, misses, {residual_sql('w', 'te.g', 'te.n', p)} AS new
+        FROM (SELECT *, {ridge_sql('tr.g', 'trial', p)} AS w
+              FROM (SELECT *, list_transform(mask, lambda x, i: CASE WHEN i = {nb} + it + 1 THEN 1.0::DOUBLE ELSE x END) AS trial
+                    FROM walk WHERE it < {nc} AND room > 0 AND misses < 5), tr), te)),
+last AS (SELECT mask FROM walk ORDER BY it DESC LIMIT 1)"""
+
+
+_GREEDY_NAMES = [f"fe_log1p_{c}" for c in _GREEDY_COLS] + [
+    f"fe_{kind}_{a}_{b}" for i, a in enumerate(_GREEDY_COLS) for b in _GREEDY_COLS[i + 1 :] for kind in ("ratio", "prod")
+]
+
+
+# every candidate is a column of the result, null where it was not kept
+@query(
+    "greedy_features",
+    _greedy_sql()
+    + f"\nSELECT {', '.join(['l_orderkey', *_GREEDY_COLS, 'l_extendedprice', 'l_returnflag'])}, "
+    + ", ".join(f"CASE WHEN mask[{5 + i}] = 1 THEN round({n}, 6) END AS {n}" for i, n in enumerate(_GREEDY_NAMES))
+    + " FROM wide, last",
+)
 def q_greedy_features(spark, sf):
-    return rounded(_greedy(spark, sf)[0])
+    out = _greedy(spark, sf)[0]
+    return rounded(out.withColumns({n: F.lit(None).cast("double") for n in _GREEDY_NAMES if n not in out.columns}))
 
 
-@query("feature_log")
+@query(
+    "feature_log",
+    _greedy_sql()
+    + """
+SELECT it AS iteration, name AS feature_name, code, round(before, 4) AS metric_before, round(after, 4) AS metric_after,
+       round(before - after, 4) AS delta, kept, CASE WHEN kept THEN 'Improved metric' ELSE 'No improvement' END AS reason
+FROM walk JOIN cand ON cand.i = walk.it""",
+)
 def q_feature_log(spark, sf):
     return _greedy(spark, sf)[1]
 
@@ -391,7 +543,26 @@ def _tune_log(spark, sf):
     return TU.tune(d, "l_extendedprice", "l_orderkey", n_trials=4, cv_folds=3, preset="log_target")
 
 
-@query("cv_score")
+_CV_FEATS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _cv_ridge_sql(k: int = 5) -> str:
+    """Closed-form ridge per fold."""
+    src = f"(SELECT *, {row_hash_sql(['l_orderkey'], 42, 'fold')} % {k} AS fold FROM lineitem)"
+    ctes, rows = [], []
+    p, y = len(_CV_FEATS), "l_extendedprice"
+    for f in range(k):
+        ctes += [
+            f"m{f} AS ({means_sql(src, _CV_FEATS, y, f'fold <> {f}')})",
+            f"a{f} AS ({gram_sql(src, _CV_FEATS, y, f'fold <> {f}', f'm{f}')})",
+            f"b{f} AS ({gram_sql(src, _CV_FEATS, y, f'fold = {f}', f'm{f}')})",
+        ]
+        w = f"(SELECT {ridge_sql('g', '[1.0, 1.0, 1.0]', p)} AS w FROM a{f})"
+        rows.append(f"SELECT 0 AS trial, {f} AS fold, round({residual_sql('w', 'g', 'n', p)}, 6) AS score FROM {w}, b{f}")
+    return "WITH " + ",\n".join(ctes) + "\n" + union(rows)
+
+
+@query("cv_score", _cv_ridge_sql())
 def q_cv_score(spark, sf):
     d = T(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_extendedprice")
     d = S.kfold(d, "l_orderkey", 5)

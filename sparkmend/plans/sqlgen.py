@@ -101,3 +101,47 @@ WHERE kk.k >= 2 AND hi.s / lo.s > {P.scale_ratio}"""
     vals = ", ".join(f"('{c}', '{t}')" for c, t in dtypes)
     parts.append(f"SELECT 'dtype', c, CAST(NULL AS DOUBLE), t FROM (VALUES {vals}) v(c, t)")
     return union(parts)
+
+
+# ── ridge regression in SQL (for oracles) ───────────────────────────────────
+
+
+def gram_sql(src: str, feats: list[str], y: str, where: str, shift: str) -> str:
+    """One row ``g``: the matrix of sums z_i z_j of z = [feats, y] - shift over
+    the rows of ``src`` (columns feats and y) that satisfy ``where``, missing
+    values at the mean; ``n``: their count.  ``shift``: a one-row table of
+    means m0, m1, ... in the same order."""
+    cols = [*feats, y]
+    z = ", ".join(f"coalesce(CAST({c} AS DOUBLE) - m{i}, 0.0) AS z{i}" for i, c in enumerate(cols))
+    k = range(len(cols))
+    g = ", ".join("[" + ", ".join(f"sum(z{min(i, j)} * z{max(i, j)})" for j in k) + "]" for i in k)
+    return f"SELECT count(*) AS n, [{g}] AS g FROM (SELECT {z} FROM {src}, {shift} WHERE {where})"
+
+
+def means_sql(src: str, feats: list[str], y: str, where: str) -> str:
+    return "SELECT " + ", ".join(f"avg(CAST({c} AS DOUBLE)) AS m{i}" for i, c in enumerate([*feats, y])) + f" FROM {src} WHERE {where}"
+
+
+def ridge_sql(g: str, mask: str, p: int, alpha: float = 1.0) -> str:
+    """Weights (DOUBLE[p]) of ridge on the Gram matrix ``g`` (its last row and
+    column are the target's) with feature i multiplied by mask[i]: elimination
+    over the pivots, one list fold."""
+    start = (
+        f"list_transform({g}[1:{p}], lambda row, i: list_transform(row, lambda x, j: "
+        f"CASE WHEN j > {p} THEN x * {mask}[i] ELSE x * {mask}[i] * {mask}[j] + CASE WHEN i = j THEN {alpha} ELSE 0.0 END END))"
+    )
+    pivot = "CAST(e[1][1] AS INTEGER)"
+    step = (
+        f"list_transform(a, lambda row, i: list_transform(row, lambda x, j: "
+        f"CASE WHEN i = {pivot} THEN x / row[{pivot}] ELSE x - row[{pivot}] * a[{pivot}][j] / a[{pivot}][{pivot}] END))"
+    )
+    pivots = f"list_transform(range(1, {p + 1}), lambda k: [[CAST(k AS DOUBLE)]])"
+    return f"list_transform(list_reduce({pivots}, lambda a, e: {step}, {start}), lambda row, i: row[{p + 1}] * {mask}[i])"
+
+
+def residual_sql(w: str, t: str, n: str, p: int) -> str:
+    """RMSE of weights ``w`` on the Gram matrix ``t`` of ``n`` other rows (same
+    shift; the shift is the intercept)."""
+    v = f"list_append(list_transform({w}, lambda x: -x), 1.0)"
+    quad = f"list_sum(list_transform({t}, lambda row, i: {v}[i] * list_sum(list_transform(row, lambda x, j: x * {v}[j]))))"
+    return f"sqrt(greatest({quad} / {n}, 0.0))"
