@@ -1,8 +1,9 @@
 """Moments of many numeric columns in one pass: per partition, numpy sums
 n, sum z and z'z of z = x - shift (shift = column means from a cheap first
-aggregate, to keep the sums well conditioned); Spark adds the partials by
-(group, cell).  Traffic per partition is p*p numbers, whatever the row
-count, and the work per row is one BLAS rank update inside Arrow batches."""
+aggregate, to keep the sums well conditioned); Spark adds the partials as
+vectors, one per (group, matrix row), so a partition sends p + 1 rows of p + 1
+numbers whatever its row count and the sums of one group are spread over p + 1
+keys.  The work per row is one BLAS rank update inside Arrow batches."""
 
 from __future__ import annotations
 
@@ -10,6 +11,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,33 +38,22 @@ def moments(df: DataFrame, cols: Sequence[str], by: str | None = None, shift: np
     sh = np.asarray(shift, dtype=float)
 
     def part(batches):
+        # rows of the augmented matrix [1, z]'[1, z]: row 0 is (n, S), row i
+        # is (S_i, G_i)
         acc: dict = {}
         for pdf in batches:
             for g, grp in pdf.groupby("g"):
-                z = grp[names].to_numpy(dtype=float) - sh
-                n0, s0, g0 = acc.get(g, (0.0, np.zeros(m), np.zeros((m, m))))
-                acc[g] = (n0 + len(z), s0 + z.sum(axis=0), g0 + z.T @ z)
-        frames = []
-        for g, (n0, s0, g0) in acc.items():
-            vec = np.concatenate([[n0], s0, g0.ravel()])
-            frames.append(pd.DataFrame({"g": np.full(len(vec), g, dtype="int64"), "idx": np.arange(len(vec), dtype="int64"), "v": vec}))
-        if frames:
-            yield pd.concat(frames)
-
-    tot = sel.mapInPandas(part, "g long, idx long, v double").groupBy("g", "idx").agg(F.sum("v").alias("v")).collect()  # groups x (1+m+m*m)
-    out: dict = {}
+                z = np.insert(grp[names].to_numpy(dtype=float) - sh, 0, 1.0, axis=1)
+                acc[g] = acc.get(g, 0.0) + z.T @ z
+        for g, a in acc.items():
+            yield pd.DataFrame({"g": np.full(m + 1, g, dtype="int64"), "idx": np.arange(m + 1, dtype="int64"), "v": list(a)})
+
+    rows = sel.mapInPandas(part, "g long, idx long, v array<double>")
+    tot = rows.groupBy("g", "idx").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()  # groups x (1+m)
+    full: dict = {}
     for r in tot:
-        g = int(r["g"])
-        n0, s0, g0 = out.setdefault(g, [0.0, np.zeros(m), np.zeros((m, m))])
-        i, v = int(r["idx"]), r["v"]
-        if i == 0:
-            out[g][0] = v
-        elif i <= m:
-            s0[i - 1] = v
-        else:
-            j = i - 1 - m
-            g0[j // m, j % m] = v
-    res = {g: tuple(v) for g, v in out.items()}
+        full.setdefault(int(r["g"]), np.zeros((m + 1, m + 1)))[int(r["idx"])] = r["v"].toArray()
+    res = {g: (a[0, 0], a[0, 1:], a[1:, 1:]) for g, a in full.items()}
     if by is None:
         return res.get(0, (0.0, np.zeros(m), np.zeros((m, m)))), shift
     return res, shift

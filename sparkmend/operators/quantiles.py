@@ -11,8 +11,8 @@ column ends in one task holding the column.  Here the work is:
    widened, an over-full bracket is narrowed by another sketch pass over
    the bracket rows only;
 3. one pass: ``groupBy(pair, value).count()`` over bracket rows, which is
-   bounded by the bracket size (ties collapse map-side), gathered and
-   walked on the driver.
+   bounded by the bracket size (ties collapse map-side); a running count
+   per pair finds both order statistics, and one row per pair is collected.
 
 The quantile definition is the linear one (h = (n-1)p, interpolate
 between order statistics floor(h) and ceil(h)).
@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,11 +137,8 @@ def resolve(df: DataFrame, cols, probs, n, br, cfg: ProfileConfig = DEFAULT_PROF
                     del pending[key]
                 else:
                     pending[key] = [arr[0], arr[1]]
-    if pending:  # pathological: fall back to gathering the whole bracket
-        for key, (lo, hi) in pending.items():
-            i, _ = key
-            below = df.where(xs[i] < F.lit(lo)).count() if lo is not None else 0
-            ready[key] = (lo, hi, below)
+    for key in pending:  # never settled: the whole column by value, sorted in one spilling task
+        ready[key] = (None, None, 0)
     if ready:
         keys = list(ready)
         x_parts = []
@@ -160,25 +157,15 @@ def resolve(df: DataFrame, cols, probs, n, br, cfg: ProfileConfig = DEFAULT_PROF
             .groupBy("pair", "v")
             .count()
         )
-        rows = exploded.collect()  # bounded: distinct values inside the brackets
-        by_pair: dict = {}
-        for r in rows:
-            by_pair.setdefault(r["pair"], []).append((r["v"], r["count"]))
-        for t, key in enumerate(keys):
-            _lo, _hi, below = ready[key]
-            vals = sorted(by_pair.get(t, []))
-            klo, khi, h = targets[key]
-
-            def at(k):
-                pos = below
-                for v, cnt in vals:
-                    pos += cnt
-                    if k < pos:
-                        return v
-                return vals[-1][0]
-
-            a, b = at(klo), at(khi)
-            result[key] = a + (b - a) * (h - klo)
+        # running counts by value give the two order statistics of each pair;
+        # one row per pair reaches the driver
+        wanted = {t: (targets[key][0] - ready[key][2], targets[key][1] - ready[key][2]) for t, key in enumerate(keys)}
+        running = F.sum("count").over(Window.partitionBy("pair").orderBy("v"))
+        at = [F.element_at(F.array(*[F.lit(wanted[t][e]) for t in range(len(keys))]), F.col("pair") + 1) for e in (0, 1)]
+        found = exploded.withColumn("upto", running).groupBy("pair").agg(*[F.min(F.when(F.col("upto") > at[e], F.col("v"))).alias(f"v{e}") for e in (0, 1)])
+        for r in found.collect():
+            klo, _khi, h = targets[keys[r["pair"]]]
+            result[keys[r["pair"]]] = r["v0"] + (r["v1"] - r["v0"]) * (h - klo)
     return result
 
 
