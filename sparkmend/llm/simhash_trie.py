@@ -7,7 +7,7 @@ from the top bit, adds up the differing bits and drops a pair as soon as
 they exceed the budget.
 
 The upper part of the trie is cut into leaves of about ``n / LEAVES``
-fingerprints, split where the fingerprints are (prefix counts, so a crowded
+fingerprints (never more than LEAF_MAX), split where the fingerprints are (prefix counts, so a crowded
 prefix is split deeper).  The walk over this top trie says which leaves can
 hold partners; a task owns one leaf, receives its partner leaves and goes on
 walking below.  Only a spanning forest of the links it finds leaves a task;
@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import anti_join, free_names, stage
 
-LEAVES = 2048  # of the top trie, at most about twice as many
+LEAVES = 2048  # of the top trie, about, until leaves reach LEAF_MAX
 LEAF_MIN = 1024  # fingerprints; smaller nodes are not split
-STEP_BITS = 12  # of one prefix count
+LEAF_MAX = 1 << 18  # fingerprints; larger nodes are split, whatever the number of leaves
+STEP_BITS = 12  # of one prefix count, fewer where many prefixes are counted
+COUNTS_BITS = 16  # 2**COUNTS_BITS counts are collected at a time, or two per full prefix
 FRONT = 1 << 20  # node pairs walked at a time (bounds a task's memory)
 DIRECT = 64  # node pairs of at most so many fingerprint pairs are compared at once
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -76,15 +78,17 @@ def _order(col):
 
 def top_leaves(fps: DataFrame, n: int) -> list[tuple[int, int]]:
     """(prefix, depth) of the top trie's leaves, in order: prefixes are split
-    while they hold more than ``n / LEAVES`` fingerprints.  Each count brings
-    at most 2**STEP_BITS rows per prefix that is still too full, and at most
-    LEAVES prefixes can be."""
-    full = max(LEAF_MIN, -(-n // LEAVES))
+    while they hold more than ``n / LEAVES`` fingerprints (at least LEAF_MIN,
+    at most LEAF_MAX, so that a task's leaf and its partners stay bounded as
+    the table grows).  A count brings at most 2**COUNTS_BITS rows to the
+    driver, or two per prefix that is still too full."""
+    full = max(LEAF_MIN, min(LEAF_MAX, -(-n // LEAVES)))
     leaves, todo, depth = [], {0: n}, 0
     if n <= full:
         return [(0, 0)]
     while todo:
-        deep = min(64, depth + STEP_BITS)
+        step = min(STEP_BITS, max(1, COUNTS_BITS - (len(todo) - 1).bit_length()))
+        deep = min(64, depth + step)
         rows = fps.select(F.shiftrightunsigned("fp", 64 - deep).alias("p") if deep < 64 else F.col("fp").alias("p"))
         if depth:
             up = F.shiftrightunsigned("p", deep - depth) if deep < 64 else F.shiftrightunsigned("p", 64 - depth)

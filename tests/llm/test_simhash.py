@@ -3,6 +3,7 @@ import re
 import string
 
 import numpy as np
+import pytest
 import xxhash
 
 from sparkmend.llm import simhash_trie as st
@@ -61,9 +62,11 @@ def clustered(seed, n):
     return sorted(out)
 
 
-def test_links_over_many_leaves(spark, monkeypatch):
-    monkeypatch.setattr(st, "LEAF_MIN", 4)
-    monkeypatch.setattr(st, "LEAVES", 64)
+# leaves of n / 64 fingerprints; leaves bounded in size, few counts at a time
+@pytest.mark.parametrize("settings", [{"LEAF_MIN": 4, "LEAVES": 64}, {"LEAF_MIN": 2, "LEAVES": 1, "LEAF_MAX": 8, "STEP_BITS": 6, "COUNTS_BITS": 5}])
+def test_links_over_many_leaves(spark, monkeypatch, settings):
+    for name, value in settings.items():
+        monkeypatch.setattr(st, name, value)
     fps = sorted({*clustered(1, 700), 0, (1 << 64) - 1, 1 << 63, 3, *[0xABCD << 48 | i for i in range(300)]})
     df = spark.createDataFrame([(st._signed(f),) for f in fps], "fp bigint")
     edges = st.links(df, 2)
