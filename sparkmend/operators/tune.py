@@ -200,8 +200,10 @@ def tune(
     preset: str = "generic",
     seed: int = 42,
     cfg: ProfileConfig = DEFAULT_PROFILE,
+    parallelism: int | None = None,
 ):
-    """Returns (trials DataFrame, summary dict with baseline / best).
+    """Returns (trials DataFrame, summary dict with baseline / best);
+    ``parallelism`` fits run at once (by default as many as cores, 8 at most).
 
     presets: generic (type detected, text coded, rf / gbt / knn or ridge /
     lasso / elastic net / gbt), scaled_knn, imputed_rf, log_target."""
@@ -239,7 +241,7 @@ def tune(
             rows = _tune_knn(d, feats, target, cv_folds, trials)
             base = float(np.mean(cv_score(d, "fold", cv_folds, feats, target, {"model": "knn", "n_neighbors": 5}, task)))
         else:
-            all_sc = cv_scores(d, "fold", cv_folds, feats, target, trials, task, preset == "log_target", moments, weight_col)
+            all_sc = cv_scores(d, "fold", cv_folds, feats, target, trials, task, preset == "log_target", moments, weight_col, parallelism)
             for t, (params, sc) in enumerate(zip(trials, all_sc)):
                 rows.append((t, params.get("model", "knn"), json.dumps(params, sort_keys=True), metric, float(np.mean(sc)), json.dumps([round(s, 6) for s in sc])))
             if task == "classification":
