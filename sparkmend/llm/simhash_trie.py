@@ -203,15 +203,13 @@ def forest(own: np.ndarray, every: np.ndarray, budget: int) -> tuple[np.ndarray,
     for i, j in walk(own, every, budget):
         u, v = at[i], j
         while True:
-            low = np.minimum(label[u], label[v])
-            before = label[u].sum() + label[v].sum()
-            for end in (u, v):
-                np.minimum.at(label, label[end], low)
-                np.minimum.at(label, end, low)
+            x, y = label[u], label[v]  # roots: members point at them
+            if np.array_equal(x, y):
+                break
+            # only roots are moved, so links of earlier portions hold
+            np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
             while not np.array_equal(label, label[label]):
                 label = label[label]
-            if before == label[u].sum() + label[v].sum():
-                break
     ends = np.flatnonzero(label != np.arange(len(every)))
     return every[label[ends]], every[ends]
 

@@ -100,6 +100,41 @@ def test_walk_portions_and_leaf_pairs(monkeypatch):
         assert st.leaf_pairs(leaves, budget) == want
 
 
+def test_forest_over_portions(monkeypatch):
+    def joined(fps, edges):
+        parent = {f: f for f in fps}
+
+        def find(x):
+            while parent[x] != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for a, b in edges:
+            parent[find(a)] = find(b)
+        sets = {}
+        for f in fps:
+            sets.setdefault(find(f), set()).add(f)
+        return sorted(map(sorted, sets.values()))
+
+    for seed, front, direct in ((1, 64, 32), (2, 16, 16), (3, 1 << 20, 64)):
+        monkeypatch.setattr(st, "FRONT", front)
+        monkeypatch.setattr(st, "DIRECT", direct)
+        v = np.array(clustered(seed, 3000), np.uint64)
+        gap = np.bitwise_count(v[:, None] ^ v[None, :]) <= 2
+        want = [(int(v[i]), int(v[j])) for i, j in zip(*np.nonzero(np.triu(gap, 1)))]
+        a, b = st.forest(v, v, 2)
+        assert joined(v.tolist(), zip(a.tolist(), b.tolist())) == joined(v.tolist(), want)
+
+
+def test_forest_keeps_links_of_earlier_portions(monkeypatch):
+    portions = [([2], [3]), ([0, 1], [2, 3])]
+    monkeypatch.setattr(st, "walk", lambda own, every, budget: ((np.array(i), np.array(j)) for i, j in portions))
+    v = np.arange(4, dtype=np.uint64)
+    a, b = st.forest(v, v, 2)
+    assert (a.tolist(), b.tolist()) == ([0, 0, 0], [1, 2, 3])
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000), (7, 7)]
     got = {r["node"]: r["root"] for r in st.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
