@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkmend.llm import exact_dedup, length_buckets, simhash_trie, toxic_lexicon, winnow
-from sparkmend.llm.common import anti_join, prepare, shared_path, table
+from sparkmend.llm.common import prepare, shared_path, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 NEAR_SHINGLE, NEAR_BITS = 3, 2
@@ -29,7 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component (smallest doc_id)."""
+    """One document of each SimHash component (smallest doc_id; of documents
+    without one, one besides)."""
     prepare(spark)
     return simhash_trie.keep_one(docs, shingle=NEAR_SHINGLE, max_bits=NEAR_BITS).select(COLUMNS)
 
@@ -37,8 +38,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark window."""
     prepare(spark)
-    found = winnow.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return anti_join(docs, found.filter("contaminated").select("doc_id"), ["doc_id"]).select(COLUMNS)
+    return winnow.drop_contaminated(docs, table(spark, sf_dir, "benchmark")).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import anti_join, free_names, stage
+from .common import free_names, stage
 
 LEAVES = 2048  # of the top trie, about, until leaves reach LEAF_MAX
 LEAF_MIN = 1024  # fingerprints; smaller nodes are not split
@@ -269,6 +269,13 @@ def components(edges: DataFrame) -> DataFrame:
     return cur.select(F.col("u").alias("node"), F.col("v").alias("root")).union(cur.select("v", "v").distinct().toDF("node", "root"))
 
 
+def rooted(fps: DataFrame, max_bits: int) -> DataFrame:
+    """``fps`` (staged, a row per distinct fingerprint ``fp``) plus root, which
+    names the component."""
+    roots = stage(components(links(fps.select("fp"), max_bits)), "components")
+    return fps.join(roots, fps["fp"] == roots["node"], "left").select(*fps.columns, F.coalesce("root", "fp").alias("root"))
+
+
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """Per row: id, fingerprint (16 hex digits), component_id: the smallest id
     reachable over links of at most ``max_bits`` differing bits.
@@ -286,9 +293,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
         ),
         "fingerprints",
     )
-    fps = stage(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints")
-    roots = stage(components(links(fps.select("fp"), max_bits)), "components")
-    named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    named = rooted(stage(rows.groupBy("fp").agg(F.min("id").alias("low")), "distinct-fingerprints"), max_bits)
     lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
     # a table of one row per distinct fingerprint; the rows' side may be hot in
     # one fingerprint, which the adaptive join splits
@@ -299,10 +304,21 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
-    """Rows of ``df`` whose id is the smallest of its component (rows with a
-    null id stay)."""
-    groups = near_dedup(df, id_col, text_col, shingle, max_bits)
-    return anti_join(df, groups.filter(F.col(id_col) != F.col("component_id")).select(id_col), [id_col])
+    """One row of ``df`` per component: the smallest id's, of its rows the one
+    with the smallest fingerprint and text hash.  Of a component's rows with a
+    null id one stays too, chosen alike.
+
+    A row is kept or dropped for itself: other rows with its id do not matter."""
+    fp, row = free_names(df, "fp", "row")
+    rows = stage(with_fingerprint(df, text_col, fp, shingle).withColumn(row, F.monotonically_increasing_id()), "fingerprints")
+    order = F.struct(F.col(id_col).alias("id"), F.col(fp).alias("fp"), F.xxhash64(text_col).alias("hash"), F.col(row).alias("row"))
+    null = F.col(id_col).isNull()
+    # minima on the map side, as one fingerprint may have very many rows
+    firsts = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(F.when(~null, order)).alias("named"), F.min(F.when(null, order)).alias("unnamed"))
+    firsts = rooted(stage(firsts, "distinct-fingerprints"), max_bits)
+    kept = firsts.groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
+    kept = kept.select(F.explode(F.array("named.row", "unnamed.row")).alias("kept_row")).filter("kept_row is not null")
+    return rows.join(kept, rows[row] == kept["kept_row"], "left_semi").drop(fp, row)
 
 
 __all__ = ["near_dedup", "keep_one", "components", "fingerprint"]

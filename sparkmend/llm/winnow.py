@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, stage
+from .common import anti_join, ascii_lower, free_names, stage
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BITS = 1 << 17  # of each bit set
@@ -127,7 +127,7 @@ def decontaminate(
 ) -> DataFrame:
     """Per document: doc_id (named as ``id_col``), n_words, n_hit, n_items,
     items (array of strings, sorted), spans (array of start, length in words,
-    sorted) and contaminated.
+    sorted), contaminated and text_key (xxhash64 of the text).
 
     A word inside any occurrence of any item window is hit.  Null or empty
     texts have no words and no hits; items without words have no windows; an
@@ -212,8 +212,8 @@ def decontaminate(
             F.greatest(a["end"], s["s"] + s["l"]).alias("end"),
         ),
     )["hit"]
-    out = per_doc.select("id", "copies", "n", F.array_sort("items").alias("items"), spans.alias("spans"))
-    out = out.select("id", "n", "items", "spans", covered.alias("n_hit"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    out = per_doc.select("id", "key", "copies", "n", F.array_sort("items").alias("items"), spans.alias("spans"))
+    out = out.select("id", "key", "n", "items", "spans", covered.alias("n_hit"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
     return out.select(
         F.col("id").alias(id_col),
         F.col("n").cast("bigint").alias("n_words"),
@@ -222,4 +222,14 @@ def decontaminate(
         "items",
         "spans",
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.col("key").alias("text_key"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` without any item window, all their columns.  A row
+    goes for its own text only, whatever other rows have its id or none.
+    ``options`` are those of ``decontaminate``."""
+    found = decontaminate(docs, items, id_col, text_col, **options).filter("contaminated").select(id_col, "text_key").distinct()
+    (key,) = free_names(docs, "text_key")
+    return anti_join(docs.withColumn(key, F.xxhash64(text_col)), found.withColumnRenamed("text_key", key), [id_col, key]).drop(key)

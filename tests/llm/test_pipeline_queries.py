@@ -53,3 +53,21 @@ def test_stages_take_odd_tables(spark):
             assert out.count() <= len(rows)
             if name != "packing":
                 assert out.columns == cp.COLUMNS
+
+
+def test_stages_drop_rows_not_ids(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").filter("length(text) > 200").first()["text"]
+    rows = [
+        (None, item, "dropped: benchmark"),
+        (None, "clean words without an id", "kept"),
+        (1, f"before {item}", "dropped: benchmark"),
+        (1, "clean words with the same id", "kept"),
+        (2, "near copies of one text", "kept"),
+        (3, "NEAR copies of one text", "dropped: near copy"),
+        (3, "the only one of its kind", "kept"),
+        (None, "near copies and no id", "none"),
+        (None, "Near copies and no id", "none"),
+    ]
+    docs = spark.createDataFrame([(i, t, None, s, 0) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = cp.decontaminate(spark, cp.near(spark, docs, SF), SF)
+    assert sorted(r["source"] for r in left.collect()) == ["kept"] * 4 + ["none"]

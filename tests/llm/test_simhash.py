@@ -146,3 +146,25 @@ def test_keep_one(spark):
     rows = [(3, "a b c d", "x"), (1, "A b C d", "y"), (2, "quite other words here", "z"), (None, "a b c d", "n")]
     out = st.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, component_id string"))
     assert sorted(r["component_id"] for r in out.collect()) == ["n", "y", "z"]
+
+
+def test_keep_one_decides_per_row(spark):
+    a, b, c = "a b c d", "quite other words here", "nothing like the rest of it"
+    rows = [
+        (1, a, "a1"),
+        (2, a.upper(), "a2"),
+        (2, b, "b2"),  # the id loses above and is the only one here
+        (5, c, "c5"),
+        (4, c.upper(), "c4"),
+        (4, c, "c4 again"),
+        (None, "no id at all", "n"),
+        (None, "No id at all", "n"),
+        (None, "no ID at all", "n"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, row string")
+    out = [tuple(r) for r in st.keep_one(df).collect()]
+    assert set(out) <= set(rows)
+    names = sorted(r[2] for r in out)
+    assert names in (["a1", "b2", "c4", "n"], ["a1", "b2", "c4 again", "n"])
+    same = spark.createDataFrame([(7, a, "x")] * 5 + [(None, b, "y")] * 5, "doc_id bigint, text string, fp string")
+    assert sorted((tuple(r) for r in st.keep_one(same).collect()), key=str) == [(7, a, "x"), (None, b, "y")]

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from sparkmend.llm.winnow import WORD, decontaminate
+from sparkmend.llm.winnow import WORD, decontaminate, drop_contaminated
 
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 PAT = re.compile(WORD)
@@ -82,3 +82,12 @@ def test_no_python_in_the_plan(spark):
     i = d.select(F.col("doc_id").alias("item_id"), "text")
     plan = decontaminate(d, i)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "ArrowEval" not in plan
+
+
+def test_only_contaminated_rows_go(spark):
+    bad, clean = " ".join(f"w{i}" for i in range(12)), "clean words"
+    docs = [(None, bad), (None, clean), (None, None), (1, "x " + bad), (1, clean), (2, clean), (2, bad), (2, bad), (3, clean), (3, clean)]
+    d = spark.createDataFrame(docs, "doc_id bigint, text string").withColumn("text_key", F.lit("own"))
+    i = spark.createDataFrame([(1, bad)], "item_id bigint, text string")
+    got = sorted((tuple(r) for r in drop_contaminated(d, i).collect()), key=str)
+    assert got == sorted([(x, t, "own") for x, t in docs if not t or bad not in t], key=str)
