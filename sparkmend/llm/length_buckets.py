@@ -26,7 +26,7 @@ BUCKETS = 16
 BUDGET = 32768  # tokens of a batch, padding included
 GROUP = 4096  # rows numbered together, more where there would be over MAX_GROUPS groups
 MAX_GROUPS = 1 << 16
-MAX_BINS = 1 << 16  # histogram bins; more lengths than this are rounded up to a grid
+MAX_BINS = 1 << 16  # of the coarse view only
 TOKEN = r"[^\x20\x09-\x0D]+"
 RESULT = ("n_tokens", "bucket", "bucket_len", "batch_id", "slot", "padding")
 
@@ -45,24 +45,26 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     rows = np.concatenate(([0], np.cumsum(counts)))
     tokens = np.concatenate(([0], np.cumsum(lengths * counts)))
 
-    def cost(i, j):  # one bucket of lengths i .. j-1
-        return lengths[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
-
-    best = np.array([0] + [cost(0, j) for j in range(1, m + 1)])
+    best = np.concatenate(([0], lengths * rows[1:] - tokens[1:]))
     choice = []
     for _ in range(1, min(buckets, m)):
-        nxt, cut = best.copy(), np.zeros(m + 1, np.int64)
-        todo = [(1, m, 0, m - 1)]
-        while todo:
-            lo, hi, a, z = todo.pop()
-            if lo > hi:
-                continue
+        nxt, cut = best.copy(), np.zeros(m + 1, np.int32)
+        # ranges lo .. hi of ends, whose last cut lies in a .. z; one level of
+        # halving at a time, about m candidates each
+        lo, hi, a, z = (np.array([x]) for x in (1, m, 0, m - 1))
+        while len(lo):
             j = (lo + hi) // 2
-            i = np.arange(a, min(z, j - 1) + 1)
-            v = best[i] + lengths[j - 1] * (rows[j] - rows[i]) - (tokens[j] - tokens[i])
-            k = int(np.argmin(v))
-            nxt[j], cut[j] = v[k], i[k]
-            todo += [(lo, j - 1, a, int(i[k])), (j + 1, hi, int(i[k]), z)]
+            n = np.minimum(z, j - 1) - a + 1
+            start = np.cumsum(n) - n
+            i = np.arange(n.sum()) + np.repeat(a - start, n)
+            v = best[i] - np.repeat(lengths[j - 1], n) * rows[i] + tokens[i]
+            least = np.minimum.reduceat(v, start)
+            hits = np.flatnonzero(v == np.repeat(least, n))
+            k = i[hits[np.searchsorted(hits, start)]]  # the first one
+            nxt[j], cut[j] = least + lengths[j - 1] * rows[j] - tokens[j], k
+            lo, hi, a, z = (np.concatenate(x) for x in ((lo, j + 1), (j - 1, hi), (a, k), (k, z)))
+            some = lo <= hi
+            lo, hi, a, z = lo[some], hi[some], a[some], z[some]
         choice.append(cut)
         best = nxt
     out, j = [], m
@@ -75,9 +77,18 @@ def optimal_boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) ->
     return out[::-1]
 
 
+def exact_histogram(df: DataFrame, length_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Every distinct length, ascending, and its count.  m distinct lengths
+    take m * m / 2 tokens at least, so the driver receives at most
+    sqrt(2 * tokens) rows of two numbers."""
+    got = df.groupBy(F.col(length_col).alias("n")).agg(F.count("*").alias("c")).toArrow().sort_by("n")
+    return got["n"].to_numpy().astype(np.int64), got["c"].to_numpy().astype(np.int64)
+
+
 def histogram(df: DataFrame, length_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths and counts; beyond MAX_BINS distinct lengths they are rounded up
-    to the smallest power-of-two grid that fits."""
+    """A coarse view of lengths and counts, which ``pack`` does not use: beyond
+    MAX_BINS distinct lengths they are rounded up to the smallest power-of-two
+    grid that fits."""
     at = df.groupBy(F.col(length_col).alias("n")).agg(F.count("*").alias("c"))
     top = at.agg(F.max("n").alias("top"), F.count("*").alias("bins")).first()
     if top["bins"] > MAX_BINS:
@@ -126,7 +137,7 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     columns are not read.  An empty table gives an empty result."""
     ids = df.select(F.col(id_col).alias("id"), token_count(F.col(text_col)).cast("bigint").alias("n_tokens"))
     lengths = stage(ids, "lengths")
-    at, counts = histogram(lengths, "n_tokens")
+    at, counts = exact_histogram(lengths, "n_tokens")
     boundaries = optimal_boundaries(at, counts, buckets) or [1]
     out = assign(lengths, "n_tokens", "id", boundaries, int(counts.sum()), budget)
     return out.select(F.col("id").alias(id_col), "n_tokens", "bucket", "bucket_len", "batch_id", "slot", "padding")

@@ -49,3 +49,13 @@ def test_histogram_grid(spark, monkeypatch):
     monkeypatch.setattr(lb, "MAX_BINS", 10)
     at, counts = lb.histogram(spark.range(1, 101).withColumnRenamed("id", "n"), "n")
     assert counts.sum() == 100 and len(at) <= 10 and at[-1] >= 100
+
+
+def test_boundaries_of_very_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(lb, "MAX_BINS", 10)
+    n = [*range(1, 61), 5000]
+    df = spark.createDataFrame([(i, "w " * (x - 1)) for i, x in enumerate(n)], "doc_id bigint, text string")
+    at, counts = np.array(n), np.ones(len(n), int)
+    got = sorted({r["bucket_len"] for r in lb.pack(df, buckets=4).collect()})
+    best = min(padding(at, counts, [*c, 5000]) for c in itertools.combinations(n[:-1], 3))
+    assert len(got) == 4 and padding(at, counts, got) == best
