@@ -11,8 +11,10 @@ through a logistic curve.
 
 Lexicon, exceptions and curve are learned from a bounded sample of labelled
 rows (``sample`` rows, half of them toxic where there are as many; smallest
-hashes of the id): documents that share their rarest shingle count once, so
-many copies of one toxic text do not turn its ordinary words into terms.
+hashes of the id): near copies (documents that share most minima of their
+shingle hashes) count once, so many copies of one toxic text do not turn its
+ordinary words into terms.  The log-likelihood a term must gain follows from
+the number of terms in the sample, not from its number of texts.
 """
 
 from __future__ import annotations
@@ -34,13 +36,15 @@ MAX_TERMS = 4000  # candidates that reach the driver
 MIN_SHARE = 0.02  # of the toxic sample a term occurs in (and MIN_DOCS)
 MIN_DOCS = 6
 MIN_LOG_ODDS = 1.5  # of a term's rate per word, toxic to clean
-MIN_GAIN = 30.0  # log-likelihood that telling both rates apart must bring
+CHANCE = 0.01  # that any of a sample's terms gets its gain by chance, about
 SAME_GAIN = 0.95  # an extension with this share of the gain is as good
 PRIOR_WORDS = 50  # added to a text's length, so that short texts are not judged by one weak term
 PREFIXES = range(4, 9)
 EXCEPTION_DOCS = 3  # clean documents that show a phrase, and no toxic one
 PRIOR = 0.1  # share of toxic texts that the curve assumes
 SHINGLE = 5
+MINIMA = 16  # of a text's shingle hashes, each under a hash of its own
+AGREE = 10  # minima that near copies share
 RESULT = ("held_out", "score", "predicted")
 
 # fixed values: look-alike letters (Cyrillic, Greek, other) and what they stand for
@@ -131,6 +135,18 @@ class Lexicon:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
+def _unlike(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of rows with one smallest shingle hash (a part of the bounded sample),
+    those that are no near copy of a row before them."""
+    pdf = pdf.sort_values("text")
+    minima = np.stack(pdf["minima"].to_numpy())
+    left, kept = np.arange(len(pdf)), []
+    while len(left):
+        kept.append(left[0])
+        left = left[(minima[left] == minima[left[0]]).sum(1) < AGREE]
+    return pdf.iloc[kept][["text", "toxic"]]
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, size: int) -> DataFrame:
     """(text, toxic) of at most ``size`` labelled rows that are not held out."""
     one = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
@@ -140,10 +156,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     # at most ``size`` rows of two numbers
     rows = text.join(F.broadcast(pick), "id").select("text", "toxic", F.split(F.lower("text"), r"\s+").alias("w"))
-    rare = F.array_min(
-        F.transform(F.slice("w", 1, F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))), lambda x, i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(SHINGLE)]))
-    )
-    rows = rows.select("text", "toxic", rare.alias("rare")).groupBy("rare", "toxic").agg(F.min("text").alias("text"))
+    shingles = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))), lambda x, i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(SHINGLE)]))
+    rows = rows.select("text", "toxic", shingles.alias("s"))
+
+    def least(k: int):
+        return F.array_min(F.transform("s", lambda x: F.xxhash64(x, F.lit(k))))
+
+    rows = rows.select("text", "toxic", F.array_min("s").alias("rare"), F.array(*[least(k) for k in range(MINIMA)]).alias("minima"))
+    rows = rows.groupBy("rare", "toxic", "minima").agg(F.min("text").alias("text")).groupBy("rare", "toxic").applyInPandas(_unlike, "text string, toxic int")
     return stage(rows.select("text", "toxic"), "toxic-sample")
 
 
@@ -170,13 +190,15 @@ def learn(sample: DataFrame) -> Lexicon:
         yield pd.DataFrame({"term": keys, "o0": [seen[0][k] for k in keys], "o1": [seen[1][k] for k in keys], "n1": [docs[k] for k in keys]})
         yield pd.DataFrame({"term": [""], "o0": [words[0]], "o1": [words[1]], "n1": [0]})
 
-    sums = stage(
+    every = stage(
         sample.mapInPandas(terms, "term string, o0 bigint, o1 bigint, n1 bigint")
         .groupBy("term")
-        .agg(*[F.sum(c).alias(c) for c in ("o0", "o1", "n1")])
-        .filter((F.col("term") == "") | (F.col("n1") >= max(MIN_DOCS, MIN_SHARE * n[1]))),
+        .agg(*[F.sum(c).alias(c) for c in ("o0", "o1", "n1")]),
         "terms",
     )
+    # twice a gain by chance is about chi-squared: more than g with exp(-g) at most
+    least = math.log(every.count() / CHANCE)
+    sums = every.filter((F.col("term") == "") | (F.col("n1") >= max(MIN_DOCS, MIN_SHARE * n[1])))
     total = sums.filter("term = ''").first()
     w0, w1 = max(total["o0"], 1), max(total["o1"], 1)
     r0, r1 = (F.col("o0") + 0.5) / w0, (F.col("o1") + 0.5) / w1
@@ -185,7 +207,7 @@ def learn(sample: DataFrame) -> Lexicon:
     got = (
         sums.filter("term <> ''")
         .select("term", F.log(r1 / r0).alias("w"), gain.alias("gain"))
-        .filter((F.col("w") >= MIN_LOG_ODDS) & (F.col("gain") >= MIN_GAIN))
+        .filter((F.col("w") >= MIN_LOG_ODDS) & (F.col("gain") >= least))
         .orderBy(F.desc("gain"), "term")
         .limit(MAX_TERMS)
         .collect()

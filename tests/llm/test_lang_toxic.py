@@ -1,8 +1,10 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkmend.llm import lang_ecoc as le
 from sparkmend.llm import toxic_lexicon as tl
+from sparkmend.llm.common import held_out
 
 SF = "/root/testdata/sf0.01"
 
@@ -89,3 +91,23 @@ def test_toxicity_without_labels_nulls_and_empty(spark, labelled):
     assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)
     assert tl.drop_toxic(docs, labels).columns == ["doc_id", "text", "score"]
     assert tl.toxicity(docs.limit(0), labels).collect() == []
+
+
+def test_terms_of_a_small_sample(spark):
+    plain = lambda i: " ".join(f"w{(i * 37 + k * 11) % 5000}q" for k in range(99))
+    rows = [(plain(i) + (" vileword" if i < 8 else " common"), 1) for i in range(50)]
+    rows += [(plain(i + 50) + " common", 0) for i in range(950)]
+    lex = tl.learn(spark.createDataFrame(rows, "text string, toxic int"))
+    assert any(t.startswith(" viie") for t in lex.terms)
+
+
+def test_only_near_copies_count_once(spark):
+    shared = " ".join(f"shared{k}" for k in range(30))
+    texts = [f"{shared} " + " ".join(f"own{i}x{k}" for k in range(60)) for i in range(40)]
+    texts += [" ".join(f"copy{k}" for k in range(200)) + f" end{i}" for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = docs.selectExpr("doc_id", "1 as toxic")
+    learned = {r["doc_id"] for r in docs.filter(~held_out(F.col("doc_id"))).collect()}
+    got = sorted(r["text"] for r in tl.labelled_sample(docs, labels, "doc_id", "text", "toxic", 1000).collect())
+    assert [t for t in got if t.startswith("shared")] == sorted(texts[i] for i in learned if i < 40)
+    assert len([t for t in got if t.startswith("copy")]) == 1
