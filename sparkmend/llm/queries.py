@@ -11,6 +11,7 @@ from . import (
     exact_dedup,
     lang_ecoc,
     length_buckets,
+    merkle_manifest,
     simhash_trie,
     token_scan,
     toxic_lexicon,
@@ -107,6 +108,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_lexicon.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+TAMPER_EVERY = 7
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in LEAF]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % TAMPER_EVERY == 0
+    rows = merkle_manifest.manifest(docs, LEAF, carry={"changed": F.when(tampered, merkle_manifest.digest(*changed))})
+    folded = rows.withColumn("folded_root", merkle_manifest.fold(F.coalesce("changed", "leaf"), F.col("path")))
+    return folded.select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(merkle_manifest.siblings(F.col("path")).cast("binary"), 256).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -124,12 +142,25 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op13_merkle": op13_merkle,
     "pipeline": pipeline,
 }
 
 _AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+
+def _cells(n_chars: str) -> str:
+    values = [n_chars if c == "n_chars" else c for c in LEAF]
+    cell = "CASE WHEN {0} IS NULL THEN '-' ELSE octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR) END"
+    return "sha256(" + " || ".join(cell.format(v) for v in values) + ")"
+
+
+# unsigned crc32 of doc_id as text, bit by bit
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: ascii(ch)::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda a, k: xor(a >> 1, 3988292384 * (a & 1)))), 4294967295)"""
+_FOLD = "sha256(CASE WHEN a.h IS NULL THEN acc WHEN c.i % 2 = 0 THEN acc || a.h ELSE a.h || acc END)"
+
 ORACLES = {
     "op1_url_filter": rf"""
 WITH rules(rh, rp, verdict) AS (VALUES {_RULES}),
@@ -180,4 +211,22 @@ FROM p LEFT JOIN g ON p.body = g.body""",
 WITH n AS (SELECT doc_id, translate(coalesce(text, ''), {_AZ}) AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
        doc_id = max(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM n""",
+    "op13_merkle": rf"""
+WITH RECURSIVE cells AS (SELECT doc_id, lang, {_cells("n_chars")} AS h, {_cells("n_chars + 1")} AS t FROM documents),
+leaf AS (SELECT doc_id, lang, h, CASE WHEN {_CRC} % {TAMPER_EVERY} = 0 THEN t ELSE h END AS t,
+                row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM cells),
+up AS (SELECT lang, 0 AS lv, i, h, n FROM leaf
+       UNION ALL SELECT lang, lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM up WHERE n > 1 GROUP BY lang, lv, i // 2),
+sub AS (SELECT lang, h, lv, row_number() OVER (ORDER BY encode(lang) NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM up WHERE n = 1),
+top AS (SELECT 0 AS lv, i, h, n FROM sub
+        UNION ALL SELECT lv + 1, i // 2, sha256(string_agg(h, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY lv, i // 2),
+root AS (SELECT h AS root FROM top WHERE n = 1),
+climb AS (SELECT doc_id, lang, h AS leaf, 0 AS lv, i, n, t AS acc, '' AS proof FROM leaf
+          UNION ALL SELECT doc_id, c.lang, leaf, c.lv + 1, c.i // 2, (c.n + 1) // 2, {_FOLD}, proof || coalesce(a.h, '')
+          FROM climb c LEFT JOIN up a ON a.lang IS NOT DISTINCT FROM c.lang AND a.lv = c.lv AND a.i = xor(c.i, 1) WHERE c.n > 1),
+climb_top AS (SELECT doc_id, leaf, s.h AS subroot, 0 AS lv, s.i, s.n, acc, proof FROM climb c JOIN sub s ON s.lang IS NOT DISTINCT FROM c.lang WHERE c.n = 1
+              UNION ALL SELECT doc_id, leaf, subroot, c.lv + 1, c.i // 2, (c.n + 1) // 2, {_FOLD}, proof || coalesce(a.h, '')
+              FROM climb_top c LEFT JOIN top a ON a.lv = c.lv AND a.i = xor(c.i, 1) WHERE c.n > 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, acc AS folded_root, acc = root AS verified
+FROM climb_top, root WHERE n = 1""",
 }
