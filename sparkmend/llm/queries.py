@@ -12,6 +12,7 @@ from . import (
     lang_ecoc,
     length_buckets,
     merkle_manifest,
+    periodic_runs,
     simhash_trie,
     token_scan,
     toxic_lexicon,
@@ -108,6 +109,44 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxic_lexicon.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """doc_id and text of ``docs``; with h = crc32(doc_id as text) divisible by
+    10 and g = h / 10, the n words from a = g % n on repeat with period
+    1 + (n - a) / (3 + g % 8)."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def repeated(w):
+        n, g = F.size(w), F.floor(h / 10)
+        a = g % n
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        word = F.transform(
+            F.sequence(F.lit(0).cast("bigint"), n - F.lit(1).cast("bigint")),
+            lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")),
+        )
+        return F.when(n > 0, F.array_join(word, " ")).otherwise(F.lit(""))
+
+    # the words are bound once, not cut again for each of them
+    changed = F.get(F.transform(F.array(words), repeated), F.lit(0))
+    return docs.select("doc_id", F.when(h % 10 == 0, changed).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    found = periodic_runs.find_runs(planted_runs(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n")))
+    # greatest length, then smallest start, then smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    found = found.withColumn("best", best)
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPER_EVERY = 7
 
@@ -142,6 +181,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
     "op13_merkle": op13_merkle,
     "pipeline": pipeline,
 }
