@@ -13,6 +13,7 @@ from . import (
     length_buckets,
     merkle_manifest,
     periodic_runs,
+    rans_tokens,
     simhash_trie,
     token_scan,
     toxic_lexicon,
@@ -147,6 +148,11 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_coded_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return rans_tokens.coded_tokens(table(spark, sf_dir, "documents"))
+
+
 LEAF = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPER_EVERY = 7
 
@@ -182,6 +188,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_coded_tokens": op12_coded_tokens,
     "op13_merkle": op13_merkle,
     "pipeline": pipeline,
 }
