@@ -41,6 +41,36 @@ def test_unsettled_bracket_is_still_exact(spark):
     assert got[(0, 0)] == 4.0
 
 
+def test_heavy_ties_and_unsettled_columns_run_in_many_tasks(spark, monkeypatch):
+    from sparkmend.operators import quantiles as Q
+
+    ranges = []
+    real = Q._by_range
+
+    def watched(counts, wanted):
+        cut = Q.cut_lineage
+        monkeypatch.setattr(Q, "cut_lineage", lambda df: ranges.append(cut(df)) or ranges[-1])
+        return real(counts, wanted)
+
+    monkeypatch.setattr(Q, "_by_range", watched)
+    df = spark.range(60_000, numPartitions=4).select(
+        F.when(F.col("id") % 3 == 0, 0.1).when(F.col("id") % 3 == 1, 0.2).otherwise(0.7).alias("few"), (F.xxhash64("id") % 100003).cast("double").alias("x")
+    )
+    few = ProfileConfig(quantile_max_bracket=100, quantile_accuracy=4)
+    got = exact_quantiles(df, ["few", "x"], [0.2, 0.5, 0.9], few)
+    pdf = df.toPandas()
+    for c in ("few", "x"):
+        assert np.allclose(got[c], np.quantile(pdf[c], [0.2, 0.5, 0.9]))
+    # never settled: the whole column, dealt over the ranges
+    xs, key = {0: F.col("x")}, "k"
+    monkeypatch.setattr(Q, "ROUNDS", 0)
+    ((lo, hi),) = Q.order_statistics(df, xs, {key: (0, 29_999, 30_000)}, {key: [0.0, 1.0]}).values()
+    monkeypatch.undo()
+    assert (lo, hi) == tuple(np.sort(pdf["x"])[29_999:30_001])
+    rows = [r["n"] for r in ranges[-1].groupBy("range").agg(F.count("*").alias("n")).collect()]
+    assert len(rows) >= 6 and max(rows) < 0.5 * sum(rows)
+
+
 def test_moments_collect_one_row_per_matrix_row(spark, monkeypatch):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 6)) + np.arange(6) * 100
