@@ -28,6 +28,7 @@ from array import array
 from collections import deque
 from collections.abc import Iterator, Sequence
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +46,18 @@ HEAD = struct.Struct("<4sIHIIIII")  # magic, ids, lanes, checkpoints, words, dir
 MAGIC, FOOT = b"RANB", struct.Struct("<QI4s")
 INDEX = np.dtype([("offset", "<u8"), ("bytes", "<u4"), ("first", "<u8"), ("ids", "<u4")])
 CRC_POLY = 0xEDB88320  # fixed value: the CRC-32 polynomial, reflected
-MEMO = 300_000  # pieces whose ids a worker keeps
+MEMO = 1 << 19  # pieces whose ids a worker keeps
+
+
+def byte_alphabet() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable
+    Latin-1 characters for themselves, the others from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = count(0x100)
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+BYTES = byte_alphabet()
 
 
 # ---- tokenising
@@ -82,6 +94,7 @@ class Encoder:
             (rules.get("normalizer") or {}).get("normalizers") == self.RULES["normalizer"]
             and split[0].get("pattern") == {"Regex": self.RULES["pattern"]}
             and (split[0].get("behavior"), split[0].get("invert")) == ("Removed", True)
+            and [(p.get("type"), p.get("add_prefix_space"), p.get("use_regex")) for p in split[1:]] == [("ByteLevel", False, False)]
             and not rules["model"].get("dropout")
         )
         self.memo: dict[str, bytes] = {}
@@ -96,11 +109,9 @@ class Encoder:
             if ids is None:
                 if len(memo) >= MEMO:
                     memo.clear()
-                ids = memo[piece] = (
-                    array(self.code, [t.id for t in self.library.model.tokenize(piece)]).tobytes()
-                    if piece.isascii() and piece.isprintable()  # ASCII letters stand for their own bytes
-                    else self.ask(piece)
-                )
+                # a piece needs the byte alphabet and the merges only
+                known = piece if piece.isascii() and piece.isprintable() else "".join([BYTES[b] for b in piece.encode()])
+                ids = memo[piece] = array(self.code, [t.id for t in self.library.model.tokenize(known)]).tobytes()
             out.append(ids)
         return b"".join(out)
 
