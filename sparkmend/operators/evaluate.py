@@ -14,11 +14,13 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import DEFAULT_PROFILE, DEFAULT_REWARD, ProfileConfig, RewardConfig
-from ..functions.exprs import categorical_cols, numeric_cols, q
+from ..functions.exprs import categorical_cols, expm1_clip, numeric_cols, q
 from . import models as M
-from .fixes import apply_fixes, impute
+from .fixes import apply_fixes, encoded_columns, one_hot, one_hot_vector
+from .levels import level_moments, ridge, test_rmse
 from .profile import detect_task
 from .split import train_test_split
 
@@ -35,11 +37,30 @@ class Score:
 
 def usable_features(df: DataFrame, target: str, exclude: Sequence[str] = ()) -> list[str]:
     """Numeric non-target columns holding at least one value (one count pass)."""
+    return list(filled_means(df, target, F.lit(True), exclude))
+
+
+def filled_means(df: DataFrame, target: str, fit_rows, exclude: Sequence[str] = ()) -> dict:
+    """{numeric non-target column holding at least one value: its mean over the
+    rows ``fit_rows``} in one pass."""
     feats = numeric_cols(df, exclude=[target, *META_COLS, *exclude])
     if not feats:
-        return []
-    row = df.agg(*[F.count(F.col(q(c))).alias(c) for c in feats]).first()
-    return [c for c in feats if int(row[c]) > 0]
+        return {}
+    x = {c: F.col(q(c)) for c in feats}
+    pairs = [(F.count(x[c]).alias(f"n{i}"), F.avg(F.when(fit_rows, x[c].cast("double"))).alias(f"m{i}")) for i, c in enumerate(feats)]
+    row = df.agg(*[e for pair in pairs for e in pair]).first()
+    return {c: row[f"m{i}"] for i, c in enumerate(feats) if row[f"n{i}"]}
+
+
+def fill(df: DataFrame, means: dict) -> DataFrame:
+    """Missing values of each column -> its given mean (none given: left)."""
+    floats = {f.name: f.dataType for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    repl = {}
+    for c, m in means.items():
+        if m is not None:
+            kind = floats.get(c, T.DoubleType())
+            repl[c] = F.coalesce(F.col(q(c)).cast(kind), F.lit(float(m)).cast(kind))
+    return df.withColumns(repl) if repl else df
 
 
 def baseline_score(
@@ -51,42 +72,60 @@ def baseline_score(
     fit_on: str = "train",
     exclude: Sequence[str] = (),
     log_target: bool = False,
+    levels: Sequence[str] = (),
 ) -> Score:
     """Drop rows without a target; numeric features that are not wholly
     missing; mean-impute (fitted on the training rows, or on all rows with
     fit_on='all' as the reference does); hash split 80/20; ridge (alpha 1)
     test RMSE for regression, logistic (C 1) test accuracy for
     classification.  No usable feature: target std (regression) or 0.
+    ``levels``: text columns that count as one 0/1 feature per training level
+    but the first, however many there are (sparse sums in the ridge, sparse
+    vectors in the logistic fit).
     ``log_target`` fits the ridge on log1p of the target and scores expm1 of
     its predictions, on the target's scale."""
     task = task or detect_task(df, target, cfg)
     metric = "rmse" if task == "regression" else "accuracy"
     d = df.where(F.col(q(target)).isNotNull())
     keys = [key] if isinstance(key, str) else list(key)
-    feats = usable_features(d, target, exclude=[*exclude] + [k for k in keys if k in exclude])
-    if not feats:
-        if task == "regression":
-            v = d.agg(F.stddev_samp(F.col(q(target)).cast("double"))).first()[0]
-            return Score(task, metric, float(v) if v is not None else 0.0, 0)
-        return Score(task, metric, 0.0, 0)
     if "is_test" not in d.columns:
         d = train_test_split(d, keys, cfg.test_size, cfg.random_state)
-    train = d.where(~F.col("is_test"))
-    test = d.where(F.col("is_test"))
-    fit_rows = train if fit_on == "train" else d
-    d = impute(d, feats, "mean", fit_on=fit_rows)
-    train = d.where(~F.col("is_test"))
-    test = d.where(F.col("is_test"))
-    if task == "regression" and log_target:
-        predict = M.fit_log_target(train.where(F.col(q(target)) > -1), feats, target, "ridge", {"alpha": 1.0})
-        v = M.metric_value(predict(test), target, "prediction", "rmse")
-    elif task == "regression":
-        model = M.fit_linear(train, feats, target, "ridge", alpha=1.0)
-        v = M.metric_value(test.withColumn("__p", model.predict_col()), target, "__p", "rmse")
-    else:
-        fit = M.fit_classifier(train, feats, target, "logistic", {"C": 1.0})
-        v = M.metric_value(fit.predict(test), target, "pred_label", "accuracy")
-    return Score(task, metric, v, len(feats))
+    means = filled_means(d, target, ~F.col("is_test") if fit_on == "train" else F.lit(True), exclude)
+    feats = list(means)
+    if not feats and not levels:
+        return _no_features(d, target, task, metric)
+    d = fill(d, means)
+    if task == "regression":
+        y = target
+        if log_target:
+            y = "__ylog"
+            d = d.withColumn(y, F.when(F.col(q(target)) > -1, F.log1p(F.col(q(target)).cast("double"))))
+        mo = level_moments(d, feats, y, levels)
+        if not feats and not mo.slots:
+            return _no_features(d, target, task, metric)
+        w, b = ridge(mo.train)
+        if log_target:
+            predicted = mo.predict(d.where(F.col("is_test")), feats, w, b).withColumn("prediction", expm1_clip(F.col("prediction")))
+            return Score(task, metric, M.metric_value(predicted, target, "prediction", "rmse"), len(feats) + mo.slots)
+        return Score(task, metric, test_rmse(mo.test, w, b), len(feats) + mo.slots)
+    vectors: dict[str, int] = {}
+    for i, c in enumerate(levels):
+        name = f"__levels_{i}"
+        d = one_hot_vector(d, c, out=name, fit_on=d.where(~F.col("is_test")))
+        if name in d.columns:
+            vectors[name] = d.schema[name].metadata["ml_attr"]["num_attrs"]
+    if not feats and not vectors:
+        return _no_features(d, target, task, metric)
+    fit = M.fit_classifier(d.where(~F.col("is_test")), feats, target, "logistic", {"C": 1.0}, vectors=list(vectors))
+    v = M.metric_value(fit.predict(d.where(F.col("is_test"))), target, "pred_label", "accuracy")
+    return Score(task, metric, v, len(feats) + sum(vectors.values()))
+
+
+def _no_features(d: DataFrame, target: str, task: str, metric: str) -> Score:
+    if task != "regression":
+        return Score(task, metric, 0.0, 0)
+    v = d.agg(F.stddev_samp(F.col(q(target)).cast("double"))).first()[0]
+    return Score(task, metric, float(v) if v is not None else 0.0, 0)
 
 
 def reward_of(task: str, before: float, after: float) -> float:
@@ -105,11 +144,16 @@ def evaluate_fix(
     key,
     cfg: ProfileConfig = DEFAULT_PROFILE,
     task: str | None = None,
+    expand: bool = True,
 ):
     """Score before and after a repair (a plan table / list from
     ``recommend_fixes`` or a DataFrame -> DataFrame function).  Returns
     (one-row result DataFrame, fixed DataFrame).  A failing repair is
-    reported, not raised: after = before, reward 0."""
+    reported, not raised: after = before, reward 0.
+
+    Text columns that a plan encodes count in the score with all their levels;
+    ``expand=False`` leaves them as text in the fixed frame, which else gets
+    their 0/1 columns (or vectors).  ``n_features_after`` counts the levels."""
     spark = df.sparkSession
     task = task or detect_task(df, target, cfg)
     keys = [key] if isinstance(key, str) else list(key)
@@ -117,31 +161,32 @@ def evaluate_fix(
     # kept once (memory, spilling to disk) and released before returning
     d = train_test_split(df, keys, cfg.test_size, cfg.random_state).persist()
     before = baseline_score(d, target, keys, task, cfg)
-    err = None
-    fixed, logged = d, False
+    err, fixed = None, d
     try:
+        levels, logged = [], False
         if callable(fix) and not isinstance(fix, DataFrame):
-            fixed = fix(d)
-            fixed.schema  # analysis errors surface here
+            kept = fix(d)
+            kept.schema  # analysis errors surface here
         else:
             steps = fix.orderBy("seq").collect() if isinstance(fix, DataFrame) else list(fix)
-            logged = any(s["action"] == "log_target" for s in steps) and task == "regression"
             held = [k for k in keys if k != target]
-            fixed = apply_fixes(d, steps, target, split_col="is_test", key=held)
+            logged = any(s["action"] == "log_target" for s in steps)
+            kept = apply_fixes(d, [s for s in steps if s["action"] != "log_target"], target, split_col="is_test", key=held, expand=False)
+            levels = encoded_columns(steps, kept, [*held, target])
+        scored = kept.persist()  # read by every pass of the score
+        try:
+            # a logged target is scored on its own scale, over the same rows as before
+            after = baseline_score(scored, target, keys, task, cfg, log_target=logged and task == "regression", levels=levels)
+        finally:
+            scored.unpersist(blocking=False)
+        fixed = kept
         if logged:
-            # scored on the target's own scale, over the same rows as before
-            kept = apply_fixes(d, [s for s in steps if s["action"] != "log_target"], target, split_col="is_test", key=held)
-            after = baseline_score(kept, target, keys, task, cfg, log_target=True)
-        else:
-            scored = fixed.persist()  # read by every pass of the score
-            try:
-                after = baseline_score(scored, target, keys, task, cfg)
-            finally:
-                scored.unpersist(blocking=False)
+            fixed = apply_fixes(fixed, [s for s in steps if s["action"] == "log_target"], target)
+        if levels and expand:
+            fixed = one_hot(fixed, levels, drop_first=True, fit_on=d.where(~F.col("is_test")))
     except Exception as exc:  # reported in the result row
         err = f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}"
-        after = before
-        fixed = d
+        after, fixed = before, d
     d.unpersist(blocking=False)  # the returned frame recomputes from its lineage when used
     reward = reward_of(task, before.value, after.value) if err is None else 0.0
     row = (

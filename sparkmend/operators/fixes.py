@@ -9,16 +9,18 @@ checked before they are used as literals.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..config import DEFAULT_REWARD
-from ..functions.exprs import clip_keep_null, coerce_numeric, numeric_cols, q
+from ..config import DEFAULT_PROFILE, DEFAULT_REWARD
+from ..functions.exprs import clip_keep_null, coerce_numeric, q
 from ..session import cut_lineage
-from .quantiles import exact_quantiles
+from .levels import SMALL, join_levels
+from .quantiles import exact_quantiles, order_statistics
 
 MAX_LEVELS = 1000  # of a literal level list; more are joined or become one sparse vector
 
@@ -48,17 +50,19 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean", fit_on: D
     return df.withColumns(repl)
 
 
-def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
-    """Sorted distinct non-missing levels; bounded (a distinct + limit job)."""
+def few_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list | None:
+    """Sorted distinct non-missing levels, None if there are more than
+    ``max_levels`` (a distinct + limit job)."""
     rows = df.select(F.col(q(col))).where(F.col(q(col)).isNotNull()).distinct().limit(max_levels + 1).collect()
-    if len(rows) > max_levels:
-        raise ValueError(f"{col}: more than {max_levels} levels; use category_codes_join")
-    return sorted(r[0] for r in rows)
+    return sorted(r[0] for r in rows) if len(rows) <= max_levels else None
 
 
-def is_wide(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> bool:
-    """More than ``max_levels`` levels."""
-    return df.select(F.col(q(col))).where(F.col(q(col)).isNotNull()).distinct().limit(max_levels + 1).count() > max_levels
+def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
+    """Sorted distinct non-missing levels of a column known to have few."""
+    found = few_levels(df, col, max_levels)
+    if found is None:
+        raise ValueError(f"{col}: more than {max_levels} levels; use category_codes_join")
+    return found
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_levels: int = MAX_LEVELS, fit_on: DataFrame | None = None) -> DataFrame:
@@ -67,18 +71,14 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_lev
     the end (in column, then level order).  A column of more than
     ``max_levels`` levels becomes one sparse vector col_vec of the same slots
     instead (``one_hot_vector``)."""
-    cols = list(cols)
     src = df if fit_on is None else fit_on
-    for c in [c for c in cols if is_wide(src, c, max_levels)]:
+    known = {c: few_levels(src, c, max_levels) for c in cols}
+    for c in [c for c in cols if known[c] is None]:
         df = one_hot_vector(df, c, drop_first=drop_first, fit_on=src)
-        cols.remove(c)
-    keep = [F.col(q(c)) for c in df.columns if c not in cols]
+    keep = [F.col(q(c)) for c in df.columns if known.get(c) is None]
     dummies = []
-    for c in cols:
-        lv = levels(src, c, max_levels)
-        if drop_first:
-            lv = lv[1:]
-        for v in lv:
+    for c, lv in known.items():
+        for v in (lv or [])[1 if drop_first else 0 :]:
             dummies.append(F.col(q(c)).eqNullSafe(F.lit(v)).cast("int").alias(f"{c}_{v}"))
     return df.select(*keep, *dummies)
 
@@ -101,8 +101,9 @@ def one_hot_vector(df: DataFrame, col: str, out: str | None = None, drop_first:
     size = df.sparkSession.createDataFrame([(float(slots),)], "__idx double")
     enc = OneHotEncoder(inputCols=["__idx"], outputCols=["__vec"], dropLast=True).fit(size)
     idx = F.when(F.col("__code") >= first, F.col("__code") - first).otherwise(slots).cast("double")
-    coded = df.join(codes, df[col] == codes["__lv"], "left").withColumn("__idx", idx)
-    vec = F.col("__vec").alias(out, metadata={})  # without a name per slot in the schema
+    coded = join_levels(df, codes.withColumnRenamed("__lv", "__l"), col, small=slots <= SMALL).withColumn("__idx", idx)
+    # the number of slots in the schema, without a name for each
+    vec = F.col("__vec").alias(out, metadata={"ml_attr": {"num_attrs": slots}})
     return enc.transform(coded).select(*[F.col(q(c)) for c in df.columns if c != col], vec)
 
 
@@ -112,9 +113,8 @@ def category_codes(df: DataFrame, cols: Sequence[str], max_levels: int = MAX_LEV
     level table is ranked and broadcast-joined (``category_codes_join``)."""
     repl = {}
     for c in cols:
-        try:
-            lv = levels(df, c, max_levels)
-        except ValueError:
+        lv = few_levels(df, c, max_levels)
+        if lv is None:
             df = category_codes_join(df, c)
             continue
         m = F.create_map(*[x for i, v in enumerate(lv) for x in (F.lit(v), F.lit(i))]) if lv else None
@@ -145,8 +145,8 @@ def level_codes(df: DataFrame, col: str, n_ranges: int | None = None) -> DataFra
 def category_codes_join(df: DataFrame, col: str, n_ranges: int | None = None) -> DataFrame:
     """Codes for a column with many levels, by a join with ``level_codes``."""
     codes = level_codes(df, col, n_ranges)
-    out = df.join(codes, df[col] == codes["__lv"], "left")
-    return out.withColumn(col, F.coalesce(F.col("__code"), F.lit(-1)).cast("int")).drop("__lv", "__code")
+    out = join_levels(df, codes.withColumnRenamed("__lv", "__l"), col, small=False)
+    return out.withColumn(col, F.coalesce(F.col("__code"), F.lit(-1)).cast("int")).drop("__code")
 
 
 def scale_params(src: DataFrame, cols: Sequence[str], method: str) -> dict:
@@ -287,47 +287,168 @@ def recommend_fixes(report: DataFrame, target: str) -> DataFrame:
     return steps.select(F.row_number().over(w).cast("int").alias("seq"), "issue", "col_name", "action", "params")
 
 
-def apply_fixes(df: DataFrame, plan: DataFrame | list, target: str, split_col: str | None = None, key: str | Sequence[str] | None = None) -> DataFrame:
+def apply_fixes(
+    df: DataFrame, plan: DataFrame | list, target: str, split_col: str | None = None, key: str | Sequence[str] | None = None, expand: bool = True
+) -> DataFrame:
     """Run the ordered steps.  With ``split_col`` every statistic is fitted
-    on training rows only (split_col false).  Steps of one kind share one
-    statistics pass.  ``key`` columns are never changed."""
+    on training rows only (split_col false).  ``key`` columns are never changed.
+    Encoded text columns go last, after the other steps (which leave 0/1 columns
+    as they are); ``expand=False`` leaves them as text, for the scores that take
+    text columns (``encoded_columns`` names them).
+
+    Steps on one column depend on each other, those on different columns do
+    not: the k-th statistics of all columns are read together (``_Repair``), and
+    the result is one projection."""
     keys = [] if key is None else [key] if isinstance(key, str) else list(key)
     steps = plan.orderBy("seq").collect() if isinstance(plan, DataFrame) else plan  # plan rows: one per column at most
-    by_action: dict[str, list] = {}
-    order: list[str] = []
-    for s in steps:
-        a = s["action"]
-        if a not in by_action:
-            order.append(a)
-            by_action[a] = []
-        by_action[a].append(s)
-    out, wide = df, []
-    for a in order:
-        cols = [s["col_name"] for s in by_action[a] if s["col_name"] is not None and s["col_name"] not in keys]
-        fit = out.where(~F.col(q(split_col))) if split_col else None
-        if a == "cast_numeric":
-            out = out.withColumns({c: coerce_numeric(F.col(q(c))) for c in cols})
-        elif a == "impute_median":
-            out = impute(out, [c for c in cols if c in out.columns], "median", fit_on=fit)
-        elif a == "one_hot":
-            # no later step touches the vector of a wide column: it is joined
-            # last, so that the statistics passes in between do without the join
-            here = [c for c in cols if c in out.columns]
-            wide = [c for c in here if is_wide(fit if fit is not None else out, c)]
-            out = one_hot(out, [c for c in here if c not in wide], drop_first=True, fit_on=fit)
-        elif a == "clip_iqr":
-            k = json.loads(by_action[a][0]["params"]).get("k", DEFAULT_REWARD.clip_iqr_factor)
-            out = clip_outliers(out, [c for c in cols if c in out.columns], k=k, fit_on=fit)
-        elif a == "standard_scale":
-            feats = numeric_cols(out, exclude=[target, *keys] + ([split_col] if split_col else []))
-            out = scale(out, feats, "standard", fit_on=fit)
-        elif a == "log_target":
-            y = F.col(q(target)).cast("double")
-            out = out.withColumn(target, F.when(y > -1, F.log1p(y)))
-        elif a == "balanced_weights":
-            out = balanced_weights(out, target, fit_on=fit)
-        else:
-            raise ValueError(f"unknown action {a}")
-    for c in wide:
-        out = one_hot_vector(out, c, drop_first=True, fit_on=df.where(~F.col(q(split_col))) if split_col else df)
+    fit = df.where(~F.col(q(split_col))) if split_col else df
+    repair = _Repair(df, fit)
+    logged = weighted = False
+    for action in dict.fromkeys(s["action"] for s in steps):
+        mine = [s for s in steps if s["action"] == action]
+        cols = [s["col_name"] for s in mine if s["col_name"] in df.columns and s["col_name"] not in keys]
+        if action == "cast_numeric":
+            repair.cast(cols)
+        elif action == "impute_median":
+            repair.order(cols, median=True)
+        elif action == "clip_iqr":
+            repair.order(cols, clip=json.loads(mine[0]["params"]).get("k", DEFAULT_REWARD.clip_iqr_factor))
+        elif action == "standard_scale":
+            skip = {target, *keys, *([split_col] if split_col else [])}
+            repair.scale([c for c in df.columns if repair.numeric(c) and c not in skip])
+        elif action == "log_target":
+            logged = True
+        elif action == "balanced_weights":
+            weighted = True
+        elif action != "one_hot":
+            raise ValueError(f"unknown action {action}")
+    out = repair.frame()
+    if weighted:
+        out = balanced_weights(out, target, fit_on=out.where(~F.col(q(split_col))) if split_col else None)
+    if logged:
+        y = F.col(q(target)).cast("double")
+        out = out.withColumn(target, F.when(y > -1, F.log1p(y)))
+    cols = encoded_columns(steps, out, keys)
+    return one_hot(out, cols, drop_first=True, fit_on=fit) if cols and expand else out
+
+
+def encoded_columns(steps: list, df: DataFrame, keys: Sequence[str] = ()) -> list[str]:
+    """Text columns that a plan's one_hot steps encode."""
+    return [s["col_name"] for s in steps if s["action"] == "one_hot" and s["col_name"] in df.columns and s["col_name"] not in keys]
+
+
+class _Repair:
+    """Column expressions that grow step by step.  Statistics are asked for per
+    column and read when a later step on any of these columns needs them: one
+    round of passes for all columns that wait."""
+
+    def __init__(self, df: DataFrame, fit: DataFrame):
+        self.df, self.fit = df, fit
+        self.expr: dict = {}
+        self.waiting: dict[str, dict] = {}  # column -> median / clip not yet read
+
+    def now(self, c: str):
+        return self.expr.get(c, F.col(q(c)))
+
+    def numeric(self, c: str) -> bool:
+        return c in self.expr or isinstance(self.df.schema[c].dataType, T.NumericType)
+
+    def cast(self, cols: Sequence[str]) -> None:
+        self.settle(cols)
+        self.expr |= {c: coerce_numeric(self.now(c)) for c in cols}
+
+    def order(self, cols: Sequence[str], median: bool = False, clip: float | None = None) -> None:
+        # a clip may join a median that waits (not the other way round)
+        self.settle([c for c in cols if c in self.waiting and (median or "clip" in self.waiting[c])])
+        for c in cols:
+            self.waiting.setdefault(c, {}).update({"median": True} if median else {"clip": clip})
+
+    def scale(self, cols: Sequence[str]) -> None:
+        self.settle(cols)
+        fitted = self.fit.select(*[self.now(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+        prm = scale_params(fitted, fitted.columns, "standard")
+        for i, c in enumerate(cols):
+            center, sc = prm[f"x{i}"]
+            if center is not None:
+                self.expr[c] = (self.now(c).cast("double") - F.lit(float(center))) / F.lit(float(sc))
+
+    def frame(self) -> DataFrame:
+        self.settle(list(self.waiting))
+        return self.df.withColumns(self.expr) if self.expr else self.df
+
+    def settle(self, cols: Sequence[str]) -> None:
+        """Reads what is asked of ``cols`` and, with it, of every column."""
+        if not any(c in self.waiting for c in cols):
+            return
+        asked, self.waiting = self.waiting, {}
+        xs = {c: self.now(c).cast("double") for c in asked}
+        row = self.fit.agg(F.count(F.lit(1)).alias("all"), *[F.count(x).alias(f"n{i}") for i, x in enumerate(xs.values())]).first()
+        n = {c: int(row[f"n{i}"]) for i, c in enumerate(xs)}
+        values = _filled_quantiles(self.fit, xs, n, int(row["all"]), asked)
+        for c, want in asked.items():
+            if not n[c]:
+                continue
+            kind = self.df.schema[c].dataType
+            kind = kind if isinstance(kind, (T.DoubleType, T.FloatType)) and c not in self.expr else T.DoubleType()
+            if want.get("median"):
+                self.expr[c] = F.coalesce(self.now(c).cast(kind), F.lit(float(values[c, 0.5])).cast(kind))
+            if want.get("clip") is not None:
+                q1, q3 = values[c, 0.25], values[c, 0.75]
+                self.expr[c] = clip_keep_null(self.now(c).cast("double"), q1 - want["clip"] * (q3 - q1), q3 + want["clip"] * (q3 - q1))
+
+
+def _filled_quantiles(fit: DataFrame, xs: dict, n: dict, rows: int, asked: dict) -> dict:
+    """{(column, p): quantile}: medians, and quartiles of the columns once their
+    missing values are the median.  With k copies of the median m added, the
+    i-th smallest is x[i] where that is below m, x[i - k] where that is above,
+    else m; so all of it takes order statistics of the column as it is."""
+    targets: dict = {}
+    for c, want in asked.items():
+        if not n[c]:
+            continue
+        added = rows - n[c] if want.get("median") else 0
+        if want.get("median"):
+            targets[c, 0.5, 0] = (c, *_ranks(n[c], 0.5))
+        for p in (0.25, 0.75) if want.get("clip") is not None else ():
+            lo, hi = _ranks(n[c] + added, p)
+            for shift in {0, added}:
+                a, b = (min(max(r - shift, 0), n[c] - 1) for r in (lo, hi))
+                targets[c, p, shift] = (c, a, b)
+    if not targets:
+        return {}
+    delta = 2.0 / DEFAULT_PROFILE.quantile_accuracy
+    keys = list(targets)
+    sketch = []
+    for t, k in enumerate(keys):
+        c, lo, hi = targets[k]
+        at = [max(lo / n[c] - delta, 0.0), min((hi + 1) / n[c] + delta, 1.0)]
+        sketch.append(F.percentile_approx(xs[c], at, DEFAULT_PROFILE.quantile_accuracy).alias(f"s{t}"))
+    row = fit.agg(*sketch).first()
+    found = order_statistics(fit, xs, targets, {k: list(row[f"s{t}"]) for t, k in enumerate(keys)})
+    out: dict = {}
+    for c, want in asked.items():
+        if not n[c]:
+            continue
+        added = rows - n[c] if want.get("median") else 0
+        if want.get("median"):
+            out[c, 0.5] = _between_ranks(found[c, 0.5, 0], n[c], 0.5)
+        for p in (0.25, 0.75) if want.get("clip") is not None else ():
+            pair = found[c, p, 0]
+            if added:
+                m, lo_hi = out[c, 0.5], _ranks(n[c] + added, p)
+                pair = tuple(
+                    low if r < n[c] and low < m else high if r >= added and high > m else m
+                    for r, low, high in zip(lo_hi, pair, found[c, p, added], strict=True)
+                )
+            out[c, p] = _between_ranks(pair, n[c] + added, p)
     return out
+
+
+def _ranks(n: int, p: float) -> tuple[int, int]:
+    h = (n - 1) * p
+    return math.floor(h), math.ceil(h)
+
+
+def _between_ranks(pair: tuple, n: int, p: float) -> float:
+    h = (n - 1) * p
+    return pair[0] + (pair[1] - pair[0]) * (h - math.floor(h))

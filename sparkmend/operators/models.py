@@ -42,44 +42,16 @@ class LinearStats:
 
 def linear_stats(df: DataFrame, feats: Sequence[str], y: str) -> LinearStats:
     """n, means, population covariances of features and target (rows with
-    any missing value in feats / y are skipped).  Up to 4 features: one
-    fused ``covar_pop`` aggregate; more: Gram partials (``gram.moments``),
-    which keep the generated code small and the pass vectorised."""
+    any missing value in feats / y are skipped), from Gram partials."""
+    from .gram import moments
+
     feats = list(feats)
     p = len(feats)
-    if p > 4:
-        from .gram import moments
-
-        (n, S, G), shift = moments(df, feats + [y])
-        n = max(n, 1.0)
-        mz = S / n
-        C = G / n - np.outer(mz, mz)
-        return LinearStats(feats, int(n), shift[:p] + mz[:p], float(shift[p] + mz[p]), C[:p, :p], C[:p, p], float(C[p, p]))
-    d = df.na.drop(subset=feats + [y])
-    xs = [F.col(q(c)).cast("double") for c in feats]
-    yy = F.col(q(y)).cast("double")
-    exprs = [F.count(F.lit(1)).alias("n"), F.avg(yy).alias("my"), F.var_pop(yy).alias("vy")]
-    for i in range(p):
-        exprs.append(F.avg(xs[i]).alias(f"m{i}"))
-        exprs.append(F.covar_pop(xs[i], yy).alias(f"cy{i}"))
-        for j in range(i, p):
-            exprs.append(F.covar_pop(xs[i], xs[j]).alias(f"c{i}_{j}"))
-    row = d.agg(*exprs).first()
-    n = int(row["n"])
-    cxx = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            v = row[f"c{i}_{j}"] or 0.0
-            cxx[i, j] = cxx[j, i] = v
-    return LinearStats(
-        feats=feats,
-        n=n,
-        mean_x=np.array([row[f"m{i}"] or 0.0 for i in range(p)]),
-        mean_y=float(row["my"] or 0.0),
-        cov_xx=cxx,
-        cov_xy=np.array([row[f"cy{i}"] or 0.0 for i in range(p)]),
-        var_y=float(row["vy"] or 0.0),
-    )
+    (n, S, G), shift = moments(df, feats + [y])
+    n = max(n, 1.0)
+    mz = S / n
+    C = G / n - np.outer(mz, mz)
+    return LinearStats(feats, int(n), shift[:p] + mz[:p], float(shift[p] + mz[p]), C[:p, :p], C[:p, p], float(C[p, p]))
 
 
 @dataclass
@@ -150,11 +122,11 @@ def fit_linear(train: DataFrame, feats: Sequence[str], y: str, kind: str = "line
 # ── Spark ML wrappers ───────────────────────────────────────────────────────
 
 
-def _assemble(df: DataFrame, feats: Sequence[str], out: str = "features") -> DataFrame:
+def _assemble(df: DataFrame, feats: Sequence[str], out: str = "features", vectors: Sequence[str] = ()) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
     cast = df.withColumns({c: F.col(q(c)).cast("double") for c in feats})
-    return VectorAssembler(inputCols=list(feats), outputCol=out, handleInvalid="keep").transform(cast)
+    return VectorAssembler(inputCols=[*feats, *vectors], outputCol=out, handleInvalid="keep").transform(cast)
 
 
 def _label_index(train: DataFrame, y: str):
@@ -169,20 +141,21 @@ class ClassifierFit:
     indexer: object
     feats: list[str]
     y: str
+    vectors: list[str] = field(default_factory=list)
 
     def predict(self, df: DataFrame) -> DataFrame:
         """Adds ``pred_label`` (the predicted label as text)."""
-        out = self.model.transform(_assemble(df, self.feats))
+        out = self.model.transform(_assemble(df, self.feats, vectors=self.vectors))
         labels = self.indexer.labels
         m = F.create_map(*[x for i, lv in enumerate(labels) for x in (F.lit(float(i)), F.lit(lv))])
         out = out.withColumn("pred_label", m[F.col("prediction")])
         return out.drop(*[c for c in ("features", "rawPrediction", "probability", "prediction") if c in out.columns])
 
 
-def fit_classifier(train: DataFrame, feats: Sequence[str], y: str, model: str = "logistic", params: dict | None = None, weight_col: str | None = None, seed: int = 42) -> ClassifierFit:
+def fit_classifier(train: DataFrame, feats: Sequence[str], y: str, model: str = "logistic", params: dict | None = None, weight_col: str | None = None, seed: int = 42, vectors: Sequence[str] = ()) -> ClassifierFit:
     """model: logistic (sklearn C -> regParam 1/(C n), no standardisation),
     rf (RandomForestClassifier), gbt (GBTClassifier; more than two classes
-    through OneVsRest).  The input is not cached here: Spark ML caches its
+    through OneVsRest).  ``vectors``: vector columns that are features too.  The input is not cached here: Spark ML caches its
     own (blocked) training instances for the iterations."""
     from pyspark.ml.classification import (
         GBTClassifier,
@@ -194,7 +167,7 @@ def fit_classifier(train: DataFrame, feats: Sequence[str], y: str, model: str =
     params = dict(params or {})
     tr = train.withColumn(y, F.col(q(y)).cast("string")).where(F.col(q(y)).isNotNull())
     idx = _label_index(tr, y)
-    d = _assemble(idx.transform(tr), feats)
+    d = _assemble(idx.transform(tr), feats, vectors=vectors)
     cols = ["features", "__label"] + ([weight_col] if weight_col else [])
     # not persisted here: Spark ML caches its own blocked instances when the
     # input is not cached (a cached DataFrame makes every iteration convert
@@ -242,7 +215,7 @@ def fit_classifier(train: DataFrame, feats: Sequence[str], y: str, model: str =
     else:
         raise ValueError(model)
     fitted = est.fit(d)
-    return ClassifierFit(fitted, idx, list(feats), y)
+    return ClassifierFit(fitted, idx, list(feats), y, list(vectors))
 
 
 def fit_gbt_regressor(train: DataFrame, feats: Sequence[str], y: str, params: dict | None = None, seed: int = 42):

@@ -21,7 +21,7 @@ from . import catalog_fixes as FXQ
 from .common import faulted_events, faulted_events_sql, memo, rounded
 from .pipeline import run_pipeline
 from .registry import query
-from .sqlgen import gram_sql, means_sql, missing_sql, residual_sql, ridge_sql, union
+from .sqlgen import gram_sql, level_ridge_ctes, means_sql, missing_sql, residual_sql, ridge_sql, union
 
 T = io.table
 FE_SQL = faulted_events_sql()
@@ -339,16 +339,96 @@ def _events_eval(spark, sf):
     return EV.evaluate_fix(df, plan, "value", "event_id", task="regression")
 
 
-@query("evaluate_fix")
+# fixed values: the plan that the events table gets (missing user ids filled
+# with the training median, both text columns encoded)
+_EV_SPLIT = f"(SELECT *, ({row_hash_sql(['event_id'], 42)} % 100) < 20 AS is_test FROM {FE_SQL})"
+_EV_MEAN = f"(SELECT * REPLACE (coalesce(CAST(user_id AS DOUBLE), (SELECT avg(user_id) FROM {_EV_SPLIT} WHERE NOT is_test AND value IS NOT NULL)) AS user_id) FROM {_EV_SPLIT})"
+_EV_MEDIAN = f"(SELECT * REPLACE (coalesce(CAST(user_id AS DOUBLE), (SELECT quantile_cont(user_id, 0.5) FROM {_EV_SPLIT} WHERE NOT is_test)) AS user_id) FROM {_EV_SPLIT})"
+_EV_NUMS = {"event_id": "event_id", "user_id": "user_id"}
+_EV_CATS = ["event_type", "props"]
+
+
+def _ev_scores() -> str:
+    return f"""{level_ridge_ctes('b', _EV_MEAN, 'value', _EV_NUMS, [])},
+{level_ridge_ctes('f', _EV_MEDIAN, 'value', _EV_NUMS, _EV_CATS)},
+ev AS (SELECT b.rmse AS rb, f.rmse AS ra, greatest((b.rmse - f.rmse) / b.rmse, 0.0) AS rw, (SELECT count(*) FROM f_lv) AS nl FROM b_rmse b, f_rmse f)"""
+
+
+@query(
+    "evaluate_fix",
+    f"""WITH {_ev_scores()}
+SELECT 'regression' AS task_type, 'rmse' AS metric, round(rb, 4) AS before, round(ra, 4) AS after, round(rw, 4) AS reward, rw > 0 AS improved,
+       2 AS n_features_before, CAST(2 + nl AS INTEGER) AS n_features_after, CAST(NULL AS VARCHAR) AS exec_error FROM ev""",
+)
 def q_evaluate_fix(spark, sf):
     return _events_eval(spark, sf)[0]
 
 
-@query("compare_scores")
+@query(
+    "compare_scores",
+    f"""WITH {_ev_scores()}
+SELECT 'before' AS stage, 'rmse' AS metric, round(rb, 4) AS value FROM ev UNION ALL SELECT 'after', 'rmse', round(ra, 4) FROM ev""",
+)
 def q_compare_scores(spark, sf):
     return EV.compare_scores(_events_eval(spark, sf)[0])
 
 
+# a target that follows a text column of some thousand levels
+WIDE_LEVELS = 1100
+
+
+def _wide_sql() -> str:
+    src = f"""(SELECT *, ({row_hash_sql(['l_rid'], 42)} % 100) < 20 AS is_test FROM (
+  SELECT l_orderkey * 10 + l_linenumber AS l_rid, l_quantity, 's' || (l_partkey * 7 + l_suppkey) % {WIDE_LEVELS} AS tag,
+         CAST((l_partkey * 7 + l_suppkey) % {WIDE_LEVELS} * 131 % 977 AS DOUBLE) + l_quantity + l_tax * 100 AS y FROM lineitem))"""
+    nums = {"l_rid": "l_rid", "l_quantity": "l_quantity"}
+    return f"""WITH {level_ridge_ctes('b', src, 'y', nums, [])},
+t AS MATERIALIZED (SELECT * FROM {src}),
+lv AS MATERIALIZED (SELECT tag, count(*) AS n FROM t WHERE NOT is_test GROUP BY tag),
+one AS (SELECT min(tag) AS f FROM lv),
+{_one_text_ridge('t', ['l_rid', 'l_quantity'], 'tag', 'y')},
+ev AS (SELECT b.rmse AS rb, f.rmse AS ra, greatest((b.rmse - f.rmse) / b.rmse, 0.0) AS rw FROM b_rmse b, f_rmse f)
+SELECT 'regression' AS task_type, 'rmse' AS metric, round(rb, 4) AS before, round(ra, 4) AS after, round(rw, 4) AS reward, rw > 0 AS improved,
+       2 AS n_features_before, CAST(1 + (SELECT count(*) FROM lv) AS INTEGER) AS n_features_after, CAST(NULL AS VARCHAR) AS exec_error FROM ev"""
+
+
+def _one_text_ridge(src: str, nums: list[str], cat: str, y: str) -> str:
+    """CTE ``f_rmse`` of a ridge (alpha 1) on two numeric columns and one text
+    column of any width, by block elimination: the level block is diagonal."""
+    z = ["1.0", *[f"({c} - m{j})" for j, c in enumerate(nums)], f"({y} - my)"]
+    m = len(z)
+    r = [f"sum({x})" for x in z]
+    g = ", ".join(f"sum({z[i]} * {z[j]}) AS g{i}{j}" for i in range(m) for j in range(i, m))
+    a = ", ".join(f"{r[i]} / (count(*) + 1.0) AS a{i}" for i in range(m))
+    rr = ", ".join(f"{r[i]} AS r{i}" for i in range(m))
+    e = ", ".join(f"sum(r{i} * a{j}) AS e{i}{j}" for i in range(m) for j in range(i, m))
+    s = ", ".join(f"g{i}{j} - e{i}{j} AS s{i}{j}" for i in range(m) for j in range(i, m))
+    c = lambda i, j: f"(s{min(i, j)}{max(i, j)} - s0{i} * s0{j} / s00 + {1.0 if i == j and i < 3 else 0.0})"
+    det = f"({c(1, 1)} * {c(2, 2)} - {c(1, 2)} * {c(1, 2)})"
+    pred = "w0 + w1 * z1 + w2 * z2 + coalesce(a3 - w0 * a0 - w1 * a1 - w2 * a2, 0.0)"
+    return f"""f_mu AS MATERIALIZED (SELECT {', '.join(f'avg({c}) AS m{j}' for j, c in enumerate(nums))}, avg({y}) AS my FROM {src} WHERE NOT is_test),
+f_g AS (SELECT {g} FROM {src}, f_mu WHERE NOT is_test),
+f_a AS MATERIALIZED (SELECT {cat} AS lvl, {rr}, {a} FROM {src}, f_mu, one WHERE NOT is_test AND {cat} > f GROUP BY {cat}),
+f_e AS (SELECT {e} FROM f_a),
+f_s AS (SELECT {s} FROM f_g, f_e),
+f_w AS (SELECT ({c(1, 3)} * {c(2, 2)} - {c(2, 3)} * {c(1, 2)}) / {det} AS w1, ({c(2, 3)} * {c(1, 1)} - {c(1, 3)} * {c(1, 2)}) / {det} AS w2, s03 / s00 AS b, s01 / s00 AS b1, s02 / s00 AS b2 FROM f_s),
+f_k AS (SELECT w1, w2, b - w1 * b1 - w2 * b2 AS w0 FROM f_w),
+f_rmse AS (SELECT sqrt(avg((t - p) * (t - p))) AS rmse FROM (
+  SELECT {z[3]} AS t, {pred} AS p FROM (SELECT x.*, {z[1]} AS z1, {z[2]} AS z2, m0, m1, my FROM {src} x, f_mu WHERE is_test) x
+  LEFT JOIN f_a ON f_a.lvl = x.{cat}, f_k))"""
+
+
+@query("evaluate_fix_wide", _wide_sql())
+def q_evaluate_fix_wide(spark, sf):
+    tag = (F.col("l_partkey") * 7 + F.col("l_suppkey")) % WIDE_LEVELS
+    d = T(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("l_rid"), "l_quantity", F.concat(F.lit("s"), tag).alias("tag"),
+        ((tag * 131 % 977).cast("double") + F.col("l_quantity") + F.col("l_tax") * 100).alias("y"),
+    )
+    plan = [{"seq": 1, "issue": "dtype", "col_name": "tag", "action": "one_hot", "params": '{"drop_first": true}'}]
+    return EV.evaluate_fix(d, plan, "y", "l_rid", task="regression", expand=False)[0]
+
+
 @query("check_nulls_cleared", missing_sql(FE_SQL, ["value", "user_id", "event_type"]))
 def q_check_nulls_cleared(spark, sf):
     return EV.check_nulls_cleared(faulted_events(spark, sf), ["value", "user_id", "event_type"])

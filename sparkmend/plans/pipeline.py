@@ -32,7 +32,8 @@ def run_pipeline(
 ) -> dict:
     """Returns a dict of DataFrames: health, plan, evaluation, features_log,
     drop_report, heatmap, final, summary.  A failing stage is recorded in
-    the summary (status 'error') and later stages are skipped."""
+    the summary (status 'error') and later stages are skipped; ``final`` is then
+    the frame as the last good stage left it (the input, if none did)."""
     spark = df.sparkSession
     out: dict = {}
     summary = []
@@ -44,6 +45,7 @@ def run_pipeline(
         summary.append((step, stage, status, metric, None if value is None else float(value), detail))
 
     df = df.persist()  # profiled, planned and scored in several passes
+    final, levels = df, []  # the best frame so far: what a failing stage leaves
     try:
         task = P.detect_task(df, target, cfg)
         note("task", "ok", "n_classes_max", cfg.max_classes, task)
@@ -55,7 +57,7 @@ def run_pipeline(
         out["plan"] = plan
         steps = plan.collect()  # one row per finding
         note("plan", "ok", "steps", len(steps), ",".join(f"{s['action']}:{s['col_name']}" for s in steps))
-        result, fixed = EV.evaluate_fix(df, steps, target, key, cfg, task)
+        result, fixed = EV.evaluate_fix(df, steps, target, key, cfg, task, expand=False)
         out["evaluation"] = result
         r = result.first()
         note("repair", "error" if r["exec_error"] else "ok", r["metric"], r["after"], f"before={r['before']} reward={r['reward']}" + (f" error={r['exec_error']}" if r["exec_error"] else ""))
@@ -64,25 +66,27 @@ def run_pipeline(
         # the repaired frame feeds the feature search and the filter (several
         # passes): its lineage is cut with a reliable checkpoint in the
         # cluster's shared checkpoint folder
-        fixed = cut_lineage(fixed.drop(*[c for c in ("weight",) if c in fixed.columns]))
-        # candidates come from columns of the input, not from 0/1 level columns
+        final = fixed = cut_lineage(fixed.drop(*[c for c in ("weight",) if c in fixed.columns]))
+        levels = FX.encoded_columns(steps, fixed, [key, target])
+        # candidates come from columns of the input
         cands = FE.candidate_features(fixed, target, candidate_kinds, cols=[c for c in numeric_cols(fixed, exclude=[target, key]) if c in df.columns])
-        feat_df, log = FE.greedy_features(fixed, target, cands, key, fcfg, cfg, task)
+        final, log = FE.greedy_features(fixed, target, cands, key, fcfg, cfg, task, levels=levels)
         out["features_log"] = log
         kept = [x["feature_name"] for x in log.where("kept").collect()]
         note("features", "ok", "kept", len(kept), ",".join(kept))
-        final, report, drop_report, heat = C.filter_features(feat_df.drop("is_test"), target, ccfg)
-        out["drop_report"], out["heatmap"], out["final"] = drop_report, heat, final
+        encoded = _encoded(final, levels)
+        filtered, report, drop_report, heat = C.filter_features(encoded.drop("is_test"), target, ccfg)
+        out["drop_report"], out["heatmap"], final, levels = drop_report, heat, filtered, []
         note("filter", "ok", "features_after", report["n_features_after"], f"low={report['dropped_low_target_corr']} redundant={report['dropped_redundant']}")
     except Exception as exc:  # the partial result is kept
         note("pipeline", "error", None, None, f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}")
+    out["final"] = _encoded(final, levels).drop("is_test")
     out["summary"] = spark.createDataFrame(summary, SUMMARY_SCHEMA)
     df.unpersist(blocking=False)  # every returned frame is local or checkpointed
     return out
 
 
-def release(result: dict) -> None:
-    """Drop cached frames held by a pipeline result."""
-    for v in result.values():
-        if isinstance(v, DataFrame) and v.is_cached:
-            v.unpersist()
+def _encoded(df: DataFrame, levels: list[str]) -> DataFrame:
+    """Text columns that the plan encodes as 0/1 columns (a vector beyond
+    ``MAX_LEVELS`` levels), levels taken from the training rows."""
+    return FX.one_hot(df, levels, fit_on=df.where("NOT is_test")) if levels else df

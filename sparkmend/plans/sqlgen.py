@@ -145,3 +145,39 @@ def residual_sql(w: str, t: str, n: str, p: int) -> str:
     v = f"list_append(list_transform({w}, lambda x: -x), 1.0)"
     quad = f"list_sum(list_transform({t}, lambda row, i: {v}[i] * list_sum(list_transform(row, lambda x, j: x * {v}[j]))))"
     return f"sqrt(greatest({quad} / {n}, 0.0))"
+
+
+def level_ridge_ctes(name: str, src: str, y: str, nums: dict[str, str], cats: list[str], alpha: float = 1.0) -> str:
+    """CTEs ``{name}_rmse`` (rmse) and ``{name}_lv`` (the level features) of a
+    ridge over the numeric expressions ``nums`` (no missing values) and one 0/1
+    feature per training level of ``cats`` but the first: feature entries by
+    row, their products summed over the training rows, elimination over the
+    pivots (the intercept first, without penalty), errors on the test rows.
+    ``src`` has is_test."""
+    k = len(nums)
+    cols = ", ".join([f"CAST({e} AS DOUBLE) AS n{j}" for j, e in enumerate(nums.values())] + [f"CAST({c} AS VARCHAR) AS c{j}" for j, c in enumerate(cats)])
+    means = ", ".join([f"avg(n{j}) AS m{j}" for j in range(k)] + ["avg(y) AS my"])
+    seen = union([f"SELECT {j} AS c, c{j} AS level FROM {name}_src WHERE NOT is_test" for j in range(len(cats))]) or "SELECT 0 AS c, NULL AS level"
+    entries = [f"SELECT rid, is_test, 1 AS i, 1.0::DOUBLE AS z FROM {name}_src"]
+    entries += [f"SELECT rid, is_test, {j + 2}, n{j} - m{j} FROM {name}_src, {name}_mu" for j in range(k)]
+    entries += [f"SELECT rid, is_test, l.i, 1.0 FROM {name}_src JOIN {name}_lv l ON l.c = {j} AND l.level = c{j}" for j in range(len(cats))]
+    pivot = "CAST(e[1][1] AS INTEGER)"
+    step = (
+        f"list_transform(a, lambda row, i: list_transform(row, lambda x, j: "
+        f"CASE WHEN i = {pivot} THEN x / row[{pivot}] ELSE x - row[{pivot}] * a[{pivot}][j] / a[{pivot}][{pivot}] END))"
+    )
+    return f"""{name}_src AS MATERIALIZED (SELECT row_number() OVER () AS rid, is_test, CAST({y} AS DOUBLE) AS y{', ' + cols if cols else ''} FROM {src} WHERE {y} IS NOT NULL),
+{name}_mu AS MATERIALIZED (SELECT {means} FROM {name}_src WHERE NOT is_test),
+{name}_lv AS MATERIALIZED (SELECT c, level, row_number() OVER (ORDER BY c, level) + {k + 1} AS i
+  FROM (SELECT DISTINCT c, level, min(level) OVER (PARTITION BY c) AS f FROM ({seen}) WHERE level IS NOT NULL) WHERE level > f),
+{name}_ent AS MATERIALIZED ({union(entries)}),
+{name}_idx AS MATERIALIZED (SELECT unnest(range(1, {k + 2} + (SELECT count(*) FROM {name}_lv))) AS i),
+{name}_p AS (SELECT max(i) AS p FROM {name}_idx),
+{name}_sum AS MATERIALIZED (SELECT a.i, b.i AS j, sum(a.z * b.z) AS v FROM {name}_ent a JOIN {name}_ent b ON a.rid = b.rid WHERE NOT a.is_test GROUP BY ALL
+  UNION ALL SELECT e.i, p + 1, sum(e.z * (s.y - my)) FROM {name}_ent e JOIN {name}_src s ON e.rid = s.rid, {name}_mu, {name}_p WHERE NOT e.is_test GROUP BY ALL),
+{name}_mat AS (SELECT list(r ORDER BY i) AS a FROM (SELECT x.i, list(coalesce(v, 0.0) + CASE WHEN x.i = t.j AND x.i > 1 THEN {alpha} ELSE 0.0 END ORDER BY t.j) AS r
+  FROM {name}_idx x CROSS JOIN (SELECT i AS j FROM {name}_idx UNION ALL SELECT p + 1 FROM {name}_p) t LEFT JOIN {name}_sum s ON s.i = x.i AND s.j = t.j GROUP BY x.i)),
+{name}_w AS MATERIALIZED (SELECT unnest(w) AS w, generate_subscripts(w, 1) AS i FROM (
+  SELECT list_transform(list_reduce(list_transform(range(1, p + 1), lambda k: [[CAST(k AS DOUBLE)]]), lambda a, e: {step}, a), lambda row: row[p + 1]) AS w FROM {name}_mat, {name}_p)),
+{name}_rmse AS MATERIALIZED (SELECT sqrt(avg((y - my - pred) * (y - my - pred))) AS rmse FROM {name}_mu, {name}_src s JOIN (
+  SELECT rid, sum(z * w) AS pred FROM {name}_ent JOIN {name}_w USING (i) WHERE is_test GROUP BY rid) USING (rid))"""

@@ -56,6 +56,55 @@ def test_feature_validation_rejects(spark):
     assert not ok and "fe_" in msg
 
 
+def test_feature_validation_sees_changed_values(spark):
+    df = spark.createDataFrame([(1.0, "a", 3), (2.0, "b", 4), (None, None, 5)], "`my-col` double, s string, `a b.c` int")
+    fe = lambda d: d.withColumn("fe_x", F.col("`a b.c`") + 1)
+    assert FE.validate_feature(df, fe(df)) == (True, "fe_x")
+    assert FE.validate_feature(df, fe(df.repartition(3).orderBy(F.desc("s")))) == (True, "fe_x")
+    for c in ("my-col", "a b.c"):
+        ok, msg = FE.validate_feature(df, fe(df.withColumn(c, (F.col(f"`{c}`") + 1).cast(df.schema[c].dataType))))
+        assert not ok and c in msg
+    ok, msg = FE.validate_feature(df, fe(df.drop("s")))
+    assert not ok and "'s'" in msg
+    swapped = df.select(F.when(F.col("s") == "a", 2.0).when(F.col("s") == "b", 1.0).alias("my-col"), "s", "`a b.c`")
+    assert not FE.validate_feature(df, fe(swapped))[0]
+
+
+def test_greedy_reads_candidates_in_blocks(spark, monkeypatch):
+    """100 columns: no matrix over all candidates, the same log as in one block."""
+    monkeypatch.setattr(FE, "BLOCK", 4)
+    widths = []
+    real = FE.level_moments
+    monkeypatch.setattr(FE, "level_moments", lambda d, cols, *a: widths.append(len(cols)) or real(d, cols, *a))
+    cols = [((F.xxhash64("id", F.lit(i)) % 1000) / 10.0).alias(f"c{i}") for i in range(40)]
+    df = spark.range(3000).select("id", *cols).withColumn("y", F.col("c0") * F.col("c1") + F.col("c2") * F.col("c3") + F.col("c4"))
+    cands = FE.candidate_features(df, "y", ("ratio", "product"), cols=[f"c{i}" for i in range(8)])
+    log = FE.greedy_features(df, "y", cands, "id", task="regression")[1].collect()
+    assert max(widths) <= 41 + 4 + sum(r["kept"] for r in log)
+    monkeypatch.setattr(FE, "BLOCK", 1000)
+    assert FE.greedy_features(df, "y", cands, "id", task="regression")[1].collect() == log
+    assert any(r["kept"] and r["feature_name"] == "fe_prod_c0_c1" for r in log)
+
+
+def test_wide_text_counts_in_every_score(spark):
+    """1,100 levels earn what 150 do, in the fix, in the feature search and in
+    the logistic fit; a test of the levels themselves is in test_levels."""
+    plan = [{"seq": 1, "issue": "dtype", "col_name": "t", "action": "one_hot", "params": "{}"}]
+    rewards = []
+    for n in (150, 1100):
+        df = spark.range(20 * n).select("id", F.concat(F.lit("l"), F.col("id") % n).alias("t"), (F.xxhash64("id") % 10).cast("double").alias("x"))
+        df = df.withColumn("y", F.pmod(F.xxhash64("t"), F.lit(1000)) + F.col("x"))
+        row, fixed = EV.evaluate_fix(df, plan, "y", "id", task="regression", expand=False)
+        r = row.first()
+        assert r["exec_error"] is None and r["n_features_after"] - r["n_features_before"] == n - 1 and "t" in fixed.columns
+        rewards.append(r["reward"])
+        log = FE.greedy_features(fixed, "y", {"fe_xx": (F.col("x") * F.col("x"), "x * x")}, "id", task="regression", levels=["t"])[1]
+        assert abs(log.first()["metric_before"] - r["after"]) < 1e-3
+    assert min(rewards) > 0.8 and abs(rewards[0] - rewards[1]) < 0.1
+    c = df.withColumn("y", F.col("y") > 500).withColumn("y", F.col("y").cast("int"))
+    assert EV.evaluate_fix(c, plan, "y", "id", task="classification")[0].first()["reward"] > 0.3
+
+
 def test_health_and_pipeline_end_to_end(spark):
     ev = io.inject_nulls(io.table(spark, SF, "events"), {"value": 0.08, "user_id": 0.05}, "event_id")
     rep = P.health_report(ev, target="event_type", task="classification")
