@@ -53,7 +53,7 @@ def moments(df: DataFrame, cols: Sequence[str], by: str | None = None, shift: np
     full: dict = {}
     for r in tot:
         full.setdefault(int(r["g"]), np.zeros((m + 1, m + 1)))[int(r["idx"])] = r["v"].toArray()
-    res = {g: (a[0, 0], a[0, 1:], a[1:, 1:]) for g, a in full.items()}
+    res = {g: (float(round(a[0, 0])), a[0, 1:], a[1:, 1:]) for g, a in full.items()}
     if by is None:
         return res.get(0, (0.0, np.zeros(m), np.zeros((m, m)))), shift
     return res, shift

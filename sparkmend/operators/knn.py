@@ -1,33 +1,31 @@
-"""Exact k-nearest-neighbour join without a cross join.
-
-Right rows are assigned to the nearest of P pivots (Voronoi cells; P
-rows picked by a seeded hash, so P x dim numbers are broadcast).  Each
-cell's row count and radius (largest distance of a member to its pivot)
-form a P-row table.  For a left row q the k-th neighbour distance is at
-most theta = the smallest value such that the cells with
-d(q, pivot) + radius <= theta together hold >= k rows; a cell can hold a
-neighbour only if d(q, pivot) - radius <= theta (triangle inequality), so
-the left row is sent to exactly those cells.  The pairs come from an
-equi-join on the cell id (hot cells are split by AQE's skew join), the
-distance is a SQL array expression, and the top k per left row is a
-``row_number`` over (distance, right key).  The result equals brute force
-(ties included) for every metric that obeys the triangle inequality:
-euclidean, manhattan, chebyshev, minkowski p >= 1.
+"""K-nearest-neighbour join, in blocks.
+
+Exact: both sides are cut into blocks of bounded size and every left block
+meets every right block in a task of its own.  A pair of blocks costs one matrix
+product and gives only k rows per left row; the k best over all blocks are then
+picked per left row.  What a task holds is bounded by the block size, whatever
+the tables, dimensions or copies.  Each side is sent once per block of the
+other, so the left side should be the smaller one (the rows that ask).
+
+Approximate (euclidean): the same blocks, but only within buckets of random
+projections.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.exprs import q, row_hash
-
-MAX_PIVOTS = 1024
+from ..session import cut_lineage
 
 
 def vector_col(df: DataFrame, vec: str | None = None, feats: Sequence[str] | None = None) -> Column:
@@ -44,30 +42,6 @@ def require_complete(df: DataFrame, feats: Sequence[str]) -> None:
         raise ValueError(f"missing values in {lacking}: impute them first")
 
 
-def distance_expr(a: Column, b: Column, metric: str = "euclidean", p: float = 2.0) -> Column:
-    diffs = F.zip_with(a, b, lambda x, y: F.abs(x - y))
-    if metric == "chebyshev":
-        return F.array_max(diffs)
-    if metric == "manhattan" or (metric == "minkowski" and p == 1):
-        return F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + d)
-    if metric == "euclidean" or (metric == "minkowski" and p == 2):
-        return F.sqrt(F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + d * d))
-    if metric == "minkowski":
-        return F.pow(F.aggregate(diffs, F.lit(0.0), lambda acc, d: acc + F.pow(d, F.lit(float(p)))), F.lit(1.0 / p))
-    raise ValueError(metric)
-
-
-def _np_dist(X: np.ndarray, P: np.ndarray, metric: str, p: float) -> np.ndarray:
-    d = np.abs(X[:, None, :] - P[None, :, :])
-    if metric == "chebyshev":
-        return d.max(axis=2)
-    if metric == "manhattan" or (metric == "minkowski" and p == 1):
-        return d.sum(axis=2)
-    if metric == "euclidean" or (metric == "minkowski" and p == 2):
-        return np.sqrt((d * d).sum(axis=2))
-    return (d**p).sum(axis=2) ** (1.0 / p)
-
-
 def knn_join(
     left: DataFrame,
     right: DataFrame,
@@ -78,73 +52,202 @@ def knn_join(
     feats: Sequence[str] | None = None,
     metric: str = "euclidean",
     p: float = 2.0,
-    n_pivots: int | None = None,
-    seed: int = 42,
     exclude_self: bool = False,
+    mode: str = "exact",
+    tables: int = 16,
+    bucket_length: float | None = None,
+    seed: int = 42,
+    carry: str | None = None,
 ) -> DataFrame:
     """(lkey, rkey, dist, rank) for the k nearest right rows of every left
-    row; ties ordered by right key."""
-    spark = left.sparkSession
+    row, and their column ``carry``; ties ordered by right key.  Rows without a vector have no neighbours
+    and are nobody's.
+
+    ``mode='exact'``: every left block meets every right block.
+    ``mode='approx'`` (euclidean): rows meet where one of ``tables`` random
+    projections puts them in the same bucket of width ``bucket_length`` (taken
+    from the data if not given); left rows that meet fewer than k others go
+    the exact way."""
+    if mode not in ("exact", "approx"):
+        raise ValueError(f"unknown mode {mode}")
+    if mode == "approx" and not (metric == "euclidean" or (metric == "minkowski" and p == 2)):
+        raise ValueError("the approximate mode is for the euclidean metric")
     if feats is not None:
         require_complete(left, feats)
         require_complete(right, feats)
-    L = left.select(F.col(q(lkey)).alias("lk"), vector_col(left, vec, feats).alias("lv"))
-    R = right.select(F.col(q(rkey)).alias("rk"), vector_col(right, vec, feats).alias("rv"))
-    n_right = R.count()
-    if n_right == 0:
-        return spark.createDataFrame([], f"{lkey} {left.schema[lkey].dataType.simpleString()}, {rkey} {right.schema[rkey].dataType.simpleString()}, dist double, rank int")
-    P = n_pivots or int(min(MAX_PIVOTS, max(1, round(math.sqrt(n_right / max(k, 1))))))
-    piv_rows = R.withColumn("__h", row_hash(["rk"], seed, "pivot")).orderBy("__h", "rk").limit(P).select("rv").collect()
-    pivots = np.array([r["rv"] for r in piv_rows], dtype=float)  # P x dim, bounded
-    bpiv = spark.sparkContext.broadcast(pivots)
-
-    def assign(batches):
-        pv = bpiv.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["rv"].to_numpy())
-            D = _np_dist(X, pv, metric, p)
-            cell = D.argmin(axis=1)
-            yield pd.DataFrame({"rk": pdf["rk"], "rv": pdf["rv"], "cell": cell.astype("int64"), "dp": D[np.arange(len(cell)), cell]})
-
-    rk_t = R.schema["rk"].dataType.simpleString()
-    Rc = R.mapInPandas(assign, f"rk {rk_t}, rv array<double>, cell long, dp double")
-    stats = Rc.groupBy("cell").agg(F.count("*").alias("cnt"), F.max("dp").alias("rad")).collect()  # <= P rows
-    cnt = np.zeros(len(pivots))
-    rad = np.zeros(len(pivots))
-    for r in stats:
-        cnt[r["cell"]] = r["cnt"]
-        rad[r["cell"]] = r["rad"]
-    kk = k + (1 if exclude_self else 0)
-    bstat = spark.sparkContext.broadcast((cnt, rad))
-
-    def candidates(batches):
-        pv = bpiv.value
-        c, rr = bstat.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.stack(pdf["lv"].to_numpy())
-            D = _np_dist(X, pv, metric, p)
-            up = D + rr[None, :]
-            order = np.argsort(up, axis=1, kind="stable")
-            csum = np.cumsum(c[order], axis=1)
-            pos = np.minimum((csum < kk).sum(axis=1), len(c) - 1)
-            theta = up[np.arange(len(X)), order[np.arange(len(X)), pos]]
-            slack = 1e-9 * np.maximum(1.0, np.abs(theta))
-            keep = (D - rr[None, :] <= (theta + slack)[:, None]) & (c[None, :] > 0)
-            li, ci = np.nonzero(keep)
-            yield pd.DataFrame({"lk": pdf["lk"].to_numpy()[li], "lv": pdf["lv"].to_numpy()[li], "cell": ci.astype("int64")})
-
-    lk_t = L.schema["lk"].dataType.simpleString()
-    Lc = L.mapInPandas(candidates, f"lk {lk_t}, lv array<double>, cell long")
-    pairs = Lc.join(Rc.drop("dp"), "cell").select("lk", "rk", distance_expr(F.col("lv"), F.col("rv"), metric, p).alias("dist"))
-    if exclude_self:
-        pairs = pairs.where(F.col("lk") != F.col("rk"))
+    L = left.select(F.col(q(lkey)).alias("lk"), vector_col(left, vec, feats).alias("v")).where("v IS NOT NULL")
+    more = [F.col(q(carry)).alias("more")] if carry else []
+    R = right.select(F.col(q(rkey)).alias("rk"), *more, vector_col(right, vec, feats).alias("v")).where("v IS NOT NULL")
+    kernel = _Kernel(k, metric, p, exclude_self)
+    near = _grid(L, R, kernel) if mode == "exact" else _buckets(L, R, kernel, tables, bucket_length, seed)
+    w = Window.partitionBy("lk").orderBy("dist", "rk")
+    top = near.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    return top.select(F.col("lk").alias(lkey), F.col("rk").alias(rkey), "dist", "rank", *([F.col("more").alias(carry)] if carry else []))
+
+
+# ── blocks ──────────────────────────────────────────────────────────────────
+
+
+class _Kernel:
+    """Nearest right rows of each left row, within two blocks.
+
+    Euclidean distances come from one matrix product, |a|^2 + |b|^2 - 2ab, which
+    is off by rounding; all right rows within that error of the k-th smallest
+    are measured again coordinate by coordinate, so the k kept are the exact
+    ones, ties by key included.  Other metrics add up coordinate by coordinate."""
+
+    STRIP = 1 << 21  # distances held at once
+
+    def __init__(self, k: int, metric: str, p: float, exclude_self: bool):
+        self.k, self.exclude_self = k, exclude_self
+        self.p = {"euclidean": 2.0, "manhattan": 1.0, "chebyshev": math.inf, "minkowski": float(p)}[metric]
+
+    def whole(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of rows ``a`` to rows ``b``, up to a monotone function."""
+        if self.p == 2:
+            return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
+        out = np.zeros((len(a), len(b)))
+        for j in range(a.shape[1]):
+            d = np.abs(a[:, j, None] - b[None, :, j])
+            out = np.maximum(out, d) if self.p == math.inf else out + (d if self.p == 1 else d**self.p)
+        return out
+
+    def exact(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Distances of row ``a[i]`` to row ``b[i]``."""
+        d = np.abs(a - b)
+        if self.p == math.inf:
+            return d.max(1, initial=0.0)
+        if self.p == 1:
+            return d.sum(1)
+        return np.sqrt((d * d).sum(1)) if self.p == 2 else (d**self.p).sum(1) ** (1.0 / self.p)
+
+    def nearest(self, a: np.ndarray, b: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, distance): up to k rows of ``b`` per row of ``a`` (k + 1 where
+        a row may meet itself), ties by ``order``."""
+        if not len(a) or not len(b):
+            return
+        want = min(self.k + (1 if self.exclude_self else 0), len(b))
+        scale = (b * b).sum(1).max()
+        for at in range(0, len(a), step := max(1, self.STRIP // len(b))):
+            x = a[at : at + step]
+            d = self.whole(x, b)
+            far = np.partition(d, want - 1, axis=1)[:, want - 1]
+            slack = 1e-11 * ((x * x).sum(1) + scale) if self.p == 2 else 1e-11 * np.abs(far)
+            i, j = np.nonzero(d <= (far + slack)[:, None])
+            dist = self.exact(x[i], b[j])
+            by = np.lexsort((order[j], dist, i))
+            i, j, dist = i[by], j[by], dist[by]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            best = place < want
+            yield i[best] + at, j[best], dist[best]
+
+    def cells(self, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        """The nearest of every cell: rows of both sides that share ``keys``,
+        a block of each."""
+        kept = [c for c in ("rk", "more") if c in right.columns]
+        kinds = {"lk": left.schema["lk"].dataType} | {c: right.schema[c].dataType for c in kept}
+        schema = T.StructType([T.StructField(c, t) for c, t in kinds.items()] + [T.StructField("dist", T.DoubleType())])
+        arrow = to_arrow_schema(schema)
+
+        def vectors(table: pa.Table) -> np.ndarray:
+            v = table.column("v").combine_chunks()
+            return v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), -1) if len(v) else np.zeros((0, 0))
+
+        def run(one: pa.Table, other: pa.Table) -> pa.Table:
+            rk = other.column("rk").combine_chunks()
+            order = pc.rank(rk, sort_keys="ascending", null_placement="at_start", tiebreaker="first").to_numpy() if len(rk) else np.zeros(0)
+            found = list(self.nearest(vectors(one), vectors(other), order))
+            if not found:
+                return arrow.empty_table()
+            i, j, dist = (np.concatenate(x) for x in zip(*found, strict=True))
+            theirs = [other.column(c).take(pa.array(j)) for c in kept]
+            out = pa.Table.from_arrays([one.column("lk").take(pa.array(i)), *theirs, pa.array(dist)], schema=arrow)
+            return out.filter(pc.invert(pc.fill_null(pc.equal(out["lk"], out["rk"]), False))) if self.exclude_self else out
+
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
+
+
+BLOCK = 1 << 20  # numbers of a block's vectors
+LEAST = 1024  # rows below which a block is not cut for the sake of more tasks
+
+
+def _width(df: DataFrame) -> tuple[int, int]:
+    """(rows, longest vector)."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    return int(row["n"]), max(int(row["d"] or 1), 1)
+
+
+def _parts(n: int, dim: int, tasks: int) -> int:
+    """Blocks of ``n`` rows: none above BLOCK numbers, enough for ``tasks``."""
+    return max(1, -(-n * dim // BLOCK), min(tasks, n // LEAST))
+
+
+def _block_of(key: str, parts) -> Column:
+    # a number of the row besides its key: equal keys are dealt apart
+    return F.pmod(F.xxhash64(key, F.monotonically_increasing_id()), F.lit(parts) if isinstance(parts, int) else parts).cast("int")
+
+
+def _grid(L: DataFrame, R: DataFrame, kernel: _Kernel) -> DataFrame:
+    """Every left block with every right block; a task holds one of each."""
+    tasks = int(L.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (n_right, dim), (n_left, _) = _width(R), _width(L)
+    right = _parts(n_right, dim, tasks)
+    left = _parts(n_left, dim, -(-tasks // right))
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    lefts = L.withColumn("lb", _block_of("lk", left)).select("lb", "lk", "v", each(right, "rb"))
+    rights = R.withColumn("rb", _block_of("rk", right)).select("*", each(left, "lb"))
+    return kernel.cells(lefts, rights, ["lb", "rb"])
+
+
+def _buckets(L: DataFrame, R: DataFrame, kernel: _Kernel, tables: int, bucket_length: float | None, seed: int) -> DataFrame:
+    """Blocks of rows in one bucket of one projection; a bucket above a block's
+    size is cut on both sides, so that a hot one meets in many tasks."""
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    n_right, dim = _width(R)
+    if bucket_length is None:
+        bucket_length = _near_distance(L, R, kernel, seed) * WIDTH / math.sqrt(dim)
+    # a number of its own tells rows of one key apart and stays the same below
+    L = cut_lineage(L.withColumn("row", F.monotonically_increasing_id()))
+    lsh = BucketedRandomProjectionLSH(inputCol="f", outputCol="h", bucketLength=max(bucket_length, 1e-12), numHashTables=tables, seed=seed)
+    model = lsh.fit(R.select(array_to_vector("v").alias("f")))
+
+    def hashed(df: DataFrame) -> DataFrame:
+        h = model.transform(df.withColumn("f", array_to_vector("v"))).drop("f")
+        at = F.posexplode(F.transform("h", lambda x: F.get(vector_to_array(x), F.lit(0)))).alias("t", "bucket")
+        return h.select(*df.columns, at)
+
+    block = max(1, BLOCK // dim)
+    sizes = None
+    for name, df in (("n_left", L), ("n_right", R)):
+        one = hashed(df).groupBy("t", "bucket").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias(name))
+        sizes = one if sizes is None else sizes.join(one, ["t", "bucket"])
+    sizes = cut_lineage(sizes)  # buckets that both sides have
+    keys = ["t", "bucket", "lb", "rb"]
+    cuts = lambda c, name: F.explode(F.sequence(F.lit(0), F.col(c) - 1)).alias(name)
+    lefts = hashed(L).join(sizes, ["t", "bucket"]).withColumn("lb", F.pmod(F.xxhash64("row"), F.col("n_left")).cast("int"))
+    lefts = lefts.select("t", "bucket", "lb", "lk", "v", cuts("n_right", "rb"))
+    rights = hashed(R).join(sizes, ["t", "bucket"]).withColumn("rb", _block_of("rk", F.col("n_right")))
+    rights = rights.select("t", "bucket", "rb", *R.columns, cuts("n_left", "lb"))
+    met = kernel.cells(lefts, rights, keys)
+    met = cut_lineage(met.groupBy("lk", *[c for c in R.columns if c != "v"]).agg(F.min("dist").alias("dist")))
+    full = met.groupBy("lk").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(kernel.k, n_right))
+    rest = L.drop("row").join(full, "lk", "left_anti")
+    return met.join(full.select("lk"), "lk", "left_semi").unionByName(_grid(rest, R, kernel))
+
+
+SAMPLE = 100  # left rows whose exact neighbours set the bucket width
+WIDTH = 4.0  # bucket width in typical differences of neighbours along a projection
+
+
+def _near_distance(L: DataFrame, R: DataFrame, kernel: _Kernel, seed: int) -> float:
+    """Typical distance of a k-th neighbour, from the exact neighbours of
+    ``SAMPLE`` left rows."""
+    some = L.orderBy(row_hash(["lk"], seed, "near"), "lk").limit(SAMPLE)
     w = Window.partitionBy("lk").orderBy("dist", "rk")
-    top = pairs.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-    return top.select(F.col("lk").alias(lkey), F.col("rk").alias(rkey), "dist", "rank")
+    kth = _grid(some, R, kernel).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= kernel.k).groupBy("lk").agg(F.max("dist").alias("d"))
+    return float(kth.agg(F.percentile("d", F.lit(0.75))).first()[0] or 1.0)  # of SAMPLE rows
 
 
 def knn_classify(
@@ -159,16 +262,20 @@ def knn_classify(
     metric: str = "euclidean",
     p: float = 2.0,
     neighbours: DataFrame | None = None,
+    mode: str = "exact",
 ) -> DataFrame:
     """(key, label, prediction): vote of the k nearest training rows;
     'distance' weights 1/d, and exact hits (d = 0) win alone; ties -> the
     smallest label.  ``neighbours`` (from knn_join with a larger k) can be
-    reused for every smaller k."""
+    reused for every smaller k; with their labels as column __nl nothing is
+    joined."""
     rkey = "__rk"
     tr = train.select(F.col(q(key)).alias(rkey), F.col(q(label)).alias("__nl"), *([F.col(q(vec))] if vec else [F.col(q(c)) for c in feats]))
     if neighbours is None:
-        neighbours = knn_join(test, tr, key, rkey, k, vec, feats, metric, p)
-    nb = neighbours.where(F.col("rank") <= k).join(tr.select(rkey, "__nl"), rkey)
+        neighbours = knn_join(test, tr, key, rkey, k, vec, feats, metric, p, mode=mode, carry="__nl")
+    elif "__nl" not in neighbours.columns:
+        neighbours = neighbours.join(tr.select(rkey, "__nl"), rkey)
+    nb = neighbours.where(F.col("rank") <= k)
     zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(key))
     if weights == "distance":
         w = F.when(F.col("__z") == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))

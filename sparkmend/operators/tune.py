@@ -276,7 +276,7 @@ def _tune_knn(d: DataFrame, feats, label, k: int, trials: list[dict]):
             va_s = apply_scale(va, prm)
             tr_s = apply_scale(tr, prm)
             trk = tr_s.select(F.col("__key").alias("__rk"), F.col(q(label)).alias("__nl"), *[F.col(q(c)) for c in feats])
-            nb = knn_join(va_s, trk, "__key", "__rk", kmax, feats=feats, metric=metric, p=float(pp)).persist()
+            nb = knn_join(va_s, trk, "__key", "__rk", kmax, feats=feats, metric=metric, p=float(pp), carry="__nl").persist()
             for t, p in items:
                 pred = knn_classify(tr_s, va_s, "__key", label, k=p["n_neighbors"], weights=p["weights"], feats=feats, metric=metric, p=float(pp), neighbours=nb)
                 per_fold[t].append(_acc(pred, label, "prediction"))

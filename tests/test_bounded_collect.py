@@ -41,6 +41,38 @@ def test_unsettled_bracket_is_still_exact(spark):
     assert got[(0, 0)] == 4.0
 
 
+def test_correlations_go_by_tiles(spark, monkeypatch):
+    """200 columns in tiles of 16: a row per tile and task, a pass per 20 tiles,
+    the driver sees a number per column and the strong pairs."""
+    from sparkmend.operators import correlate as C
+
+    monkeypatch.setattr(C, "TILE", 16)
+    monkeypatch.setattr(C, "HELD", 20 * 6 * 256)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 200)) + 1000
+    x[:, 150] = x[:, 3] + rng.normal(size=400) * 0.01
+    x[:, 7] = 5.0
+    x[rng.random(x.shape) < 0.1] = np.nan
+    names = [f"c{i}" for i in range(200)]
+    df = spark.createDataFrame([(i, [None if v != v else float(v) for v in r]) for i, r in enumerate(x)], "id long, v array<double>")
+    df = df.select(*[F.col("v")[i].alias(n) for i, n in enumerate(names)]).repartition(5)
+    sent = []
+    real = C._tile_sums
+    monkeypatch.setattr(C, "_tile_sums", lambda d, c, tiles, s: sent.append(len(tiles)) or real(d, c, tiles, s))
+    got = np.zeros((200, 200))
+    for r in C.corr_frame(df, names).collect():
+        got[r["i"], r["j"]] = got[r["j"], r["i"]] = r["r"]
+    assert sent == [20, 20, 20, 20, 11]  # 13 * 14 / 2 tiles
+    for i, j in [(0, 1), (3, 150), (150, 199), (7, 9), (17, 16), (12, 12)]:
+        both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+        a, b = x[both, i], x[both, j]
+        want = 0.0 if a.std() == 0 or b.std() == 0 else np.corrcoef(a, b)[0, 1]
+        assert abs(got[i, j] - want) < 1e-9
+    (out, report, _, heat), most = _collected(monkeypatch, lambda: C.filter_features(df.withColumn("t", F.col("c3") * 2), "t"))
+    assert most <= 201 and report["n_features_before"] == 200
+    assert "c150" in report["dropped_redundant"] + report["kept_features"] and heat.count() == (len(report["kept_features"]) + 1) ** 2
+
+
 def test_heavy_ties_and_unsettled_columns_run_in_many_tasks(spark, monkeypatch):
     from sparkmend.operators import quantiles as Q
 

@@ -30,11 +30,11 @@ def test_gram_moments_match_numpy(data):
     assert np.allclose(S_, Z.sum(0)) and np.allclose(G, Z.T @ Z)
 
 
-def test_linear_stats_paths_agree(data):
+def test_linear_stats_of_few_and_many_columns_agree(data):
     df, X, y = data
-    small = M.linear_stats(df, ["a", "b", "c"], "y")  # fused covar_pop aggregate
+    small = M.linear_stats(df, ["a", "b", "c"], "y")
     wide = df.withColumn("d", F.col("a") * 0 + 1.0).withColumn("e", F.col("b") * 2)
-    big = M.linear_stats(wide, ["a", "b", "c", "d", "e"], "y")  # Gram partials
+    big = M.linear_stats(wide, ["a", "b", "c", "d", "e"], "y")
     assert np.allclose(small.cov_xx, big.cov_xx[:3, :3]) and np.allclose(small.cov_xy, big.cov_xy[:3])
     assert small.mean_y == pytest.approx(big.mean_y)
 

@@ -109,7 +109,8 @@ def test_constant_and_zero_variance_edges(spark):
     df = spark.createDataFrame([(float(i), 42.0, float(i % 3)) for i in range(100)], "a double, const double, t double")
     assert FX.scale(df, ["const"], "standard").agg(F.max(F.abs("const"))).first()[0] == 0.0
     assert FX.scale(df, ["const"], "minmax").agg(F.max("const")).first()[0] == 0.0
-    vals = C.corr_values(df, ["a", "const", "t"])
+    names = ["a", "const", "t"]
+    vals = {(names[r["i"]], names[r["j"]]): r["r"] for r in C.corr_frame(df, names).collect()}
     assert vals[("a", "const")] == 0.0
     out, report, _d, _h = C.filter_features(df, "t")
     assert "const" in report["dropped_low_target_corr"]
@@ -183,7 +184,7 @@ def test_knn_join_equals_brute_force(spark, metric, p):
     R = np.vstack([rng.normal(size=(150, 4)), rng.normal(size=(50, 4)) + 5, L[:5]])  # clusters and exact hits
     ldf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(L)], "lk long, v array<double>")
     rdf = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(R)], "rk long, v array<double>")
-    got = K.knn_join(ldf, rdf, "lk", "rk", k=7, vec="v", metric=metric, p=p, n_pivots=9).collect()
+    got = K.knn_join(ldf, rdf, "lk", "rk", k=7, vec="v", metric=metric, p=p).collect()
     d = np.abs(L[:, None, :] - R[None, :, :])
     D = {"euclidean": np.sqrt((d * d).sum(2)), "manhattan": d.sum(2), "chebyshev": d.max(2), "minkowski": (d**p).sum(2) ** (1 / p)}[metric]
     for r in got:
