@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from sparkmend.operators import features as FE
 from sparkmend.operators import gram
+from sparkmend.operators import levels as L
 from sparkmend.operators import models as M
 from sparkmend.operators import split as S
 from sparkmend.operators import tune as TU
@@ -51,9 +52,10 @@ def test_fold_moment_ridge_equals_direct_fit(data):
 def test_greedy_test_rmse_from_moments_equals_pass(data):
     df, X, y = data
     d = S.train_test_split(df, "k")
-    tr = FE._moments(d.where(~F.col("is_test")), ["a", "b", "c"], "y", np.zeros(3), 0.0)
-    te = FE._moments(d.where(F.col("is_test")), ["a", "b", "c"], "y", np.zeros(3), 0.0)
-    fast = FE._ridge_rmse([0, 2], tr, te, alpha=1.0)
+    mo = L.level_moments(d, ["a", "b", "c"], "y")
+    w, b = L.ridge(mo.train, cols=[0, 2])
+    fast = L.test_rmse(mo.test, w, b)
+    assert FE.BorderedRidge(mo, [0]).score(2) == pytest.approx(fast, rel=1e-9)
     m = M.fit_linear(d.where(~F.col("is_test")), ["a", "c"], "y", "ridge", alpha=1.0)
     slow = M.metric_value(d.where(F.col("is_test")).withColumn("p", m.predict_col()), "y", "p", "rmse")
     assert fast == pytest.approx(slow, rel=1e-9)
