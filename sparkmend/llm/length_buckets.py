@@ -26,7 +26,6 @@ BUCKETS = 16
 BUDGET = 32768  # tokens of a batch, padding included
 GROUP = 4096  # rows numbered together, more where there would be over MAX_GROUPS groups
 MAX_GROUPS = 1 << 16
-MAX_BINS = 1 << 16  # of the coarse view only
 TOKEN = r"[^\x20\x09-\x0D]+"
 RESULT = ("n_tokens", "bucket", "bucket_len", "batch_id", "slot", "padding")
 
@@ -85,35 +84,22 @@ def exact_histogram(df: DataFrame, length_col: str) -> tuple[np.ndarray, np.ndar
     return got["n"].to_numpy().astype(np.int64), got["c"].to_numpy().astype(np.int64)
 
 
-def histogram(df: DataFrame, length_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """A coarse view of lengths and counts, which ``pack`` does not use: beyond
-    MAX_BINS distinct lengths they are rounded up to the smallest power-of-two
-    grid that fits."""
-    at = df.groupBy(F.col(length_col).alias("n")).agg(F.count("*").alias("c"))
-    top = at.agg(F.max("n").alias("top"), F.count("*").alias("bins")).first()
-    if top["bins"] > MAX_BINS:
-        grid = 1
-        while -(-top["top"] // grid) > MAX_BINS:
-            grid *= 2
-        at = at.groupBy((F.ceil(F.col("n") / grid) * grid).cast("bigint").alias("n")).agg(F.sum("c").alias("c"))
-    got = at.toPandas().sort_values("n")  # at most MAX_BINS rows
-    return got["n"].to_numpy(np.int64), got["c"].to_numpy(np.int64)
-
-
-def assign(df: DataFrame, length_col: str, id_col: str, boundaries: list[int], rows: int, budget: int) -> DataFrame:
-    """``df`` (staged) plus bucket, bucket_len, batch_id, slot, padding."""
+def assign(df: DataFrame, length_col: str, id_col: str, row_col: str, boundaries: list[int], rows: int, budget: int) -> DataFrame:
+    """``df`` (staged) plus bucket, bucket_len, batch_id, slot, padding.  Rows
+    are dealt over groups by their number ``row_col`` too, so equal rows and null
+    ids spread over all groups."""
     bucket, group, num, first, salt = free_names(df, "bucket", "group", "num", "first", "salt")
     edges = F.array(*[F.lit(int(b)) for b in boundaries])
     number = F.size(F.filter(edges, lambda b: b < F.col(length_col)))
     parts = min(MAX_GROUPS, max(1, -(-rows // GROUP)))
-    dealt = df.withColumn("bucket", number).withColumn(group, F.pmod(F.xxhash64(id_col, length_col), F.lit(parts)))
+    dealt = df.withColumn("bucket", number).withColumn(group, F.pmod(F.xxhash64(id_col, length_col, row_col), F.lit(parts)))
     counts = dealt.groupBy("bucket", group).agg(F.count("*").alias("n"))
     # at most MAX_GROUPS rows per bucket
     before = Window.partitionBy("bucket").orderBy(group).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(
         F.col("bucket").alias(bucket + "_of"), F.col(group).alias(salt), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first)
     )
-    inside = Window.partitionBy("bucket", group).orderBy(F.col(id_col).asc_nulls_first(), F.col(length_col))
+    inside = Window.partitionBy("bucket", group).orderBy(F.col(id_col).asc_nulls_first(), length_col, row_col)
     numbered = dealt.withColumn(num, F.row_number().over(inside) - 1)
     met = numbered.join(starts, (F.col("bucket") == F.col(bucket + "_of")) & (F.col(group) == F.col(salt)))
     size = F.get(edges, F.col("bucket"))
@@ -136,8 +122,8 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets:
     has one token; null ids and repeated rows are rows like any other; other
     columns are not read.  An empty table gives an empty result."""
     ids = df.select(F.col(id_col).alias("id"), token_count(F.col(text_col)).cast("bigint").alias("n_tokens"))
-    lengths = stage(ids, "lengths")
+    lengths = stage(ids.withColumn("row", F.monotonically_increasing_id()), "lengths")  # written: numbers do not change
     at, counts = exact_histogram(lengths, "n_tokens")
     boundaries = optimal_boundaries(at, counts, buckets) or [1]
-    out = assign(lengths, "n_tokens", "id", boundaries, int(counts.sum()), budget)
+    out = assign(lengths, "n_tokens", "id", "row", boundaries, int(counts.sum()), budget)
     return out.select(F.col("id").alias(id_col), "n_tokens", "bucket", "bucket_len", "batch_id", "slot", "padding")

@@ -246,20 +246,33 @@ def links(fps: DataFrame, max_bits: int) -> DataFrame:
     return sent.groupBy("task").applyInPandas(work, "a bigint, b bigint")
 
 
+def _moved(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """``rows`` (u, v) with ``m`` of their node from ``low`` (u, m, n: the node's
+    edges).  Nodes of more than total / (4 * partitions) edges are at most
+    4 * partitions and are broadcast; the others are joined by key."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    low = stage(low, "lowest")
+    many = F.col("n") > max(64, total // (4 * parts))
+    hot = F.broadcast(low.filter(many).select("u", "m"))
+    rest = rows.join(hot.select("u"), "u", "left_anti").join(low.filter(~many).select("u", "m").hint("merge"), "u")
+    return rows.join(hot, "u").unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every end of ``edges`` (a, b): connected components
-    by alternating large-star and small-star rounds.  A node is first grouped
-    with its smallest neighbour only (a map-side minimum), so a node with very
-    many neighbours is never gathered in one place."""
+    by alternating large-star and small-star rounds.  Smallest neighbours are
+    map-side minima; a node with very many edges is joined to its own by
+    broadcast (``_moved``), so its edges are never gathered in one place."""
     cur = stage(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     while True:
+        edges = cur.count()
         # large star: larger neighbours of a node move to its smallest
         both = cur.select("u", "v").union(cur.select(F.col("v"), F.col("u")).toDF("u", "v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = stage(_moved(both.filter("v > u"), low, 2 * edges).select(F.col("v").alias("u"), F.col("m").alias("v")), "edges")
         # small star: a node and its smaller neighbours move to the smallest
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _moved(large, low, edges).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         new = stage(small.filter("u <> v").distinct(), "edges")
         left = new.select(F.col("v").alias("u")).distinct().join(new.select("u").distinct(), "u", "left_semi").limit(1).count()
         many = new.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").limit(1).count()
@@ -305,8 +318,8 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """One row of ``df`` per component: the smallest id's, of its rows the one
-    with the smallest fingerprint and text hash.  Of a component's rows with a
-    null id one stays too, chosen alike.
+    with the smallest fingerprint and text hash.  A null id loses to any other; of a
+    component of null ids only, one row stays, chosen alike.
 
     A row is kept or dropped for itself: other rows with its id do not matter."""
     fp, row = free_names(df, "fp", "row")
@@ -317,7 +330,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shin
     firsts = rows.groupBy(F.col(fp).alias("fp")).agg(F.min(F.when(~null, order)).alias("named"), F.min(F.when(null, order)).alias("unnamed"))
     firsts = rooted(stage(firsts, "distinct-fingerprints"), max_bits)
     kept = firsts.groupBy("root").agg(F.min("named").alias("named"), F.min("unnamed").alias("unnamed"))
-    kept = kept.select(F.explode(F.array("named.row", "unnamed.row")).alias("kept_row")).filter("kept_row is not null")
+    kept = kept.select(F.coalesce("named.row", "unnamed.row").alias("kept_row"))
     return rows.join(kept, rows[row] == kept["kept_row"], "left_semi").drop(fp, row)
 
 

@@ -148,14 +148,18 @@ def _unlike(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, size: int) -> DataFrame:
-    """(text, toxic) of at most ``size`` labelled rows that are not held out."""
+    """(text, toxic) of at most ``size`` labelled rows that are not held out,
+    half of them of each class at most, chosen by hash of id and text: an id
+    may have many rows."""
     one = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic"))
     one = one.filter((~held_out(F.col("id"))) & F.col("toxic").isin(0, 1)).groupBy("id").agg(F.max("toxic").alias("toxic"))
     pick = [one.filter(F.col("toxic") == y).orderBy(F.xxhash64("id", F.lit(11)), "id").limit(size // 2) for y in (0, 1)]
     pick = stage(pick[0].union(pick[1]), "label-sample")
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     # at most ``size`` rows of two numbers
-    rows = text.join(F.broadcast(pick), "id").select("text", "toxic", F.split(F.lower("text"), r"\s+").alias("w"))
+    met = stage(text.join(F.broadcast(pick), "id"), "label-rows")
+    rows = [met.filter(F.col("toxic") == y).orderBy(F.xxhash64("id", "text", F.lit(11)), "id").limit(size // 2) for y in (0, 1)]
+    rows = rows[0].union(rows[1]).select("text", "toxic", F.split(F.lower("text"), r"\s+").alias("w"))
     shingles = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))), lambda x, i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(SHINGLE)]))
     rows = rows.select("text", "toxic", shingles.alias("s"))
 

@@ -46,15 +46,32 @@ def payload_table(df: DataFrame, id_col: str, url_col: str, body_col: str, min_b
         .groupBy("same")
         .agg(F.max("id").alias("first_id"), F.count("*").alias("n"))
         .filter("n > 1 and first_id is not null")
-        .select("same", "first_id")
+        .select("same", "first_id", "n")
     )
     groups = stage(groups, "equal-payloads")
     small = groups.count() <= BROADCAST_GROUPS
-    met = rows.withColumn("same", F.when(large, key)).join(F.broadcast(groups) if small else groups, "same", "left")
+    met = join_groups(rows.withColumn("same", F.when(large, key)), groups, None if small else rows.count())
     again = F.col("first_id").isNotNull() & ~F.col("id").eqNullSafe(F.col("first_id"))
     return met.select("id", "url", "body", F.when(again, F.col("first_id")).alias("refers_to"))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, total: int | None) -> DataFrame:
+    """``rows`` with first_id of their group.  Without ``total`` the groups are
+    broadcast.  Else those of more than total / (4 * partitions) rows are (at
+    most 4 * partitions of them), the others are joined by key, and rows that
+    belong to neither are spread by a number of their own."""
+    if total is None:
+        return rows.join(F.broadcast(groups.drop("n")), "same", "left")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = F.col("n") > max(64, total // (4 * parts))
+    first = groups.filter(hot).select("same", F.col("first_id").alias("hot_id"))
+    met = rows.join(F.broadcast(first), "same", "left")
+    apart = F.col("same").isNull() | F.col("hot_id").isNotNull()
+    key = F.when(apart, F.concat(F.lit("-"), F.monotonically_increasing_id())).otherwise(F.col("same"))
+    rest = groups.filter(~hot).select(F.col("same").alias("key"), "first_id")
+    return met.withColumn("key", key).join(rest, "key", "left").withColumn("first_id", F.coalesce("hot_id", "first_id")).drop("key", "hot_id")
+
+
 def record(page, url, body: bytes, refers_to, date: str) -> bytes:
     """One WARC/1.1 record; a revisit keeps digest and length of the payload."""
     digest = hashlib.sha1(body).hexdigest()

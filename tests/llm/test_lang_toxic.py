@@ -111,3 +111,12 @@ def test_only_near_copies_count_once(spark):
     got = sorted(r["text"] for r in tl.labelled_sample(docs, labels, "doc_id", "text", "toxic", 1000).collect())
     assert [t for t in got if t.startswith("shared")] == sorted(texts[i] for i in learned if i < 40)
     assert len([t for t in got if t.startswith("copy")]) == 1
+
+
+def test_sample_is_bounded_in_rows(spark):
+    """Ids that occur many times do not make the sample larger."""
+    texts = [(i % 50, f"text number {i} of many with words w{i} v{i * 7}") for i in range(3000)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id bigint, toxic int")
+    got = tl.labelled_sample(docs, labels, "doc_id", "text", "toxic", 100).collect()
+    assert 0 < len(got) <= 100 and all(sum(r["toxic"] == y for r in got) <= 50 for y in (0, 1))

@@ -3,6 +3,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from sparkmend.llm import length_buckets as lb
 
@@ -45,17 +46,32 @@ def test_batches_are_full_and_within_budget(spark, small_docs, monkeypatch):
     assert lb.pack(df.limit(0)).collect() == []
 
 
-def test_histogram_grid(spark, monkeypatch):
-    monkeypatch.setattr(lb, "MAX_BINS", 10)
-    at, counts = lb.histogram(spark.range(1, 101).withColumnRenamed("id", "n"), "n")
-    assert counts.sum() == 100 and len(at) <= 10 and at[-1] >= 100
-
-
-def test_boundaries_of_very_many_lengths(spark, monkeypatch):
-    monkeypatch.setattr(lb, "MAX_BINS", 10)
+def test_boundaries_of_very_many_lengths(spark):
     n = [*range(1, 61), 5000]
     df = spark.createDataFrame([(i, "w " * (x - 1)) for i, x in enumerate(n)], "doc_id bigint, text string")
     at, counts = np.array(n), np.ones(len(n), int)
     got = sorted({r["bucket_len"] for r in lb.pack(df, buckets=4).collect()})
     best = min(padding(at, counts, [*c, 5000]) for c in itertools.combinations(n[:-1], 3))
     assert len(got) == 4 and padding(at, counts, got) == best
+
+
+def test_equal_rows_are_dealt_over_the_groups(spark, monkeypatch):
+    """Null ids and one length: many groups, none with most rows, batches full."""
+    monkeypatch.setattr(lb, "GROUP", 500)
+    df = spark.range(8000).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit("one two three").alias("text"))
+    sizes = []
+    real = lb.assign
+
+    def watched(lengths, *args):
+        by = F.pmod(F.xxhash64("id", "n_tokens", "row"), F.lit(16))
+        sizes.extend(r["count"] for r in lengths.groupBy(by).count().collect())
+        return real(lengths, *args)
+
+    monkeypatch.setattr(lb, "assign", watched)
+    got = lb.pack(df, budget=30).collect()
+    assert len(sizes) == 16 and max(sizes) < 800 and len(got) == 8000
+    batches = {}
+    for r in got:
+        batches.setdefault((r["bucket"], r["batch_id"]), []).append(r["slot"])
+    each = max(map(len, batches.values()))
+    assert all(sorted(v) == list(range(len(v))) for v in batches.values()) and sum(len(v) < each for v in batches.values()) <= 1

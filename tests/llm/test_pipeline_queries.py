@@ -65,8 +65,9 @@ def test_stages_drop_rows_not_ids(spark):
         (2, "near copies of one text", "kept"),
         (3, "NEAR copies of one text", "dropped: near copy"),
         (3, "the only one of its kind", "kept"),
-        (None, "near copies and no id", "none"),
-        (None, "Near copies and no id", "none"),
+        (None, "near copies of one text", "dropped: no id"),
+        (None, "other near copies and no id", "none"),
+        (None, "Other near copies and no id", "none"),
     ]
     docs = spark.createDataFrame([(i, t, None, s, 0) for i, t, s in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     left = cp.decontaminate(spark, cp.near(spark, docs, SF), SF)

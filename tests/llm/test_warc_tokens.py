@@ -56,6 +56,26 @@ def test_warc_round_trip_and_random_access(spark):
     assert b"".join(parts) == whole and len(list(wb.parse(whole))) == index.filter(F.col("archive") == archive).count()
 
 
+def test_hot_payloads_and_rows_without_a_key_are_spread(spark):
+    """Groups too many to broadcast: no task gets the rows without a key or
+    those of one payload."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        same = F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, F.concat(F.lit("k"), F.floor(F.col("id") / 6)))
+        rows = spark.range(9000).withColumn("same", same).repartition(4)
+        groups = rows.filter("same is not null").groupBy("same").agg(F.max("id").alias("first_id"), F.count("*").alias("n"))
+        out = wb.join_groups(rows, groups, 9000)
+        found = out.withColumn("p", F.spark_partition_id()).collect()
+        sizes = [sum(r["p"] == p for r in found) for p in {r["p"] for r in found}]
+        assert len(found) == 9000 and max(sizes) < 2000
+        want = wb.join_groups(rows, groups, None).collect()
+        assert sorted(map(str, out.select("id", "same", "first_id").collect())) == sorted(str(r) for r in spark.createDataFrame(want).select("id", "same", "first_id").collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
 def test_damaged_payload_raises():
     raw = wb.record(1, "u", b"abc", None, "d").replace(b"abc", b"abd")
     (head, _, _, body), = wb.parse(raw)
