@@ -3,7 +3,9 @@
 Every learned language has a codeword; one binary n-gram classifier per bit
 predicts that bit from the hashed byte n-grams of the whole text.  The
 classifiers are log-ratios of n-gram shares, counted over all training rows
-(one map-side count, ``2 * BUCKETS`` numbers per language reach the driver).
+once, per language (a table on the cluster).  A bit's shares are sums of the
+languages' shares on either side of it, so the driver receives bits x n-gram
+buckets whatever the number of languages, besides a codeword for each.
 Decoding weights each bit's logistic loss by how well that classifier tells
 the languages apart and takes the codeword of least loss; a small gap to the
 next one marks the text as ambiguous.
@@ -17,16 +19,18 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, without
+from .common import held_out, stage, without
 
 BUCKETS = 1 << 14  # hashed n-grams of each order
 ORDERS = (2, 3)
 EXHAUSTIVE = 6  # up to so many languages all bipartitions are bits
 AMBIGUOUS = 0.1  # relative gap of losses below which a text is ambiguous
-MAX_LANGS = 512  # bounds what the driver gathers: MAX_LANGS * len(ORDERS) * BUCKETS counts
+DRAWS, MANY = 200, 64  # random code matrices tried, fewer beyond MANY languages
 RESULT = ("held_out", "lang_pred", "score", "ambiguous")
 PIECE = 1 << 20  # bytes of a text handled at a time
 
@@ -68,34 +72,40 @@ def code_matrix(n: int) -> np.ndarray:
         return np.array([[1.0 if i == 0 or i in s else -1.0 for s in sets] for i in range(n)])
     rng, best, far = np.random.default_rng(7), None, -1
     bits = 4 * math.ceil(math.log2(n)) + 8
-    for _ in range(200):
+    for _ in range(DRAWS if n <= MANY else max(1, DRAWS * MANY // n)):
         m = np.unique(np.where(rng.random((n, bits)) < 0.5, -1.0, 1.0), axis=1)
         m = m[:, np.abs(m.sum(0)) < n]
-        gap = min(int((m[i] != m[j]).sum()) for i in range(n) for j in range(i)) if n <= 64 else int((m[:1] != m[1:]).sum(1).min())
+        gap = least_distance(m)
         if gap > far:
             best, far = m, gap
+    while far < 2:  # codewords that are the same or nearly: more bits
+        best = np.concatenate([best, np.where(rng.random((n, 8)) < 0.5, -1.0, 1.0)], axis=1)
+        best = best[:, np.abs(best.sum(0)) < n]
+        far = least_distance(best)
     return best
 
 
+def least_distance(m: np.ndarray) -> int:
+    """The fewest bits in which two rows differ, from products of blocks."""
+    n, bits = m.shape
+    least = bits
+    for at in range(0, n, 1024):
+        same = m[at : at + 1024] @ m.T
+        same[np.arange(len(same)), at + np.arange(len(same))] = -bits
+        least = min(least, int((bits - same.max()) / 2))
+    return least
+
+
 class Model:
-    def __init__(self, langs: list[str], counts: np.ndarray):
-        """counts: (languages, n-gram buckets)"""
+    def __init__(self, langs: list[str], code: np.ndarray | None = None, table: np.ndarray | None = None, margin: np.ndarray | None = None):
+        """code: (languages, bits); table: (n-gram buckets, bits) log-ratios;
+        margin: (languages, bits) as expected on each language's own text."""
         self.langs = langs
         if not langs:
             return
-        self.code = code_matrix(len(langs))
-        share = counts + 0.5
-        for k in range(len(ORDERS)):
-            part = share[:, k * BUCKETS : (k + 1) * BUCKETS]
-            part /= part.sum(1, keepdims=True)
-        table, margin = [], []
-        for bit in self.code.T:
-            one, zero = share[bit > 0], share[bit < 0]
-            ratio = np.log(one.mean(0) / zero.mean(0)) if len(one) and len(zero) else np.zeros(share.shape[1])
-            table.append(ratio)
-            margin.append(bit * (share @ ratio) / len(ORDERS))
-        margin = np.maximum(np.array(margin), 1e-6)  # (bits, languages) as expected on each language's own text
-        self.table = np.array(table, np.float32).T.copy()
+        self.code = code
+        margin = np.maximum(margin.T, 1e-6)
+        self.table = np.ascontiguousarray(table, np.float32)
         self.scale = (4.0 / margin.mean(1)).astype(np.float64)
         self.weight = margin.min(1) / margin.min(1).sum()
 
@@ -131,14 +141,54 @@ def learn(df: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Mode
             yield pd.DataFrame({"lang": lang, "gram": at, "n": own[at]})
 
     sums = rows.mapInPandas(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    langs = sorted(r["lang"] for r in rows.groupBy("lang").agg(F.count("*")).orderBy(F.desc("count(1)"), "lang").limit(MAX_LANGS + 1).collect())
-    if len(langs) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    got = sums.toPandas()  # at most languages * len(ORDERS) * BUCKETS rows
-    counts = np.zeros((len(langs), len(ORDERS) * BUCKETS))
-    where = {v: i for i, v in enumerate(langs)}
-    counts[got["lang"].map(where).to_numpy(np.int64), got["gram"].to_numpy(np.int64)] = got["n"]
-    return Model(langs, counts)
+    return from_counts(stage(sums, "language-counts"))
+
+
+def from_counts(counts: DataFrame) -> Model:
+    """The model of a table (lang, gram, n) of n-gram counts."""
+    spark, size, half = counts.sparkSession, len(ORDERS) * BUCKETS, 0.5
+    order = F.floor(F.col("gram") / BUCKETS).cast("int")
+    got = counts.groupBy("lang", order.alias("k")).agg(F.sum("n").alias("n")).groupBy("lang").pivot("k", list(range(len(ORDERS)))).agg(F.first("n"))
+    totals = sorted(got.na.fill(0).collect())  # a row per language
+    langs = [r["lang"] for r in totals]
+    if not langs:
+        return Model([])
+    code = code_matrix(len(langs))
+    n_langs, bits = code.shape
+    # a language's share of an n-gram is (n + half) * scale
+    scale = np.array([[1.0 / (r[1 + k] + half * BUCKETS) for k in range(len(ORDERS))] for r in totals])
+    words = spark.createDataFrame(
+        [(lang, sc, row) for lang, sc, row in zip(langs, scale.tolist(), code.tolist(), strict=True)], "lang string, scale array<double>, code array<double>"
+    )
+    # a codeword per language beside all its n-grams: joined by key
+    shares = counts.join(words, "lang").select("lang", "gram", (F.col("n") * F.get("scale", order)).alias("x"), "code")
+    sides = shares.groupBy("gram").agg(
+        F.sum("x").alias("all"), Summarizer.sum(array_to_vector(F.transform("code", lambda c: c * F.col("x")))).alias("signed")
+    )
+    every, signed = np.zeros(size), np.zeros((size, bits))
+    for r in sides.collect():  # n-gram buckets x bits numbers
+        every[r["gram"]], signed[r["gram"]] = r["all"], r["signed"].toArray()
+    for k in range(len(ORDERS)):  # the half counts of every language
+        part = slice(k * BUCKETS, (k + 1) * BUCKETS)
+        every[part] += half * scale[:, k].sum()
+        signed[part] += half * (code * scale[:, k : k + 1]).sum(0)
+    ones = (code > 0).sum(0)
+    one, zero = (every[:, None] + signed) / 2 / np.maximum(ones, 1), (every[:, None] - signed) / 2 / np.maximum(n_langs - ones, 1)
+    table = np.where((ones > 0) & (ones < n_langs), np.log(np.maximum(one, 1e-300) / np.maximum(zero, 1e-300)), 0.0)
+    # what each bit is expected to give on each language's own text
+    base = np.stack([table[k * BUCKETS : (k + 1) * BUCKETS].sum(0) for k in range(len(ORDERS))])
+    ratios = spark.sparkContext.broadcast(table)  # n-gram buckets x bits numbers
+
+    def expect(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = ratios.value
+        for pdf in parts:
+            for lang, rows in pdf.groupby("lang"):
+                yield pd.DataFrame({"lang": [lang], "v": [(own[rows["gram"].to_numpy()] * rows["x"].to_numpy()[:, None]).sum(0)]})
+
+    expected = shares.select("lang", "gram", "x").mapInPandas(expect, "lang string, v array<double>")
+    expected = {r["lang"]: r["v"].toArray() for r in expected.groupBy("lang").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()}
+    margin = np.array([expected[lang] for lang in langs]) + half * scale @ base
+    return Model(langs, code, table, code * margin / len(ORDERS))
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -161,7 +211,9 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 def identify_held_out(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Learn on the rows that are not held out, predict every row: id,
-    held_out, lang_pred, score, ambiguous."""
+    held_out, lang_pred, score, ambiguous.  Repeated rows are learned and
+    predicted as often as they occur; other columns are not read; an empty
+    table gives an empty result."""
     flag = held_out(F.col(id_col))
     model = learn(docs.filter(~flag), text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from .common import held_out, stage, without
 
 SAMPLE = 12000  # labelled rows that are read for learning
+TERMS_AT_ONCE = 50_000  # rows of counts that a task hands over at a time
 MAX_TERMS = 4000  # candidates that reach the driver
 MIN_SHARE = 0.02  # of the toxic sample a term occurs in (and MIN_DOCS)
 MIN_DOCS = 6
@@ -144,7 +145,7 @@ def _unlike(pdf: pd.DataFrame) -> pd.DataFrame:
     while len(left):
         kept.append(left[0])
         left = left[(minima[left] == minima[left[0]]).sum(1) < AGREE]
-    return pdf.iloc[kept][["text", "toxic"]]
+    return pdf.iloc[kept][["text", "toxic"]].astype({"text": object})  # one Arrow chunk
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, size: int) -> DataFrame:
@@ -159,7 +160,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     # at most ``size`` rows of two numbers
     met = stage(text.join(F.broadcast(pick), "id"), "label-rows")
     rows = [met.filter(F.col("toxic") == y).orderBy(F.xxhash64("id", "text", F.lit(11)), "id").limit(size // 2) for y in (0, 1)]
-    rows = rows[0].union(rows[1]).select("text", "toxic", F.split(F.lower("text"), r"\s+").alias("w"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows[0].union(rows[1]).repartition(parts, F.xxhash64("id", "text")).select("text", "toxic", F.split(F.lower("text"), r"\s+").alias("w"))
     shingles = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))), lambda x, i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(SHINGLE)]))
     rows = rows.select("text", "toxic", shingles.alias("s"))
 
@@ -190,8 +192,10 @@ def learn(sample: DataFrame) -> Lexicon:
                 seen[toxic].update(own)
                 if toxic:
                     docs.update(own.keys())
-        keys = [k for k in seen[0].keys() | seen[1].keys()]
-        yield pd.DataFrame({"term": keys, "o0": [seen[0][k] for k in keys], "o1": [seen[1][k] for k in keys], "n1": [docs[k] for k in keys]})
+        keys = list(seen[0].keys() | seen[1].keys())
+        for at in range(0, len(keys), TERMS_AT_ONCE):
+            part = keys[at : at + TERMS_AT_ONCE]
+            yield pd.DataFrame({"term": part, "o0": [seen[0][k] for k in part], "o1": [seen[1][k] for k in part], "n1": [docs[k] for k in part]})
         yield pd.DataFrame({"term": [""], "o0": [words[0]], "o1": [words[1]], "n1": [0]})
 
     every = stage(
