@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..config import DEFAULT_PROFILE, DEFAULT_REWARD, ProfileConfig, RewardConfig
-from ..functions.exprs import categorical_cols, expm1_clip, numeric_cols, q
+from ..functions.exprs import categorical_cols, expm1_clip, g1_skew, numeric_cols, q
 from . import models as M
 from .fixes import apply_fixes, encoded_columns, one_hot, one_hot_vector
 from .levels import level_moments, ridge, test_rmse
@@ -270,3 +270,70 @@ def scorecard(kind: str, checks: dict) -> DataFrame:
     total = round(min(sum(r[1] for r in rows), 1.0), 2)
     rows.append(("total", total, total >= 1.0, "done" if total >= 1.0 else "not done"))
     return spark.createDataFrame(rows, SCORE_SCHEMA)
+
+
+def grade_missing(df: DataFrame, fix, target: str, key, cols: Sequence[str] | None = None, cfg: ProfileConfig = DEFAULT_PROFILE) -> DataFrame:
+    """Scorecard of a repair of missing values (a plan or a function): it runs,
+    the listed columns (else all) hold no missing value any more, and a forest
+    trains on the result and predicts the test rows."""
+    keys = [key] if isinstance(key, str) else list(key)
+    checks: dict = {}
+    try:
+        d = train_test_split(df, keys, cfg.test_size, cfg.random_state)
+        fixed = fix(d) if callable(fix) and not isinstance(fix, DataFrame) else apply_fixes(d, fix, target, split_col="is_test", key=[k for k in keys if k != target])
+        fixed = fixed.persist()
+        checks["runs"] = (True, f"{fixed.count()} rows")
+    except Exception as exc:
+        return scorecard("missing", {"runs": (False, f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}")})
+    try:
+        lacking = [r["col_name"] for r in check_nulls_cleared(fixed, cols).collect()]
+        checks["nulls_cleared"] = (not lacking, f"still missing: {lacking}" if lacking else "no missing values")
+        problems = [f"{r['problem']}: {r['col_name']}" for r in check_encoded(fixed, target).collect()]
+        if problems:
+            checks["model_trains"] = (False, ", ".join(problems))
+        else:
+            vectors = [f.name for f in fixed.schema.fields if f.name.endswith("_vec")]
+            feats = numeric_cols(fixed, exclude=[target, *META_COLS, *keys])
+            known = fixed.where(F.col(q(target)).isNotNull())
+            fit = M.fit_classifier(known.where(~F.col("is_test")), feats, target, "rf", {}, vectors=vectors)
+            acc = M.metric_value(fit.predict(known.where(F.col("is_test"))), target, "pred_label", "accuracy")
+            checks["model_trains"] = (acc == acc, f"accuracy {acc:.4f}")
+    except Exception as exc:
+        checks.setdefault("nulls_cleared", (False, str(exc).splitlines()[0] if str(exc) else ""))
+        checks["model_trains"] = (False, f"{type(exc).__name__}: {str(exc).splitlines()[0] if str(exc) else ''}")
+    finally:
+        fixed.unpersist(blocking=False)
+    return scorecard("missing", checks)
+
+
+def rmsle_scores(df: DataFrame, feats: Sequence[str], target: str, key, cfg: ProfileConfig = DEFAULT_PROFILE) -> dict:
+    """Test RMSLE of a ridge on the target as it is (``before``), of one on
+    log1p of it taken back by expm1 (``after``), and of the latter's predictions
+    left on the log scale (``logged``)."""
+    d = train_test_split(df.where(F.col(q(target)) > -1), key, cfg.test_size, cfg.random_state)
+    d = d.withColumn("__ylog", F.log1p(F.col(q(target)).cast("double")))
+    d = fill(d, filled_means(d, target, ~F.col("is_test"), exclude=[c for c in numeric_cols(d) if c not in feats]))
+    raw, log = (level_moments(d, list(feats), y) for y in (target, "__ylog"))
+    test = d.where(F.col("is_test"))
+    test = raw.predict(test, list(feats), *ridge(raw.train), out="__raw")
+    test = log.predict(test, list(feats), *ridge(log.train), out="__log").withColumn("__back", expm1_clip(F.col("__log")))
+    row = test.agg(*[M.rmsle_expr(target, c).alias(c) for c in ("__raw", "__back", "__log")]).first()
+    return {"before": row["__raw"], "after": row["__back"], "logged": row["__log"]}
+
+
+def grade_skew(df: DataFrame, feats: Sequence[str], target: str, key, cfg: ProfileConfig = DEFAULT_PROFILE) -> DataFrame:
+    """Scorecard of the log-target repair, from what the data shows: the target
+    is skewed and its log1p is not; predictions are back on the target's scale
+    (closer to it than the log-scale ones); RMSLE below half the baseline's."""
+    y = F.col(q(target)).cast("double")
+    skew = df.agg(g1_skew(y).alias("raw"), g1_skew(F.when(y > -1, F.log1p(y))).alias("log")).first()
+    scores = rmsle_scores(df, feats, target, key, cfg)
+    limit = cfg.skew_threshold
+    return scorecard(
+        "skew",
+        {
+            "log_target": (abs(skew["raw"] or 0.0) > limit >= abs(skew["log"] or 0.0), f"skew {skew['raw'] or 0.0:.4f} -> {skew['log'] or 0.0:.4f}"),
+            "inverse": (scores["after"] < scores["logged"], f"RMSLE {scores['after']:.4f}, on the log scale {scores['logged']:.4f}"),
+            "rmsle": check_improvement(scores["before"], scores["after"], "rmsle_half"),
+        },
+    )

@@ -8,8 +8,10 @@ issue), built from those few numbers.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -187,20 +189,35 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
     return df.where(t.isNotNull()).groupBy(t.alias("class")).agg(F.count("*").alias("count"))
 
 
+def some_values(df: DataFrame, col: str, most: int) -> DataFrame:
+    """(value) distinct non-missing values of a column, as text, all of them if there are
+    at most ``most`` and else at least so many: a task keeps ``most`` values and stops reading
+    there, so a column of many values is neither read nor shuffled whole."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict = {}
+        for batch in batches:
+            seen |= dict.fromkeys(pc.unique(batch.column(0)).to_pylist())
+            if len(seen) >= most:
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen)[:most], pa.string())], ["value"])
+
+    x = F.col(q(col))
+    return df.where(x.isNotNull()).select(x.cast("string").alias("value")).mapInArrow(part, "value string").distinct()
+
+
 def task_type(df: DataFrame, target: str, cfg: ProfileConfig = DEFAULT_PROFILE) -> DataFrame:
     """(n_distinct, task_type): classification when at most 10 distinct
-    non-missing target values."""
-    nd = F.count_distinct(F.col(q(target)))
-    return df.agg(nd.alias("n_distinct")).select(
-        F.col("n_distinct").cast("bigint").alias("n_distinct"),
-        F.when(F.col("n_distinct") <= cfg.max_classes, F.lit("classification")).otherwise(F.lit("regression")).alias("task_type"),
-    )
+    non-missing target values; ``n_distinct`` counts to 11 (more than 10)."""
+    n = F.least(F.count(F.lit(1)), F.lit(cfg.max_classes + 1)).cast("bigint")
+    few = F.col("n_distinct") <= cfg.max_classes
+    counted = some_values(df, target, cfg.max_classes + 1).agg(n.alias("n_distinct"))
+    return counted.select("n_distinct", F.when(few, F.lit("classification")).otherwise(F.lit("regression")).alias("task_type"))
 
 
 def detect_task(df: DataFrame, target: str, cfg: ProfileConfig = DEFAULT_PROFILE) -> str:
-    """Driver-side task type; stops counting once 11 distinct values are seen."""
-    n = df.select(F.col(q(target))).where(F.col(q(target)).isNotNull()).distinct().limit(cfg.max_classes + 1).count()
-    return "classification" if n <= cfg.max_classes else "regression"
+    """Driver-side task type."""
+    return task_type(df, target, cfg).first()["task_type"]
 
 
 def class_imbalance(df: DataFrame, target: str, cfg: ProfileConfig = DEFAULT_PROFILE, task: str | None = None) -> DataFrame:

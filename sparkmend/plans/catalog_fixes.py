@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.exprs import row_hash, row_hash_sql
+from ..functions.exprs import q, row_hash, row_hash_sql
 from ..operators import correlate as C
 from ..operators import fixes as FX
 from ..operators import profile as P
 from ..operators import split as S
 from ..sources import io
-from .catalog_profile import EV_HEALTH_SRC, HEALTH_SQL, _events_health_input
+from .catalog_profile import (
+    DOCS_COLS, DOCS_HEALTH_SQL, DOCS_NUM, DOCS_SRC, DOCS_TEXT, EV_HEALTH_SRC, HEALTH_SQL, _events_health_input, documents_faulted, documents_health,
+)
 from .common import faulted_events, faulted_events_sql, memo, rounded
 from .registry import query
-from .sqlgen import guarded_corr_sql, r, union
+from .sqlgen import guarded_corr_sql, health_sql, parse_sql, r, union
 
 T = io.table
 FE = faulted_events_sql()
@@ -127,22 +129,32 @@ def q_balanced_weights(spark, sf):
 # ── plan ────────────────────────────────────────────────────────────────────
 
 
-def _plan_sql() -> str:
-    rules = ", ".join(f"('{i}', {s}, '{a}', '{p}')" for i, s, a, p in FX.PLAN_RULES)
-    return f"""WITH rep AS ({HEALTH_SQL}),
+# fixed values: what each finding asks for, in the order of repair
+_RULES_SQL = """(VALUES
+  ('wrong_dtypes',    1, 'cast_numeric',     '{}'),
+  ('missing_values',  2, 'impute_median',    '{}'),
+  ('dtype',           3, 'one_hot',          '{"drop_first": true}'),
+  ('outliers',        4, 'clip_iqr',         '{"k": 1.5}'),
+  ('scale_mismatch',  5, 'standard_scale',   '{}'),
+  ('high_skew',       6, 'log_target',       '{}'),
+  ('class_imbalance', 7, 'balanced_weights', '{}'))"""
+
+
+def _plan_sql(health: str, target: str) -> str:
+    return f"""WITH rep AS ({health}),
 wrong AS (SELECT col_name AS w FROM rep WHERE issue = 'wrong_dtypes'),
 typ AS (SELECT col_name AS c, detail AS t FROM rep WHERE issue = 'dtype'),
 j AS (SELECT rep.issue, rep.col_name, (typ.t = 'string' AND wrong.w IS NULL) AS is_text
       FROM rep LEFT JOIN wrong ON rep.col_name = wrong.w LEFT JOIN typ ON rep.col_name = typ.c),
 k AS (SELECT * FROM j WHERE issue = 'wrong_dtypes'
-   OR (issue = 'missing_values' AND NOT coalesce(is_text, false) AND col_name <> 'event_type')
-   OR (issue = 'dtype' AND coalesce(is_text, false) AND col_name <> 'event_type')
-   OR (issue = 'outliers' AND col_name <> 'event_type')
+   OR (issue = 'missing_values' AND NOT coalesce(is_text, false) AND col_name <> '{target}')
+   OR (issue = 'dtype' AND coalesce(is_text, false) AND col_name <> '{target}')
+   OR (issue = 'outliers' AND col_name <> '{target}')
    OR issue = 'scale_mismatch'
-   OR (issue = 'high_skew' AND col_name = 'event_type')
+   OR (issue = 'high_skew' AND col_name = '{target}')
    OR issue = 'class_imbalance'),
-s AS (SELECT r.step, k.issue, CASE WHEN k.issue = 'class_imbalance' THEN 'event_type' ELSE k.col_name END AS col_name, r.action, r.params
-      FROM k JOIN (VALUES {rules}) r(issue, step, action, params) ON k.issue = r.issue)
+s AS (SELECT r.step, k.issue, CASE WHEN k.issue = 'class_imbalance' THEN '{target}' ELSE k.col_name END AS col_name, r.action, r.params
+      FROM k JOIN {_RULES_SQL} r(issue, step, action, params) ON k.issue = r.issue)
 SELECT CAST(row_number() OVER (ORDER BY step, col_name NULLS FIRST) AS INTEGER) AS seq, issue, col_name, action, params FROM s"""
 
 
@@ -151,11 +163,16 @@ def events_plan(spark, sf):
     return FX.recommend_fixes(rep, "event_type")
 
 
-@query("recommend_fixes", _plan_sql())
+@query("recommend_fixes", _plan_sql(HEALTH_SQL, "event_type"))
 def q_recommend_fixes(spark, sf):
     return events_plan(spark, sf)
 
 
+@query("recommend_fixes_documents", _plan_sql(DOCS_HEALTH_SQL, "toxic"))
+def q_recommend_fixes_documents(spark, sf):
+    return FX.recommend_fixes(documents_health(spark, sf), "toxic")
+
+
 # a fixed plan (the one recommend_fixes gives for this table at sf0.01,
 # without the identifier-like props column), so the oracle can spell it out
 APPLY_PLAN = [
@@ -168,7 +185,6 @@ APPLY_PLAN = [
 
 
 def _apply_sql() -> str:
-    from .sqlgen import parse_sql
 
     h = row_hash_sql(["event_id"], 42)
     return f"""WITH base AS (SELECT *, ({h} % 100) < 20 AS is_test FROM {EV_HEALTH_SRC}),
@@ -190,6 +206,63 @@ def q_apply_fixes(spark, sf):
     return rounded(out)
 
 
+def _documents_fixed_sql(target: str, task: str) -> str:
+    """The plan of the documents' report carried out: a step takes place where
+    the report has its finding."""
+    health = health_sql(DOCS_SRC, DOCS_NUM, DOCS_TEXT, DOCS_COLS, target if task == "classification" else None)
+    nums = [c for c in ("quality", "toxic", "n_chars", "n_bytes", "words_txt") if c != target]
+    clipped = [c for c in nums if c != "words_txt"]  # a text column has no outlier finding
+    train = "WHERE NOT is_test"
+    quart = ", ".join(f"quantile_cont({c}, 0.25) AS {c}_q1, quantile_cont({c}, 0.75) AS {c}_q3" for c in clipped)
+    clip = ", ".join(
+        f"CASE WHEN list_contains(outl, '{c}') AND {c} IS NOT NULL THEN least(greatest({c}, {c}_q1 - 1.5 * ({c}_q3 - {c}_q1)), {c}_q3 + 1.5 * ({c}_q3 - {c}_q1)) ELSE {c} END AS {c}"
+        for c in clipped
+    )
+    stats = ", ".join(f"avg({c}) AS {c}_m, coalesce(nullif(stddev_pop({c}), 0), 1.0) AS {c}_s" for c in nums)
+    scaled = ", ".join(f"round(CASE WHEN mism THEN ({c} - {c}_m) / {c}_s ELSE {c} END, 6) AS {c}" for c in nums)
+    hot = ", ".join(
+        f"CASE WHEN {c} > (SELECT min({c}) FROM base {train}) AND {c} IN (SELECT {c} FROM base {train}) THEN '{c}_' || {c} END AS {c}_hot" for c in ("lang", "source")
+    )
+    own = f"round(CAST(CASE WHEN skewed THEN ln(1 + {target}) ELSE {target} END AS DOUBLE), 6) AS {target}" if task == "regression" else target
+    weight = f"""round(CASE WHEN imb THEN (SELECT count({target}) / (count(DISTINCT {target}) * 1.0) FROM base {train}) / (SELECT count(*) FROM base b2 {train} AND b2.{target} = s.{target}) END, 6)"""
+    return f"""WITH rep AS MATERIALIZED ({health}),
+flag AS MATERIALIZED (SELECT coalesce(list(col_name) FILTER (issue = 'outliers'), []) AS outl, count(*) FILTER (issue = 'scale_mismatch') > 0 AS mism,
+  count(*) FILTER (issue = 'class_imbalance') > 0 AS imb, count(*) FILTER (issue = 'high_skew' AND col_name = '{target}') > 0 AS skewed FROM rep),
+base AS MATERIALIZED (SELECT doc_id, CAST(quality AS DOUBLE) AS quality, toxic, lang, source, n_chars, n_bytes, {parse_sql('words_txt')} AS words_txt, is_test
+  FROM (SELECT *, ({row_hash_sql(['doc_id'], 42)} % 100) < 20 AS is_test FROM {DOCS_SRC})),
+med AS (SELECT quantile_cont(quality, 0.5) AS mq FROM base {train}),
+filled AS MATERIALIZED (SELECT * REPLACE (coalesce(quality, mq) AS quality) FROM base, med),
+qs AS (SELECT {quart} FROM filled {train}),
+cut AS MATERIALIZED (SELECT doc_id, lang, source, is_test, words_txt, {target}, {clip} FROM filled, qs, flag),
+st AS (SELECT {stats} FROM cut {train})
+SELECT doc_id, is_test, {own}, {scaled}, {hot}, {weight if task == 'classification' else 'CAST(NULL AS DOUBLE)'} AS weight FROM cut s, st, flag"""
+
+
+def _documents_fixed(spark, sf, target: str, task: str):
+    df = S.train_test_split(documents_faulted(spark, sf), "doc_id")
+    plan = FX.recommend_fixes(documents_health(spark, sf, target, task), target)
+    out = FX.apply_fixes(df, plan, target, split_col="is_test", key="doc_id")
+    if task == "regression":
+        out = out.withColumn(target, F.col(target).cast("double"))  # whether logged or not
+    hot = [
+        F.coalesce(F.lit(None).cast("string"), *[F.when(F.col(q(c)) == 1, F.lit(c)) for c in out.columns if c.startswith(f"{s}_")]).alias(f"{s}_hot")
+        for s in ("lang", "source")
+    ]
+    weight = F.col("weight") if "weight" in out.columns else F.lit(None).cast("double").alias("weight")
+    nums = ["quality", "toxic", "n_chars", "n_bytes", "words_txt"]
+    return rounded(out.select("doc_id", "is_test", *nums, *hot, weight))
+
+
+@query("apply_fixes_documents", _documents_fixed_sql("toxic", "classification"))
+def q_apply_fixes_documents(spark, sf):
+    return _documents_fixed(spark, sf, "toxic", "classification")
+
+
+@query("apply_fixes_log_target", _documents_fixed_sql("n_chars", "regression"))
+def q_apply_fixes_log_target(spark, sf):
+    return _documents_fixed(spark, sf, "n_chars", "regression")
+
+
 # ── splits ──────────────────────────────────────────────────────────────────
 
 

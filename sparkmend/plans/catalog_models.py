@@ -18,10 +18,11 @@ from ..operators import split as S
 from ..operators import tune as TU
 from ..sources import io
 from . import catalog_fixes as FXQ
+from .catalog_profile import EVENT_COLS, documents_faulted, documents_health
 from .common import faulted_events, faulted_events_sql, memo, rounded
 from .pipeline import run_pipeline
 from .registry import query
-from .sqlgen import gram_sql, level_ridge_ctes, means_sql, missing_sql, residual_sql, ridge_sql, union
+from .sqlgen import gram_sql, guarded_corr_sql, health_sql, level_ridge_ctes, means_sql, missing_sql, residual_sql, ridge_sql, union
 
 T = io.table
 FE_SQL = faulted_events_sql()
@@ -300,6 +301,14 @@ def q_knn_join(spark, sf):
     return rounded(K.knn_join(d.where(F.col("is_test")), right, "vec_id", "nb_id", k=5, vec="embedding"))
 
 
+@query("knn_join_approx")
+def q_knn_join_approx(spark, sf):
+    """Every row whose id is divisible by 20 against all rows."""
+    d = T(spark, sf, "embeddings")
+    right = d.select(F.col("vec_id").alias("nb_id"), "embedding")
+    return rounded(K.knn_join(d.where("vec_id % 20 = 0"), right, "vec_id", "nb_id", k=10, vec="embedding", exclude_self=True, mode="approx"))
+
+
 @query(
     "knn_classify",
     f"""SELECT t.vec_id, t.label, v.prediction FROM (SELECT * FROM {EMB_SPLIT} WHERE is_test) t LEFT JOIN
@@ -485,6 +494,66 @@ def q_scorecard(spark, sf):
     return EV.scorecard("scaling", checks)
 
 
+@query("scorecard_missing")
+def q_scorecard_missing(spark, sf):
+    plan = FX.recommend_fixes(documents_health(spark, sf), "toxic")
+    return EV.grade_missing(documents_faulted(spark, sf), plan, "toxic", "doc_id", ["quality", "words_txt", "n_chars", "n_bytes"])
+
+
+# a price that grows exponentially with the quantity
+_SKEW_FEATS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def _skewed_lines(spark, sf):
+    d = T(spark, sf, "lineitem")
+    line = (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line")
+    return d.select(line, *_SKEW_FEATS, (F.exp(F.col("l_quantity") * 0.3) * (1 + F.col("l_discount"))).alias("y"))
+
+
+def _skew_sql() -> str:
+    src = f"""(SELECT *, ln(1 + y) AS ylog, ({row_hash_sql(['line'], 42)} % 100) < 20 AS is_test FROM (
+  SELECT l_orderkey * 10 + l_linenumber AS line, {', '.join(_SKEW_FEATS)}, exp(l_quantity * 0.3) * (1 + l_discount) AS y FROM lineitem))"""
+    nums = {c: c for c in _SKEW_FEATS}
+    pred = "(SELECT rid, sum(z * w) + (SELECT my FROM {0}_mu) AS p FROM {0}_ent JOIN {0}_w USING (i) WHERE is_test GROUP BY rid)"
+    err = "sqrt(avg(pow(ln(1 + {0}) - ln(1 + greatest({1}, 0.0)), 2)))"
+    return f"""WITH t AS MATERIALIZED (SELECT * FROM {src} ORDER BY line),
+{level_ridge_ctes('b', 't', 'y', nums, [])},
+{level_ridge_ctes('g', 't', 'ylog', nums, [])},
+sc AS (SELECT (SELECT {err.format('s.y', 'p')} FROM b_src s JOIN {pred.format('b')} USING (rid)) AS rb,
+  (SELECT {err.format('exp(s.y) - 1', 'exp(least(greatest(p, -10.0), 20.0)) - 1')} FROM g_src s JOIN {pred.format('g')} USING (rid)) AS ra,
+  (SELECT {err.format('exp(s.y) - 1', 'p')} FROM g_src s JOIN {pred.format('g')} USING (rid)) AS rl),
+sk AS (SELECT skewness(y) AS s0, skewness(ylog) AS s1 FROM t)"""
+
+
+@query(
+    "check_improvement_rmsle",
+    _skew_sql() + """
+SELECT 'rmsle_half' AS rule, round(rb, 6) AS before, round(ra, 6) AS after, ra < rb * 0.5 AS passed,
+       printf('RMSLE %.4f vs threshold %.4f', ra, rb * 0.5) AS detail FROM sc""",
+)
+def q_check_improvement_rmsle(spark, sf):
+    got = EV.rmsle_scores(_skewed_lines(spark, sf), _SKEW_FEATS, "y", "line")
+    ok, detail = EV.check_improvement(got["before"], got["after"], "rmsle_half")
+    return spark.createDataFrame(
+        [("rmsle_half", round(got["before"], 6), round(got["after"], 6), ok, detail)], "rule string, before double, after double, passed boolean, detail string"
+    )
+
+
+@query(
+    "scorecard_skew",
+    _skew_sql() + """,
+c AS (SELECT 'log_target' AS "check", CASE WHEN abs(s0) > 3.0 AND abs(s1) <= 3.0 THEN 0.4 ELSE 0.0 END::DOUBLE AS points, abs(s0) > 3.0 AND abs(s1) <= 3.0 AS passed,
+             printf('skew %.4f -> %.4f', s0, s1) AS detail FROM sk
+      UNION ALL SELECT 'inverse', CASE WHEN ra < rl THEN 0.3 ELSE 0.0 END::DOUBLE, ra < rl, printf('RMSLE %.4f, on the log scale %.4f', ra, rl) FROM sc
+      UNION ALL SELECT 'rmsle', CASE WHEN ra < rb * 0.5 THEN 0.3 ELSE 0.0 END::DOUBLE, ra < rb * 0.5, printf('RMSLE %.4f vs threshold %.4f', ra, rb * 0.5) FROM sc)
+SELECT * FROM c
+UNION ALL SELECT 'total', round(least(sum(points), 1.0), 2), round(least(sum(points), 1.0), 2) >= 1.0,
+                 CASE WHEN round(least(sum(points), 1.0), 2) >= 1.0 THEN 'done' ELSE 'not done' END FROM c""",
+)
+def q_scorecard_skew(spark, sf):
+    return EV.grade_skew(_skewed_lines(spark, sf), _SKEW_FEATS, "y", "line")
+
+
 # ── features ────────────────────────────────────────────────────────────────
 
 _PART_FEATS = ["p_partkey", "p_size", "p_retailprice"]
@@ -718,7 +787,41 @@ def pipeline_input(spark, sf):
     return faulted_events(spark, sf)
 
 
-@query("run_pipeline")
+def _pipeline_sql() -> str:
+    """The summary: findings counted, the plan they ask for, ridge before and
+    after (levels as features), the one candidate tried, and the filter, whose
+    redundancy walk has nothing to do on these tables."""
+    health = health_sql(FE_SQL, ["event_id", "user_id", "value"], ["event_type", "props"], EVENT_COLS[:-1], None)
+    kinds = sorted(P.ISSUE_KINDS)
+    js = " || ', ' || ".join(f"'\"{k}\": ' || count(*) FILTER (issue = '{k}')" for k in kinds)
+    cand = f"(SELECT *, CASE WHEN u0 > -1 THEN ln(1 + u0) END AS fe FROM (SELECT *, user_id AS u0 FROM {_EV_MEDIAN}))"
+    cand = f"(SELECT * REPLACE (coalesce(fe, (SELECT avg(fe) FROM {cand} WHERE NOT is_test AND value IS NOT NULL)) AS fe) FROM {cand})"
+    return f"""WITH {_ev_scores()},
+{level_ridge_ctes('k', cand, 'value', {**_EV_NUMS, 'fe': 'fe'}, _EV_CATS)},
+rep AS MATERIALIZED ({health}),
+plan AS (SELECT string_agg(action || ':' || col_name, ',' ORDER BY step, col_name) AS steps, count(*) AS n FROM (
+  SELECT 2 AS step, 'impute_median' AS action, col_name FROM rep WHERE issue = 'missing_values' AND col_name NOT IN ('value', 'event_type', 'props')
+  UNION ALL SELECT 3, 'one_hot', col_name FROM rep WHERE issue = 'dtype' AND detail = 'string'
+  UNION ALL SELECT 4, 'clip_iqr', col_name FROM rep WHERE issue = 'outliers' AND col_name <> 'value')),
+kept AS (SELECT k.rmse < f.rmse AS yes FROM k_rmse k, f_rmse f),
+full_t AS MATERIALIZED (SELECT *, CASE WHEN user_id > -1 THEN ln(1 + user_id) END AS fe FROM {_EV_MEDIAN}),
+lv AS (SELECT c, level FROM f_lv),
+dums AS MATERIALIZED (SELECT c, level, (CASE WHEN c = 0 THEN 'event_type_' ELSE 'props_' END) || level AS name FROM lv),
+cors AS (SELECT 0 AS o, 0 AS c, '' AS level, 'event_id' AS name, {guarded_corr_sql('event_id', 'value')} AS r FROM full_t
+  UNION ALL SELECT 1, 0, '', 'user_id', {guarded_corr_sql('user_id', 'value')} FROM full_t
+  UNION ALL SELECT 2, 0, '', 'fe_log1p_user_id', {guarded_corr_sql('fe', 'value')} FROM full_t, kept WHERE yes HAVING count(*) > 0
+  UNION ALL SELECT 3, d.c, d.level, d.name, {guarded_corr_sql("(CASE WHEN coalesce(CASE WHEN d.c = 0 THEN t.event_type ELSE t.props END, '') = d.level THEN 1.0 ELSE 0.0 END)", 't.value')}
+    FROM dums d, full_t t GROUP BY d.c, d.level, d.name),
+low AS (SELECT coalesce(string_agg(chr(39) || name || chr(39), ', ' ORDER BY o, c, level), '') AS names, (SELECT count(*) FROM cors WHERE abs(r) >= 0.1) AS after FROM cors WHERE abs(r) < 0.1)
+SELECT 1 AS step, 'task' AS stage, 'ok' AS status, 'n_classes_max' AS metric, 10.0::DOUBLE AS value, 'regression' AS detail
+UNION ALL SELECT 2, 'profile', 'ok', 'issues', count(*) FILTER (issue <> 'dtype'), '{{' || {js} || '}}' FROM rep
+UNION ALL SELECT 3, 'plan', 'ok', 'steps', n, steps FROM plan
+UNION ALL SELECT 4, 'repair', 'ok', 'rmse', round(ra, 4), 'before=' || round(rb, 4) || ' reward=' || round(rw, 4) FROM ev
+UNION ALL SELECT 5, 'features', 'ok', 'kept', CAST(yes AS INTEGER), CASE WHEN yes THEN 'fe_log1p_user_id' ELSE '' END FROM kept
+UNION ALL SELECT 6, 'filter', 'ok', 'features_after', after, 'low=[' || names || '] redundant=[]' FROM low"""
+
+
+@query("run_pipeline", _pipeline_sql())
 def q_run_pipeline(spark, sf):
     return run_pipeline(pipeline_input(spark, sf), "value", "event_id")["summary"]
 

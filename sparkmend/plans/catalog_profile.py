@@ -43,6 +43,41 @@ HEALTH_SQL = (
 )
 
 
+# labels with their documents: every kind of fault in one table (long texts are
+# outliers and make the sizes skewed, few documents are toxic, a count is stored
+# as text, a tenth of the quality labels is missing)
+def documents_faulted(spark, sf):
+    hidden = X.row_hash(["doc_id"], 42, "quality") % 10 == 0
+    words = F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit("")))
+    docs = T(spark, sf, "documents").select(
+        F.col("doc_id").alias("d_id"), "lang", "source", "n_chars", F.octet_length("text").cast("bigint").alias("n_bytes"), words.cast("string").alias("words_txt")
+    )
+    labels = T(spark, sf, "labels").select("doc_id", F.when(~hidden, F.col("quality")).alias("quality"), "toxic")
+    return labels.join(docs, F.col("doc_id") == F.col("d_id")).drop("d_id")
+
+
+DOCS_SRC = f"""(SELECT l.doc_id, CASE WHEN {row_hash_sql(['l.doc_id'], 42, 'quality')} % 10 <> 0 THEN quality END AS quality, toxic, lang, source, n_chars,
+  CAST(octet_length(encode(text)) AS BIGINT) AS n_bytes, CAST(length(text) - length(replace(text, ' ', '')) AS VARCHAR) AS words_txt
+FROM labels l JOIN documents d ON l.doc_id = d.doc_id)"""
+DOCS_COLS = [
+    ("doc_id", "bigint"), ("quality", "int"), ("toxic", "int"), ("lang", "string"), ("source", "string"),
+    ("n_chars", "bigint"), ("n_bytes", "bigint"), ("words_txt", "string"),
+]
+DOCS_NUM, DOCS_TEXT = ["doc_id", "quality", "toxic", "n_chars", "n_bytes"], ["lang", "source", "words_txt"]
+DOCS_HEALTH_SQL = (
+    "SELECT issue, col_name, round(value, 6) AS value, detail FROM (" + health_sql(DOCS_SRC, DOCS_NUM, DOCS_TEXT, DOCS_COLS, "toxic") + ")"
+)
+
+
+def documents_health(spark, sf, target="toxic", task="classification"):
+    return P.health_report(documents_faulted(spark, sf), target=target, task=task)
+
+
+@query("health_report_documents", DOCS_HEALTH_SQL)
+def q_health_report_documents(spark, sf):
+    return rounded(documents_health(spark, sf))
+
+
 # ── 2.1 sources and sinks ───────────────────────────────────────────────────
 
 
@@ -102,6 +137,11 @@ def q_write_report(spark, sf):
     return spark.read.parquet(path)
 
 
+@query("scan_filtered", "SELECT * FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'")
+def q_scan_filtered(spark, sf):
+    return io.table(spark, sf, "lineitem", where=[("l_quantity", "<", 10), ("l_returnflag", "=", "R")])
+
+
 # ── 2.2 projection / filter ─────────────────────────────────────────────────
 
 
@@ -261,6 +301,15 @@ def q_issue_counts(spark, sf):
     return P.issue_counts(rep)
 
 
+@query(
+    "issue_counts_documents",
+    f"""SELECT k.issue, CAST(coalesce(c.n, 0) AS BIGINT) AS n FROM (VALUES {_KINDS}) k(issue)
+LEFT JOIN (SELECT issue, count(*) AS n FROM ({DOCS_HEALTH_SQL}) WHERE issue <> 'dtype' GROUP BY issue) c ON k.issue = c.issue""",
+)
+def q_issue_counts_documents(spark, sf):
+    return P.issue_counts(documents_health(spark, sf))
+
+
 @query("health_json")
 def q_health_json(spark, sf):
     rep = P.health_report(_events_health_input(spark, sf), target="event_type", task="classification")

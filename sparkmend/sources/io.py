@@ -7,28 +7,53 @@ a key, never row position, so they do not depend on partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import nan_to_null, q, row_hash
+from ..functions.exprs import float_cols, nan_to_null, q, row_hash
 from ..operators.quantiles import exact_quantiles
 from ..operators.rank import smallest_cutoffs
 
 
-def load(spark: SparkSession, path: str, fmt: str = "parquet", target: str | None = None, **options) -> DataFrame:
+# conditions that no missing value meets, so a filter on the stored column keeps
+# all rows that one on the cleaned column keeps
+CONDITIONS = {
+    "<": lambda c, v: c < v,
+    "<=": lambda c, v: c <= v,
+    ">": lambda c, v: c > v,
+    ">=": lambda c, v: c >= v,
+    "=": lambda c, v: c == v,
+    "in": lambda c, v: c.isin(*v),
+}
+
+
+def load(
+    spark: SparkSession, path: str, fmt: str = "parquet", target: str | None = None, where: Sequence[tuple[str, str, object]] = (), **options
+) -> DataFrame:
     """Read a table (parquet, csv, json, orc) and make float NaN missing.
-    ``target`` is checked to exist."""
+    ``target`` is checked to exist.  ``where``: (column, condition, value)
+    filters; they reach the scan on the stored columns, and on floats once more
+    behind the NaN rule (a stored NaN is larger than any number)."""
     reader = spark.read.options(**options)
     if fmt == "csv":
         reader = reader.option("header", options.get("header", "true")).option("inferSchema", options.get("inferSchema", "true"))
     df = reader.format(fmt).load(path)
     if target is not None and target not in df.columns:
         raise ValueError(f"target column {target!r} not in {df.columns}")
-    return nan_to_null(df)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return load(spark, f"{sf_dir}/{name}.parquet")
+    for c, how, value in where:
+        df = df.where(CONDITIONS[how](F.col(q(c)), value))
+    floats = set(float_cols(df))
+    df = nan_to_null(df)
+    for c, how, value in where:
+        if c in floats:
+            df = df.where(CONDITIONS[how](F.col(q(c)), value))
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, where: Sequence[tuple[str, str, object]] = ()) -> DataFrame:
+    return load(spark, f"{sf_dir}/{name}.parquet", where=where)
 
 
 def write_report(df: DataFrame, path: str, mode: str = "overwrite", fmt: str = "parquet") -> str:
