@@ -58,9 +58,13 @@ def knn_join(
     bucket_length: float | None = None,
     seed: int = 42,
     carry: str | None = None,
+    by: str | None = None,
+    complete: bool = False,
 ) -> DataFrame:
     """(lkey, rkey, dist, rank) for the k nearest right rows of every left
-    row, and their column ``carry``; ties ordered by right key.  Rows without a vector have no neighbours
+    row, and their column ``carry``; ties ordered by right key.  With ``by`` (exact
+    mode) rows meet only those of the same value, and a left key counts once per
+    value.  ``complete``: the features are known to have no missing value.  Rows without a vector have no neighbours
     and are nobody's.
 
     ``mode='exact'``: every left block meets every right block.
@@ -72,17 +76,20 @@ def knn_join(
         raise ValueError(f"unknown mode {mode}")
     if mode == "approx" and not (metric == "euclidean" or (metric == "minkowski" and p == 2)):
         raise ValueError("the approximate mode is for the euclidean metric")
-    if feats is not None:
+    if by is not None and mode != "exact":
+        raise ValueError("groups are for the exact mode")
+    if feats is not None and not complete:
         require_complete(left, feats)
         require_complete(right, feats)
-    L = left.select(F.col(q(lkey)).alias("lk"), vector_col(left, vec, feats).alias("v")).where("v IS NOT NULL")
+    group = [F.col(q(by)).alias("g")] if by else []
+    L = left.select(*group, F.col(q(lkey)).alias("lk"), vector_col(left, vec, feats).alias("v")).where("v IS NOT NULL")
     more = [F.col(q(carry)).alias("more")] if carry else []
-    R = right.select(F.col(q(rkey)).alias("rk"), *more, vector_col(right, vec, feats).alias("v")).where("v IS NOT NULL")
+    R = right.select(*group, F.col(q(rkey)).alias("rk"), *more, vector_col(right, vec, feats).alias("v")).where("v IS NOT NULL")
     kernel = _Kernel(k, metric, p, exclude_self)
     near = _grid(L, R, kernel) if mode == "exact" else _buckets(L, R, kernel, tables, bucket_length, seed)
-    w = Window.partitionBy("lk").orderBy("dist", "rk")
+    w = Window.partitionBy(*(["g"] if by else []), "lk").orderBy("dist", "rk")
     top = near.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
-    return top.select(F.col("lk").alias(lkey), F.col("rk").alias(rkey), "dist", "rank", *([F.col("more").alias(carry)] if carry else []))
+    return top.select(*([F.col("g").alias(by)] if by else []), F.col("lk").alias(lkey), F.col("rk").alias(rkey), "dist", "rank", *([F.col("more").alias(carry)] if carry else []))
 
 
 # ── blocks ──────────────────────────────────────────────────────────────────
@@ -145,7 +152,8 @@ class _Kernel:
         """The nearest of every cell: rows of both sides that share ``keys``,
         a block of each."""
         kept = [c for c in ("rk", "more") if c in right.columns]
-        kinds = {"lk": left.schema["lk"].dataType} | {c: right.schema[c].dataType for c in kept}
+        asked = [c for c in ("g", "lk") if c in left.columns]
+        kinds = {c: left.schema[c].dataType for c in asked} | {c: right.schema[c].dataType for c in kept}
         schema = T.StructType([T.StructField(c, t) for c, t in kinds.items()] + [T.StructField("dist", T.DoubleType())])
         arrow = to_arrow_schema(schema)
 
@@ -161,7 +169,7 @@ class _Kernel:
                 return arrow.empty_table()
             i, j, dist = (np.concatenate(x) for x in zip(*found, strict=True))
             theirs = [other.column(c).take(pa.array(j)) for c in kept]
-            out = pa.Table.from_arrays([one.column("lk").take(pa.array(i)), *theirs, pa.array(dist)], schema=arrow)
+            out = pa.Table.from_arrays([*[one.column(c).take(pa.array(i)) for c in asked], *theirs, pa.array(dist)], schema=arrow)
             return out.filter(pc.invert(pc.fill_null(pc.equal(out["lk"], out["rk"]), False))) if self.exclude_self else out
 
         return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema)
@@ -194,9 +202,9 @@ def _grid(L: DataFrame, R: DataFrame, kernel: _Kernel) -> DataFrame:
     right = _parts(n_right, dim, tasks)
     left = _parts(n_left, dim, -(-tasks // right))
     each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    lefts = L.withColumn("lb", _block_of("lk", left)).select("lb", "lk", "v", each(right, "rb"))
+    lefts = L.withColumn("lb", _block_of("lk", left)).select("*", each(right, "rb"))
     rights = R.withColumn("rb", _block_of("rk", right)).select("*", each(left, "lb"))
-    return kernel.cells(lefts, rights, ["lb", "rb"])
+    return kernel.cells(lefts, rights, [*(["g"] if "g" in L.columns else []), "lb", "rb"])
 
 
 def _buckets(L: DataFrame, R: DataFrame, kernel: _Kernel, tables: int, bucket_length: float | None, seed: int) -> DataFrame:
@@ -276,12 +284,18 @@ def knn_classify(
     elif "__nl" not in neighbours.columns:
         neighbours = neighbours.join(tr.select(rkey, "__nl"), rkey)
     nb = neighbours.where(F.col("rank") <= k)
-    zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(key))
+    return test.select(F.col(q(key)), F.col(q(label))).join(vote(nb, key, weights), key, "left")
+
+
+def vote(neighbours: DataFrame, key: str, weights: str = "uniform") -> DataFrame:
+    """(key, prediction) from neighbours with their labels as column __nl."""
     if weights == "distance":
+        zero = F.max((F.col("dist") == 0).cast("int")).over(Window.partitionBy(key))
+        neighbours = neighbours.withColumn("__z", zero)
         w = F.when(F.col("__z") == 1, (F.col("dist") == 0).cast("double")).otherwise(1.0 / F.col("dist"))
     else:
         w = F.lit(1.0)
-    votes = nb.withColumn("__z", zero).withColumn("__w", w).groupBy(key, "__nl").agg(F.sum("__w").alias("__v"))
-    wv = Window.partitionBy(key).orderBy(F.col("__v").desc(), F.col("__nl").asc())
-    pred = votes.withColumn("__r", F.row_number().over(wv)).where(F.col("__r") == 1).select(key, F.col("__nl").alias("prediction"))
-    return test.select(F.col(q(key)), F.col(q(label))).join(pred, key, "left")
+    votes = neighbours.withColumn("__w", w).groupBy(key, "__nl").agg(F.sum("__w").alias("__v"))
+    # most votes, then the smallest label
+    best = F.min(F.struct((-F.col("__v")).alias("v"), F.col("__nl").alias("l")))
+    return votes.groupBy(key).agg(best.alias("b")).select(key, F.col("b.l").alias("prediction"))

@@ -13,8 +13,12 @@ from __future__ import annotations
 import json
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +26,7 @@ from ..config import DEFAULT_PROFILE, ProfileConfig
 from ..functions.exprs import categorical_cols, numeric_cols, q
 from . import models as M
 from .fixes import apply_scale, category_codes, impute, one_hot, scale_params
-from .knn import knn_classify, knn_join
+from .knn import knn_classify, knn_join, vote
 from .profile import detect_task
 from .split import kfold, stratified_kfold
 
@@ -109,7 +113,7 @@ def _linear_from_moments(n, S, G, kind, params):
     mx, my = S[:p] / n, S[p] / n
     C = G[:p, :p] / n - np.outer(mx, mx)
     c = G[:p, p] / n - mx * my
-    st = M.LinearStats(feats=[str(i) for i in range(p)], n=int(n), mean_x=mx, mean_y=my, cov_xx=C, cov_xy=c, var_y=0.0)
+    st = M.LinearStats(feats=[str(i) for i in range(p)], n=round(n), mean_x=mx, mean_y=my, cov_xx=C, cov_xy=c, var_y=0.0)
     mdl = M.fit_linear_from_stats(st, kind if kind != "ols" else "linear", params.get("alpha", 1.0), params.get("l1_ratio", 0.5))
     return mdl.coef, mdl.intercept
 
@@ -151,18 +155,65 @@ def _fold_score(df: DataFrame, fold_col: str, f: int, feats, label: str, params:
     return M.metric_value(pr, label, "__p", "rmse")
 
 
+LINEAR = ("ridge", "lasso", "elasticnet", "ols")
+
+
+def _log_linear_scores(df: DataFrame, fold_col: str, k: int, feats, label: str, trials: list[dict]) -> list[list[float]]:
+    """Fold scores of linear fits to __ylog, every trial at once: the fits come
+    from one pass of fold moments, the errors of their predictions (taken back by
+    expm1) from one more, a product of each Arrow batch with the matrix of all
+    trials' weights; a row's errors count in its own fold."""
+    from .gram import moments
+
+    feats = list(feats)
+    p = len(feats)
+    per_fold, shift = moments(df, [*feats, "__ylog"], by=fold_col)
+    none = (0.0, np.zeros(p + 1), np.zeros((p + 1, p + 1)))
+    per_fold = {f: per_fold.get(f, none) for f in range(k)}
+    all_n, all_s, all_g = (sum(v[i] for v in per_fold.values()) for i in range(3))
+    weights, base = np.zeros((k, p, len(trials))), np.zeros((k, len(trials)))
+    for f, (n, s, g) in per_fold.items():
+        for t, params in enumerate(trials):
+            w, b = _linear_from_moments(all_n - n, all_s - s, all_g - g, params["model"], params)
+            weights[f, :, t], base[f, t] = w, b + shift[p] - shift[:p] @ w
+    names = [f"x{i}" for i in range(p)]
+    sel = df.select(F.col(q(fold_col)).cast("int").alias("f"), F.col(q(label)).cast("double").alias("y"), *[F.col(q(c)).cast("double").alias(n) for c, n in zip(feats, names, strict=True)])
+
+    def errors(batches):
+        total = np.zeros((k, len(trials) + 1))
+        for batch in batches:
+            fold, y = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            x = np.stack([batch.column(2 + i).to_numpy(zero_copy_only=False) for i in range(p)], 1) if p else np.zeros((len(y), 0))
+            for f in range(k):
+                mine = (fold == f) & ~np.isnan(y) & ~np.isnan(x).any(1)
+                pred = np.expm1(np.clip(x[mine] @ weights[f] + base[f], -10.0, 20.0))
+                total[f, :-1] += ((pred - y[mine, None]) ** 2).sum(0)
+                total[f, -1] += mine.sum()
+        yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], ["f", "v"])
+
+    rows = sel.mapInArrow(errors, "f int, v array<double>").groupBy("f").agg(Summarizer.sum(array_to_vector("v")).alias("v")).collect()
+    got = {r["f"]: r["v"].toArray() for r in rows}
+    return [[float(np.sqrt(got[f][t] / round(got[f][-1]))) if f in got and round(got[f][-1]) else float("nan") for f in range(k)] for t in range(len(trials))]
+
+
 def cv_scores(df: DataFrame, fold_col: str, k: int, feats, label: str, trials: list[dict], task: str, log_target: bool = False, moments=None, weight_col: str | None = None, parallelism: int | None = None) -> list[list[float]]:
     """Per-trial, per-fold scores.  Linear-family trials come from the fold
-    moments (no pass); every other (trial, fold) fit is a Spark job
+    moments (no pass, or two for all of them on a log target); every other (trial, fold) fit is a Spark job
     submitted from a thread pool, so small fits overlap on the cluster
     (as CrossValidator's ``parallelism`` does)."""
     from concurrent.futures import ThreadPoolExecutor
 
     out: list[list[float]] = [[float("nan")] * k for _ in trials]
     jobs = []
+    logged = [t for t, p in enumerate(trials) if log_target and p.get("model") in LINEAR]
+    if logged:
+        for t, scores in zip(logged, _log_linear_scores(df, fold_col, k, feats, label, [trials[t] for t in logged]), strict=True):
+            out[t] = scores
     for t, params in enumerate(trials):
         model = params.get("model", "knn")
-        if model in ("ridge", "lasso", "elasticnet", "ols") and not log_target and moments is not None:
+        if t in logged:
+            continue
+        if model in LINEAR and moments is not None:
             tot_n = sum(v[0] for v in moments.values())
             tot_s = sum(v[1] for v in moments.values())
             tot_g = sum(v[2] for v in moments.values())
@@ -201,9 +252,11 @@ def tune(
     seed: int = 42,
     cfg: ProfileConfig = DEFAULT_PROFILE,
     parallelism: int | None = None,
+    trials: list[dict] | None = None,
 ):
     """Returns (trials DataFrame, summary dict with baseline / best);
-    ``parallelism`` fits run at once (by default as many as cores, 8 at most).
+    ``parallelism`` fits run at once (by default as many as cores, 8 at most);
+    ``trials``: these parameter sets instead of ``n_trials`` drawn ones.
 
     presets: generic (type detected, text coded, rf / gbt / knn or ridge /
     lasso / elastic net / gbt), scaled_knn, imputed_rf, log_target."""
@@ -234,7 +287,7 @@ def tune(
     try:
         metric = "accuracy" if task == "classification" else "rmse"
         space = {"scaled_knn": "scaled_knn", "imputed_rf": "imputed_rf", "log_target": "log_target"}.get(preset, "classification" if task == "classification" else "regression")
-        trials = draw_trials(space, n_trials, seed)
+        trials = draw_trials(space, n_trials, seed) if trials is None else list(trials)
         moments = fold_moments(d, feats, target, "fold", cv_folds) if task == "regression" and preset != "log_target" else None
         rows = []
         if preset == "scaled_knn":
@@ -260,28 +313,33 @@ def tune(
 
 
 def _tune_knn(d: DataFrame, feats, label, k: int, trials: list[dict]):
-    """Neighbours (k = 30) once per (scaler, metric, p) and fold; each trial
-    votes with its own k and weights."""
+    """Neighbours with the largest k once per (scaler, metric, p), all folds in
+    one join: a fold's rows meet the other folds' rows as scaled by the
+    statistics of those.  Each trial votes with its own k and weights."""
     groups: dict = {}
     for t, p in enumerate(trials):
         groups.setdefault((p["scaler"], p["metric"], p.get("p", 2)), []).append((t, p))
+    scaled: dict = {}
     scores: dict = {}
+    labels = d.select(F.col("__key"), F.col(q(label)).alias("__y"), F.col("fold"))
     for (scaler, metric, pp), items in groups.items():
-        kmax = max(p["n_neighbors"] for _t, p in items)
-        per_fold = {t: [] for t, _ in items}
-        for f in range(k):
-            tr = d.where(F.col("fold") != f)
-            va = d.where(F.col("fold") == f)
-            prm = scale_params(tr, feats, scaler)
-            va_s = apply_scale(va, prm)
-            tr_s = apply_scale(tr, prm)
-            trk = tr_s.select(F.col("__key").alias("__rk"), F.col(q(label)).alias("__nl"), *[F.col(q(c)) for c in feats])
-            nb = knn_join(va_s, trk, "__key", "__rk", kmax, feats=feats, metric=metric, p=float(pp), carry="__nl").persist()
-            for t, p in items:
-                pred = knn_classify(tr_s, va_s, "__key", label, k=p["n_neighbors"], weights=p["weights"], feats=feats, metric=metric, p=float(pp), neighbours=nb)
-                per_fold[t].append(_acc(pred, label, "prediction"))
-            nb.unpersist()
-        scores.update(per_fold)
+        if scaler not in scaled:
+            sides = [[], []]
+            for f in range(k):
+                tr, va = d.where(F.col("fold") != f), d.where(F.col("fold") == f)
+                prm = scale_params(tr, feats, scaler)
+                for side, rows in zip(sides, (va, tr), strict=True):
+                    side.append(apply_scale(rows, prm).withColumn("__f", F.lit(f)))
+            scaled[scaler] = [reduce(DataFrame.unionByName, side) for side in sides]
+        left, right = scaled[scaler]
+        right = right.select("__f", F.col("__key").alias("__rk"), F.col(q(label)).alias("__nl"), *[F.col(q(c)) for c in feats])
+        most = max(p["n_neighbors"] for _t, p in items)
+        nb = knn_join(left, right, "__key", "__rk", most, feats=feats, metric=metric, p=float(pp), carry="__nl", by="__f", complete=True).persist()
+        for t, p in items:
+            pred = labels.join(vote(nb.where(F.col("rank") <= p["n_neighbors"]), "__key", p["weights"]), "__key", "left")
+            got = {r["fold"]: r["a"] for r in pred.groupBy("fold").agg(M.accuracy_expr("__y", "prediction").alias("a")).collect()}
+            scores[t] = [got.get(f, float("nan")) for f in range(k)]
+        nb.unpersist()
     return [(t, "knn", json.dumps(trials[t], sort_keys=True), "accuracy", float(np.mean(scores[t])), json.dumps([round(s, 6) for s in scores[t]])) for t in range(len(trials))]
 
 

@@ -4,6 +4,8 @@ user steps and the whole pipeline (SURVEY 2.3, 2.4 metrics, 2.9-2.11,
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -722,6 +724,71 @@ def q_cv_score(spark, sf):
     return spark.createDataFrame([(0, f, round(s, 6)) for f, s in enumerate(sc)], "trial int, fold int, score double")
 
 
+# ten ridge penalties of the search space
+_RIDGES = [t for t in TU.draw_trials("regression", 60, 7) if t["model"] == "ridge"][:10]
+_TUNE_FEATS = ["l_quantity", "l_discount", "l_tax", "l_line"]
+
+
+def _tune_ridge_input(spark, sf):
+    d = T(spark, sf, "lineitem")
+    return d.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_quantity", "l_discount", "l_tax", F.col("l_linenumber").alias("l_line"), "l_extendedprice")
+
+
+def _tune_ridge_sql(log: bool, k: int = 3) -> str:
+    """(trial, fold, score) of every penalty: closed-form ridge per fold, on the
+    price or on log1p of it with the error measured on the price."""
+    y = "ylog" if log else "l_extendedprice"
+    src = f"""(SELECT *, ln(1 + l_extendedprice) AS ylog, {row_hash_sql(['line'], 42, 'fold')} % {k} AS fold FROM (
+  SELECT l_orderkey * 10 + l_linenumber AS line, l_quantity, l_discount, l_tax, l_linenumber AS l_line, l_extendedprice FROM lineitem))"""
+    ctes, rows, p = [f"src AS MATERIALIZED (SELECT * FROM {src})"], [], len(_TUNE_FEATS)
+    for f in range(k):
+        ctes += [
+            f"m{f} AS MATERIALIZED ({means_sql('src', _TUNE_FEATS, y, f'fold <> {f}')})",
+            f"a{f} AS MATERIALIZED ({gram_sql('src', _TUNE_FEATS, y, f'fold <> {f}', f'm{f}')})",
+            f"b{f} AS MATERIALIZED ({gram_sql('src', _TUNE_FEATS, y, f'fold = {f}', f'm{f}')})",
+        ]
+        for t, trial in enumerate(_RIDGES):
+            w = f"(SELECT {ridge_sql('g', '[1.0, 1.0, 1.0, 1.0]', p, trial['alpha'])} AS w FROM a{f})"
+            if log:
+                pred = " + ".join(f"w[{i + 1}] * ({c} - m{i})" for i, c in enumerate(_TUNE_FEATS)) + f" + m{p}"
+                score = f"(SELECT sqrt(avg(pow(l_extendedprice - (exp(least(greatest({pred}, -10.0), 20.0)) - 1), 2))) FROM src, m{f}, {w} WHERE fold = {f})"
+                rows.append(f"SELECT {t} AS trial, {f} AS fold, {score} AS score")
+            else:
+                rows.append(f"SELECT {t} AS trial, {f} AS fold, {residual_sql('w', 'g', 'n', p)} AS score FROM {w}, b{f}")
+    return "WITH " + ",\n".join(ctes) + ",\nsc AS MATERIALIZED (" + union(rows) + ")"
+
+
+_TRIAL_TABLE = ", ".join(f"({i}, '{json.dumps(t, sort_keys=True)}')" for i, t in enumerate(_RIDGES))
+_TRIALS_SQL = f"""(SELECT CAST(trial AS INTEGER) AS trial, 'ridge' AS model, params, 'rmse' AS metric, round(avg(score), 6) AS score FROM sc
+  JOIN (VALUES {_TRIAL_TABLE}) t(i, params) ON i = trial GROUP BY trial, params)"""
+
+
+@memo
+def _tune_ridge(spark, sf):
+    return TU.tune(_tune_ridge_input(spark, sf), "l_extendedprice", "line", cv_folds=3, preset="generic", trials=_RIDGES)
+
+
+@memo
+def _tune_ridge_log(spark, sf):
+    return TU.tune(_tune_ridge_input(spark, sf), "l_extendedprice", "line", cv_folds=3, preset="log_target", trials=_RIDGES)
+
+
+@query("tune_ridge_trials", f"{_tune_ridge_sql(False)}\nSELECT * FROM {_TRIALS_SQL}")
+def q_tune_ridge_trials(spark, sf):
+    return rounded(_tune_ridge(spark, sf)[0].drop("fold_scores"))
+
+
+@query("tune_ridge_log_trials", f"{_tune_ridge_sql(True)}\nSELECT * FROM {_TRIALS_SQL}")
+def q_tune_ridge_log_trials(spark, sf):
+    return rounded(_tune_ridge_log(spark, sf)[0].drop("fold_scores"))
+
+
+@query("best_trial_ridge", f"{_tune_ridge_sql(True)}\nSELECT * FROM {_TRIALS_SQL} ORDER BY score, trial LIMIT 1")
+def q_best_trial_ridge(spark, sf):
+    trials, summary = _tune_ridge_log(spark, sf)
+    return rounded(TU.best_trial(trials, summary["metric"]).drop("fold_scores"))
+
+
 @query("tune")
 def q_tune(spark, sf):
     return rounded(_tune_generic(spark, sf)[0])
@@ -738,24 +805,33 @@ def q_tune_log_target(spark, sf):
     return rounded(_tune_log(spark, sf)[0])
 
 
+@memo
+def _tune_knn(spark, sf):
+    return TU.tune(emb_wide(spark, sf), "label", "vec_id", n_trials=10, cv_folds=3, preset="scaled_knn")
+
+
+@memo
+def _tune_rf(spark, sf):
+    docs = T(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    lab = T(spark, sf, "labels").select("doc_id", "quality")
+    d = io.inject_nulls(lab.join(docs, "doc_id", "inner"), {"n_chars": 0.1}, "doc_id")
+    return TU.tune(d, "quality", "doc_id", n_trials=3, cv_folds=3, preset="imputed_rf")
+
+
 @query("tune_scaled_knn")
 def q_tune_scaled_knn(spark, sf):
-    d = emb_wide(spark, sf)
-    return rounded(TU.tune(d, "label", "vec_id", n_trials=4, cv_folds=3, preset="scaled_knn")[0])
+    return rounded(_tune_knn(spark, sf)[0])
 
 
 @query("tune_imputed_rf")
 def q_tune_imputed_rf(spark, sf):
-    docs = T(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
-    lab = T(spark, sf, "labels").select("doc_id", "quality")
-    d = lab.join(docs, "doc_id", "inner")
-    d = io.inject_nulls(d, {"n_chars": 0.1}, "doc_id")
-    return rounded(TU.tune(d, "quality", "doc_id", n_trials=3, cv_folds=3, preset="imputed_rf")[0])
+    return rounded(_tune_rf(spark, sf)[0])
 
 
 @query("compare_tuning")
 def q_compare_tuning(spark, sf):
-    return rounded(TU.compare_tuning(spark, [_tune_generic(spark, sf)[1], _tune_log(spark, sf)[1]]))
+    """All four presets."""
+    return rounded(TU.compare_tuning(spark, [run(spark, sf)[1] for run in (_tune_generic, _tune_log, _tune_knn, _tune_rf)]))
 
 
 # ── user steps and the pipeline ─────────────────────────────────────────────
