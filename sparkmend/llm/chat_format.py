@@ -4,8 +4,8 @@ The nested field paths of a record (``messages[].role``, ``prompt`` ...),
 sorted and hashed, are its schema fingerprint.  A table of declarative
 mappings, one Spark SQL expression per fingerprint, turns each layout into
 canonical turns: ``array<struct<role,text>>``.  ``read_table`` takes the
-fingerprint from a DataFrame's schema; ``read_json`` takes one per record
-(``schema_of_variant``), so one column may mix layouts.
+fingerprint from a DataFrame's schema; ``read_json`` takes one per record, of the
+known paths that it has, so one column may mix layouts and carry other fields.
 
 The template writes ``<|im_start|>role`` newline text ``<|im_end|>`` newline
 per turn.  Inside texts and roles a backslash is doubled and the ``|`` of
@@ -16,6 +16,7 @@ text can hold a template mark and reading back gives the exact turns.
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -110,47 +111,68 @@ def read_table(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.withColumn("turns", _clean(F.expr(got[1].replace("{r}", "")))).withColumn("layout", F.lit(got[0]))
 
 
-def _tree(paths: list[str]) -> dict:
-    root: dict = {}
-    for p in paths:
-        at = root
-        for step in p.replace("[]", ".[]").split("."):
-            at = at.setdefault(step, {})
-    return root
+def _get(v: Column, path: str, kind: str) -> Column:
+    return F.try_variant_get(v, path, kind)
 
 
-def _shape(tree: dict) -> str:
-    """The paths as ``schema_of_variant`` prints them, leaf types left out."""
-    if "[]" in tree:
-        return f"ARRAY<{_shape(tree['[]'])}>"
-    return f"OBJECT<{', '.join(k + (': ' + _shape(t) if t else '') for k, t in sorted(tree.items()))}>" if tree else ""
+def _text(v: Column) -> Column:
+    """A text value; of one given as parts, their texts one after the other."""
+    part = lambda p: F.coalesce(_get(p, "$.text", "string"), F.when(_get(p, "$.type", "string").isNull(), _get(p, "$", "string")), F.lit(""))
+    parts = _get(v, "$", "array<variant>")
+    return F.when(parts.isNotNull(), F.array_join(F.transform(parts, part), "")).otherwise(_get(v, "$", "string"))
 
 
-def _ddl(tree: dict) -> str:
-    if "[]" in tree:
-        return f"array<{_ddl(tree['[]'])}>"
-    return f"struct<{', '.join(f'`{k}`: {_ddl(t)}' for k, t in sorted(tree.items()))}>" if tree else "string"
+def _element(inner: list[str], m: Column) -> Column:
+    """A list element's known fields; a turn number first, as rows are sorted by it."""
+    first = [_get(m, "$.turn", "double").alias("turn")] if "turn" in inner else []
+    return F.struct(*first, *[_text(_get(m, f"$.{f}", "variant")).alias(f) for f in inner if f != "turn"])
+
+
+def _has(field: str, m: Column) -> Column:
+    return _get(m, f"$.{field}", "variant").isNotNull()
+
+
+def _fields() -> dict[str, list[str]]:
+    """Top-level field -> fields of its elements (none for a single value)."""
+    out: dict[str, list[str]] = {}
+    for path in sorted({p for _, paths, _ in LAYOUTS for p in paths}):
+        top, _, inner = path.partition("[].")
+        out.setdefault(top, []).extend([inner] if inner else [])
+    return out
 
 
 def read_json(df: DataFrame, json_col: str) -> DataFrame:
-    """``df`` plus layout and turns of JSON records in mixed layouts; the
-    fingerprint of each record's field paths selects its mapping.  A record
-    that is null, not JSON, or of no known layout has layout null and no
-    turns."""
+    """``df`` plus layout and turns of JSON records in mixed layouts.
+
+    A record is parsed once.  Which of the known field paths it has is its
+    fingerprint; it selects the mapping with the most paths that are all there
+    (the first listed of equals), whatever other fields there are.  An empty
+    list has every path of its elements, and gives no turns.  Texts may be
+    lists of parts.  A record that is null, not JSON, or of no known layout has
+    layout null and no turns."""
     df = without(df, "layout", "turns")
-    leaf = r": (?:STRING|VOID|BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL\(\d+, ?\d+\))(?=[,>])"
-    key = F.sha2(F.regexp_replace(F.schema_of_variant(F.try_parse_json(F.col(json_col))), leaf, ""), 256)
+    rec, has = free_names(df, "rec", "has")
+    v = F.col(rec)
+    values, present = [], []
+    for top, inner in _fields().items():
+        if not inner:
+            values.append(_text(_get(v, f"$.{top}", "variant")).alias(top))
+            present.append(F.when(_get(v, f"$.{top}", "variant").isNotNull(), F.lit(top)))
+            continue
+        rows = _get(v, f"$.{top}", "array<variant>")
+        values.append(F.transform(rows, partial(_element, inner)).alias(top))
+        for f in inner:
+            there = (F.size(rows) == 0) | F.exists(rows, partial(_has, f))
+            present.append(F.when(rows.isNotNull() & there, F.lit(f"{top}[].{f}")))
+    known = df.withColumn(rec, F.try_parse_json(F.col(json_col)))
+    known = known.withColumn(has, F.array_compact(F.array(*present))).withColumn(rec, F.struct(*values))
     layout, turns = F.lit(None).cast("string"), F.array().cast(TURNS)
-    (rec,) = free_names(df, "rec")
-    parsed = df
-    for i, (name, paths, expr) in enumerate(LAYOUTS):
-        tree = _tree(paths)
-        parsed = parsed.withColumn(f"{rec}{i}", F.from_json(F.col(json_col), _ddl(tree)))
-        hit = key == hashlib.sha256(_shape(tree).encode()).hexdigest()
+    # the mapping looked at last wins: fewest paths first
+    for name, paths, expr in sorted(reversed(LAYOUTS), key=lambda x: len(x[1])):
+        hit = F.size(F.array_except(F.array(*map(F.lit, paths)), F.col(has))) == 0
         layout = F.when(hit, F.lit(name)).otherwise(layout)
-        turns = F.when(hit, F.expr(expr.replace("{r}", f"{rec}{i}.")).cast(TURNS)).otherwise(turns)
-    out = parsed.withColumn("layout", layout).withColumn("turns", _clean(turns))
-    return out.drop(*[f"{rec}{i}" for i in range(len(LAYOUTS))])
+        turns = F.when(hit, F.expr(expr.replace("{r}", f"{rec}.")).cast(TURNS)).otherwise(turns)
+    return known.withColumn("layout", layout).withColumn("turns", _clean(turns)).drop(rec, has)
 
 
 def escape(text: Column) -> Column:

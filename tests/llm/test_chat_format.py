@@ -74,3 +74,39 @@ def test_json_records_in_mixed_layouts(spark):
         5: ("system_prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
         6: (None, []), 100: (None, []), 101: (None, []), 102: (None, []),
     }
+
+
+def test_json_records_with_more_fields_and_odd_values(spark):
+    parts = [{"type": "text", "text": "one "}, {"type": "image", "url": "u"}, "two", {"text": "!"}]
+    recs = {
+        0: {"id": 7, "messages": [{"role": "user", "content": "a", "name": "n"}, {"role": "assistant", "content": "b"}], "meta": {"x": [1]}},
+        1: {"messages": []},
+        2: {"messages": [{"role": "user", "content": parts}, {"role": "assistant", "content": 12}]},
+        3: {"id": "x", "prompt": "p", "response": "r", "score": 0.5},
+        4: {"prompt": "p", "response": "r", "system": "s", "lang": None},
+        5: {"turns": [{"turn": 10, "role": "assistant", "text": "late"}, {"turn": 2, "role": "user", "text": "early"}], "conv_id": 1},
+        6: {"instruction": "i", "output": None},
+        7: {"conversations": "not a list"},
+        8: {"messages": [{"role": "user"}]},
+        9: {"messages": [{"role": "user", "content": "a"}, {"role": "assistant"}, 5, None]},
+        10: [1, 2],
+        11: "text",
+        12: {"conversations": [{"from": "gpt", "value": "é" * 40000}]},
+    }
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in recs.items()], "id int, record string")
+    out = cf.read_json(df, "record")
+    got = {r["id"]: (r["layout"], [tuple(t) for t in r["turns"]]) for r in out.collect()}
+    assert got == {
+        0: ("messages", [("user", "a"), ("assistant", "b")]),
+        1: ("messages", []),
+        2: ("messages", [("user", "one two!"), ("assistant", "12")]),
+        3: ("prompt", [("user", "p"), ("assistant", "r")]),
+        4: ("system_prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        5: ("turn_rows", [("user", "early"), ("assistant", "late")]),
+        6: ("instruction_only", [("user", "i"), ("assistant", "")]),
+        7: (None, []), 8: (None, []),
+        9: ("messages", [("user", "a"), ("assistant", ""), ("", ""), ("", "")]),
+        10: (None, []), 11: (None, []),
+        12: ("share", [("assistant", "é" * 40000)]),
+    }
+    assert cf.read_json(df.limit(0), "record").collect() == []
