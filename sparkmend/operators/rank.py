@@ -51,32 +51,6 @@ def hash_rank(
     return ranked.drop("__h", "__b", "__off")
 
 
-def hash_select_smallest(df: DataFrame, keys: Sequence[str], seed: int, m: int, salt: str = "", bits: int = 16, out: str = "_sel") -> DataFrame:
-    """Add boolean ``out``: true for exactly the m rows with the smallest
-    (hash, key).  Only the one boundary bucket is ranked; every other row is
-    decided by comparing its bucket with the boundary, so the table itself
-    is never shuffled."""
-    keys = list(keys)
-    h = row_hash(keys, seed, salt)
-    tmp = df.withColumn("__h", h).withColumn("__b", F.shiftright(F.col("__h"), HASH_BITS - bits))
-    if m <= 0:
-        return tmp.withColumn(out, F.lit(False)).drop("__h", "__b")
-    counts = tmp.groupBy("__b").agg(F.count("*").alias("__cnt"))
-    w_cum = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    # counts has at most 2**bits rows: the single-partition window is over
-    # that small table only
-    cum = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(w_cum), F.lit(0)))
-    edge = cum.where((F.col("__off") < m) & (F.col("__off") + F.col("__cnt") >= m)).select("__b", "__off").first()
-    if edge is None:  # fewer than m rows: all selected
-        return tmp.withColumn(out, F.lit(True)).drop("__h", "__b")
-    b_star, off = int(edge["__b"]), int(edge["__off"])
-    rest = tmp.where(F.col("__b") != b_star).withColumn(out, F.col("__b") < b_star)
-    w = Window.orderBy("__h", *[F.col(q(k)) for k in keys])
-    # the boundary bucket holds about n / 2**bits rows
-    edge_rows = tmp.where(F.col("__b") == b_star).withColumn(out, F.row_number().over(w) <= (m - off))
-    return rest.unionByName(edge_rows).drop("__h", "__b")
-
-
 def smallest_cutoffs(df: DataFrame, key: str, seed: int, wanted: dict[str, int]) -> dict:
     """{salt: (hash, key or None)}: the ``wanted[salt]``-th smallest
     (hash(key, seed, salt), key); key is None when every row with that hash is

@@ -276,6 +276,15 @@ def q_kfold(spark, sf):
     return S.kfold(T(spark, sf, "orders"), "o_orderkey", 5).select("o_orderkey", "fold")
 
 
+@query(
+    "kfold_exact",
+    f"""SELECT event_id, CAST((row_number() OVER (ORDER BY {row_hash_sql(['event_id'], 42, 'fold')}, event_id) - 1) % 5 AS INTEGER) AS fold FROM events""",
+)
+def q_kfold_exact(spark, sf):
+    """Folds whose sizes differ by a row at most."""
+    return S.kfold(T(spark, sf, "events"), "event_id", 5, exact=True).select("event_id", "fold")
+
+
 @query(
     "stratified_kfold",
     f"SELECT doc_id, toxic, CAST((row_number() OVER (PARTITION BY toxic ORDER BY {row_hash_sql(['doc_id'], 42, 'fold')}, doc_id) - 1) % 5 AS INTEGER) AS fold FROM labels",

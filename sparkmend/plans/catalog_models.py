@@ -579,6 +579,19 @@ def q_candidate_features(spark, sf):
     return rounded(d.select("p_partkey", *[c.alias(n) for n, (c, _s) in cands.items()]))
 
 
+@query(
+    "candidate_features_limit",
+    """SELECT p_partkey, round(CAST(p_retailprice AS DOUBLE) / (1 + p_size), 6) AS fe_price_per_size,
+  round(CASE WHEN p_partkey > -1 THEN ln(1 + p_partkey) END, 6) AS fe_log1p_p_partkey, round(CASE WHEN p_size > -1 THEN ln(1 + p_size) END, 6) AS fe_log1p_p_size FROM part""",
+)
+def q_candidate_features_limit(spark, sf):
+    """Own SQL first, then the rules' candidates up to the limit."""
+    d = T(spark, sf, "part")
+    own = {"fe_price_per_size": "CAST(p_retailprice AS DOUBLE) / (1 + p_size)"}
+    cands = FE.candidate_features(d, "p_retailprice", cols=["p_partkey", "p_size"], limit=3, extra=own)
+    return rounded(d.select("p_partkey", *[c.alias(n) for n, (c, _s) in cands.items()]))
+
+
 _VALIDATE_SQL = """SELECT 'fe_price_per_size' AS attempt, count(CASE WHEN p_size = 0 THEN NULL ELSE p_retailprice / p_size END) > 0 AS ok,
        CASE WHEN count(CASE WHEN p_size = 0 THEN NULL ELSE p_retailprice / p_size END) > 0 THEN 'fe_price_per_size'
             ELSE 'New column ''fe_price_per_size'' is entirely NaN' END AS detail FROM part

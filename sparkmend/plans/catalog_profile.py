@@ -197,6 +197,17 @@ def q_outlier_flag(spark, sf):
     return P.outlier_flag(T(spark, sf, "events"), ["value"]).select("event_id", "value", "is_outlier_value")
 
 
+@query(
+    "null_rate_blocks",
+    "SELECT block, n_rows, col_name, round(null_rate, 6) AS null_rate FROM (" + union([
+        f"SELECT {row_hash_sql(['event_id'], 42)} % 100 AS block, count(*) AS n_rows, '{c}' AS col_name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS null_rate FROM {FE} GROUP BY 1"
+        for c in ("value", "user_id")
+    ]) + ")",
+)
+def q_null_rate_blocks(spark, sf):
+    return rounded(P.null_rate_blocks(faulted_events(spark, sf), ["value", "user_id"], "event_id"))
+
+
 @query("null_map", union([f"SELECT event_id, '{c}' AS col_name, CAST({c} IS NULL AS INTEGER) AS is_null FROM {FE}" for c in ["user_id", "value"]]))
 def q_null_map(spark, sf):
     return P.null_map(faulted_events(spark, sf), ["user_id", "value"], key="event_id")

@@ -14,7 +14,7 @@ from sparkmend.operators import models as M
 from sparkmend.operators import profile as P
 from sparkmend.operators import split as S
 from sparkmend.operators.quantiles import exact_quantiles
-from sparkmend.operators.rank import hash_rank, hash_select_smallest
+from sparkmend.operators.rank import hash_rank
 from sparkmend.sources import io
 
 SF = "/root/testdata/sf0.001"
@@ -71,13 +71,6 @@ def test_row_choice_does_not_depend_on_partitioning(spark, parts):
     assert sorted(s1) == sorted(s2)
 
 
-def test_hash_select_smallest_exact_count(spark):
-    df = spark.range(5000).withColumnRenamed("id", "k")
-    for m in (0, 1, 777, 5000, 6000):
-        got = hash_select_smallest(df, ["k"], 7, m, bits=6).where("_sel").count()
-        assert got == min(m, 5000)
-
-
 def test_folds_disjoint_complete_and_stratified(spark):
     lab = io.table(spark, "/root/testdata/sf0.01", "labels")
     f = S.stratified_kfold(lab, "doc_id", "toxic", 5).cache()
