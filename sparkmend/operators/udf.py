@@ -32,9 +32,7 @@ def user_transform(df: DataFrame, fn: Callable, batch_schema: str | T.StructType
     beside the rows.  Without it the result is lazy."""
     try:
         if not batch_schema:
-            out = df.transform(fn)
-            if not isinstance(out, DataFrame):
-                return df, f"TypeError: step returned {type(out).__name__}, not a DataFrame"
+            out = df.transform(fn)  # raises for anything but a DataFrame
             out.schema  # analysis errors
             return (cut_lineage(out) if check else out), None
         schema = batch_schema if isinstance(batch_schema, T.StructType) else T.StructType.fromDDL(batch_schema)
