@@ -159,7 +159,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     text = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
     # at most ``size`` rows of two numbers
     met = stage(text.join(F.broadcast(pick), "id"), "label-rows")
-    rows = [met.filter(F.col("toxic") == y).orderBy(F.xxhash64("id", "text", F.lit(11)), "id").limit(size // 2) for y in (0, 1)]
+    found = {r["toxic"]: r["n"] for r in met.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    rows = [met.filter(F.col("toxic") == y) for y in (0, 1)]
+    # only ids of many rows give more than the ids that were picked
+    rows = [r.orderBy(F.xxhash64("id", "text", F.lit(11)), "id").limit(size // 2) if found.get(y, 0) > size // 2 else r for y, r in enumerate(rows)]
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows[0].union(rows[1]).repartition(parts, F.xxhash64("id", "text")).select("text", "toxic", F.split(F.lower("text"), r"\s+").alias("w"))
     shingles = F.transform(F.slice("w", 1, F.greatest(F.size("w") - (SHINGLE - 1), F.lit(1))), lambda x, i: F.xxhash64(*[F.get(F.col("w"), i + j) for j in range(SHINGLE)]))
