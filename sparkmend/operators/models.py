@@ -125,8 +125,9 @@ def fit_linear(train: DataFrame, feats: Sequence[str], y: str, kind: str = "line
 def _assemble(df: DataFrame, feats: Sequence[str], out: str = "features", vectors: Sequence[str] = ()) -> DataFrame:
     from pyspark.ml.feature import VectorAssembler
 
-    cast = df.withColumns({c: F.col(q(c)).cast("double") for c in feats})
-    return VectorAssembler(inputCols=[*feats, *vectors], outputCol=out, handleInvalid="keep").transform(cast)
+    # under names of their own: the caller's columns keep their types
+    names = {f"__f{i}": F.col(q(c)).cast("double") for i, c in enumerate(feats)}
+    return VectorAssembler(inputCols=[*names, *vectors], outputCol=out, handleInvalid="keep").transform(df.withColumns(names)).drop(*names)
 
 
 def _label_index(train: DataFrame, y: str):

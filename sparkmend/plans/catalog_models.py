@@ -242,6 +242,46 @@ def q_fit_gbt_regressor(spark, sf):
     )
 
 
+# targets that the features settle: any tree learner finds the cuts, so the
+# predictions themselves are compared, row by row
+_CUT_FEATS = ["l_linenumber", "disc", "tax"]
+_ZONE = "CASE WHEN l_linenumber <= 2 THEN 'front' WHEN disc >= 6 THEN 'deep' ELSE 'rest' END"
+_PAIR = "CASE WHEN l_linenumber <= 3 AND disc < 5 THEN 'in' ELSE 'out' END"
+_STEP = "CASE WHEN l_linenumber <= 3 THEN 100.0 ELSE 0.0 END + CASE WHEN disc >= 5 THEN 10.0 ELSE 0.0 END"
+_CUT_SRC = f"""(SELECT l_orderkey, l_linenumber, CAST(round(l_discount * 100) AS INTEGER) AS disc, ({row_hash_sql(['l_orderkey'], 42)} % 100) < 20 AS is_test FROM lineitem)"""
+
+
+def _cut_split(spark, sf):
+    d = T(spark, sf, "lineitem").withColumn("disc", F.round(F.col("l_discount") * 100).cast("int")).withColumn("tax", F.round(F.col("l_tax") * 100).cast("int"))
+    d = d.withColumn("zone", F.expr(_ZONE)).withColumn("pair", F.expr(_PAIR)).withColumn("step", F.expr(_STEP).cast("double"))
+    d = S.train_test_split(d, "l_orderkey")
+    return d.where(~F.col("is_test")), d.where(F.col("is_test"))
+
+
+def _cut_classes(spark, sf, label, model, params):
+    train, test = _cut_split(spark, sf)
+    fit = M.fit_classifier(train, _CUT_FEATS, label, model, params)
+    return fit.predict(test).select("l_orderkey", "l_linenumber", F.col(label).alias("label"), F.col("pred_label").alias("prediction"))
+
+
+@query("fit_random_forest_cuts", f"SELECT l_orderkey, l_linenumber, {_ZONE} AS label, {_ZONE} AS prediction FROM {_CUT_SRC} WHERE is_test")
+def q_fit_random_forest_cuts(spark, sf):
+    return _cut_classes(spark, sf, "zone", "rf", {"n_estimators": 100, "max_depth": 8})
+
+
+@query("fit_gbt_classifier_cuts", f"SELECT l_orderkey, l_linenumber, {_PAIR} AS label, {_PAIR} AS prediction FROM {_CUT_SRC} WHERE is_test")
+def q_fit_gbt_classifier_cuts(spark, sf):
+    return _cut_classes(spark, sf, "pair", "gbt", {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1})
+
+
+@query("fit_gbt_regressor_cuts", f"SELECT l_orderkey, l_linenumber, CAST({_STEP} AS DOUBLE) AS y, CAST({_STEP} AS DOUBLE) AS prediction FROM {_CUT_SRC} WHERE is_test")
+def q_fit_gbt_regressor_cuts(spark, sf):
+    train, test = _cut_split(spark, sf)
+    mdl = M.fit_gbt_regressor(train, _CUT_FEATS, "step", {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1})
+    out = M.predict_regressor(mdl, test, _CUT_FEATS, "prediction")
+    return out.select("l_orderkey", "l_linenumber", F.col("step").alias("y"), F.round("prediction", 3).alias("prediction"))
+
+
 @query(
     "log_target_regression",
     f"""WITH fit AS (SELECT regr_slope(ln(1 + l_extendedprice), l_quantity) AS b, regr_intercept(ln(1 + l_extendedprice), l_quantity) AS a
