@@ -90,3 +90,22 @@ def test_fold_scores_on_cells_are_those_of_rows(rows, small):
     q = {"model": "gbt", "n_estimators": 3, "max_depth": 2}
     fit = M.fit_classifier(d, ["x", "z"], "c", "gbt", q, cells=cells[0])
     assert TU._cell_score(cells, ["x", "z"], "c", q, "classification", False, None) == pytest.approx(M.metric_value(fit.predict(d.where("fold = 1")), "c", "pred_label", "accuracy"))
+
+
+def test_forests_keep_the_node_of_each_row(rows, small, monkeypatch):
+    monkeypatch.setattr(C, "PER_TASK", 1000)
+    d = C.collapse(rows, ["x", "z"], ["c"]).units(draws=True)
+    assert d.rdd.getNumPartitions() == 3  # a task per thousand units
+    few = rows.where("k < 80 AND x IS NOT NULL").coalesce(1)
+    fit = M.fit_classifier(few, ["x", "z"], "c", "rf", {"n_estimators": 5})
+    assert fit.model.getCacheNodeIds()
+    from pyspark.ml.classification import RandomForestClassifier
+
+    est = RandomForestClassifier(featuresCol="features", labelCol="__label", numTrees=5, maxDepth=30, seed=42)
+    plain = est.fit(M._assemble(fit.indexer.transform(few), ["x", "z"]))
+    trees = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert trees(fit.model) == trees(plain)
+
+
+def test_a_task_fits_few_thousand_rows():
+    assert C.PER_TASK <= C.ROWS  # a forest's rows meet every tree: 65,536 units keep eight tasks busy
