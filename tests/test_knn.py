@@ -85,3 +85,21 @@ def test_hot_bucket_is_cut(spark, monkeypatch):
     got = as_lists(K.knn_join(frame(spark, a, "lk"), frame(spark, b, "rk"), "lk", "rk", k=4, vec="v", mode="approx", tables=4, bucket_length=5.0))
     assert [len(v) for v in got.values()] == [4] * 20 and all(got[i] == [(0.0, j) for j in range(4)] for i in range(10))
     assert max(sizes) <= 2 * 32
+
+
+@pytest.mark.parametrize("metric, p", [("manhattan", 2), ("chebyshev", 2), ("minkowski", 1), ("minkowski", 3), ("minkowski", 4), ("minkowski", 2.5)])
+def test_tiles_of_any_size_give_the_same(monkeypatch, metric, p):
+    rng = np.random.default_rng(9)
+    a, b = np.round(rng.normal(size=(23, 5)), 1), np.round(rng.normal(size=(37, 5)), 1)
+    b[20:30] = b[:10]  # ties
+    kernel = K._Kernel(6, metric, p, False)
+    d = np.abs(a[:, None, :] - b[None, :, :])
+    p = {"manhattan": 1, "chebyshev": np.inf}.get(metric, p)
+    want = d.max(2) if p == np.inf else (d**p).sum(2)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(K._Kernel, "ROWS", size)
+        monkeypatch.setattr(K._Kernel, "COLS", 2 * size)
+        assert np.allclose(kernel.whole(a, b), want, rtol=1e-13)
+        got = [np.concatenate(x) for x in zip(*kernel.nearest(a, b, np.arange(37)), strict=True)]
+        flat = [(i, j) for i in range(23) for _d, j in sorted((kernel.exact(a[i : i + 1], b[j : j + 1])[0], j) for j in range(37))[:6]]
+        assert [*zip(got[0].tolist(), got[1].tolist(), strict=True)] == flat
