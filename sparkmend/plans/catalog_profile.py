@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions.exprs import row_hash_sql
 from ..operators import profile as P
+from ..session import cut_lineage
 from ..sources import io
-from .common import faulted_events, faulted_events_sql, rounded
+from .common import faulted_events, faulted_events_sql, memo, rounded
 from .registry import query
 from .sqlgen import health_sql, imbalance_sql, missing_sql, outlier_sql, parse_sql, r, union, wrong_sql
 
@@ -45,7 +46,9 @@ HEALTH_SQL = (
 
 # labels with their documents: every kind of fault in one table (long texts are
 # outliers and make the sizes skewed, few documents are toxic, a count is stored
-# as text, a tenth of the quality labels is missing)
+# as text, a tenth of the quality labels is missing); texts are measured once per
+# session and scale, as every check reads the table in several passes
+@memo
 def documents_faulted(spark, sf):
     hidden = X.row_hash(["doc_id"], 42, "quality") % 10 == 0
     words = F.char_length("text") - F.char_length(F.replace("text", F.lit(" "), F.lit("")))
@@ -53,7 +56,7 @@ def documents_faulted(spark, sf):
         F.col("doc_id").alias("d_id"), "lang", "source", "n_chars", F.octet_length("text").cast("bigint").alias("n_bytes"), words.cast("string").alias("words_txt")
     )
     labels = T(spark, sf, "labels").select("doc_id", F.when(~hidden, F.col("quality")).alias("quality"), "toxic")
-    return labels.join(docs, F.col("doc_id") == F.col("d_id")).drop("d_id")
+    return cut_lineage(labels.join(docs, F.col("doc_id") == F.col("d_id")).drop("d_id"))
 
 
 DOCS_SRC = f"""(SELECT l.doc_id, CASE WHEN {row_hash_sql(['l.doc_id'], 42, 'quality')} % 10 <> 0 THEN quality END AS quality, toxic, lang, source, n_chars,
