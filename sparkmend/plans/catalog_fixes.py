@@ -300,11 +300,13 @@ TGT = "l_quantity"
 TGT_SQL = "l_quantity"
 
 
-def lineitem_corr_frame(spark, sf):
-    """lineitem plus two noisy copies of l_quantity (the target here), so
-    the weak-feature step drops the unrelated columns and the redundancy
-    step has a pair to act on."""
+def lineitem_corr_frame(spark, sf, cols=None):
+    """lineitem (``cols`` of it, spread over the cores) plus two noisy copies of
+    l_quantity (the target here), so the weak-feature step drops the unrelated
+    columns and the redundancy step has a pair to act on."""
     d = T(spark, sf, "lineitem")
+    if cols is not None:
+        d = io.spread(d.select(*cols))
     keys = ["l_orderkey", "l_linenumber", "l_partkey"]
     noise1 = (row_hash(keys, 42, "copy") % 1000) / 1000.0
     noise2 = (row_hash(keys, 42, "noisy") % 1000) / 100.0

@@ -5,7 +5,9 @@ user steps and the whole pipeline (SURVEY 2.3, 2.4 metrics, 2.9-2.11,
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from ..operators import models as M
 from ..operators import profile as P
 from ..operators import split as S
 from ..operators import tune as TU
+from ..session import cut_lineage
 from ..sources import io
 from . import catalog_fixes as FXQ
 from .catalog_profile import EVENT_COLS, documents_faulted, documents_health
@@ -121,7 +124,7 @@ TREE_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def noisy_split(spark, sf):
-    d = FXQ.lineitem_corr_frame(spark, sf)
+    d = FXQ.lineitem_corr_frame(spark, sf, ["l_orderkey", "l_linenumber", "l_partkey", *TREE_FEATS])
     return S.train_test_split(d.withColumn("band", F.expr(_BAND)).withColumn("half", F.expr(_HALF)), "l_orderkey")
 
 
@@ -190,14 +193,26 @@ SELECT l_orderkey, l_linenumber, s.{label} AS label, true AS seen_label,
        true AS as_good FROM s WHERE is_test"""
 
 
+@contextmanager
+def _kept(train, *cols):
+    """These columns of the training rows, hashed and split once for all passes of
+    a fit: in memory, on disk where that lacks, released at the end."""
+    narrow = train.select(*cols).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield narrow
+    finally:
+        narrow.unpersist()
+
+
 def _classify(spark, sf, label, model, params):
     d = noisy_split(spark, sf)
-    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    fit = M.fit_classifier(train, TREE_FEATS, label, model, params)
-    out = fit.predict(test)
+    test = d.where(F.col("is_test"))
     w = Window.partitionBy("l_quantity").orderBy(F.col("n").desc(), F.col(label))
-    best = train.groupBy("l_quantity", label).agg(F.count("*").alias("n")).withColumn("r", F.row_number().over(w))
-    best = best.where("r = 1").select("l_quantity", F.col(label).alias("guess"))
+    with _kept(d.where(~F.col("is_test")), *TREE_FEATS, label) as train:
+        fit = M.fit_classifier(train, TREE_FEATS, label, model, params)
+        best = cut_lineage(train.groupBy("l_quantity", label).agg(F.count("*").alias("n")))
+    out = fit.predict(test)
+    best = best.withColumn("r", F.row_number().over(w)).where("r = 1").select("l_quantity", F.col(label).alias("guess"))
     both = out.join(best, "l_quantity", "left")
     got, lookup = both.agg(M.accuracy_expr(label, "pred_label"), F.avg((F.col(label) == F.col("guess")).cast("double"))).first()
     return out.select(
@@ -226,11 +241,12 @@ SELECT l_orderkey, l_linenumber, round(l_qty_noisy, 6) AS l_qty_noisy, true AS i
 )
 def q_fit_gbt_regressor(spark, sf):
     d = noisy_split(spark, sf)
-    train, test = d.where(~F.col("is_test")), d.where(F.col("is_test"))
-    mdl = M.fit_gbt_regressor(train, TREE_FEATS, "l_qty_noisy", {"n_estimators": 100, "max_depth": 4, "learning_rate": 0.1})
+    test, y = d.where(F.col("is_test")), F.col("l_qty_noisy")
+    with _kept(d.where(~F.col("is_test")), *TREE_FEATS, "l_qty_noisy") as train:
+        mdl = M.fit_gbt_regressor(train, TREE_FEATS, "l_qty_noisy", {"n_estimators": 100, "max_depth": 4, "learning_rate": 0.1})
+        best = cut_lineage(train.groupBy("l_quantity").agg(F.avg(y).alias("guess"), F.min(y).alias("lo"), F.max(y).alias("hi")))
     out = M.predict_regressor(mdl, test, TREE_FEATS, "prediction")
-    lo, hi = train.agg(F.min("l_qty_noisy"), F.max("l_qty_noisy")).first()
-    best = train.groupBy("l_quantity").agg(F.avg("l_qty_noisy").alias("guess"))
+    lo, hi = best.agg(F.min("lo"), F.max("hi")).first()
     both = out.join(best, "l_quantity", "left")
     got, lookup = both.agg(M.rmse_expr("l_qty_noisy", "prediction"), M.rmse_expr("l_qty_noisy", "guess")).first()
     pad = (hi - lo) / 10  # boosted sums may step a little outside
@@ -252,7 +268,8 @@ _CUT_SRC = f"""(SELECT l_orderkey, l_linenumber, CAST(round(l_discount * 100) AS
 
 
 def _cut_split(spark, sf):
-    d = T(spark, sf, "lineitem").withColumn("disc", F.round(F.col("l_discount") * 100).cast("int")).withColumn("tax", F.round(F.col("l_tax") * 100).cast("int"))
+    d = io.spread(T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_discount", "l_tax"))
+    d = d.withColumn("disc", F.round(F.col("l_discount") * 100).cast("int")).withColumn("tax", F.round(F.col("l_tax") * 100).cast("int"))
     d = d.withColumn("zone", F.expr(_ZONE)).withColumn("pair", F.expr(_PAIR)).withColumn("step", F.expr(_STEP).cast("double"))
     d = S.train_test_split(d, "l_orderkey")
     return d.where(~F.col("is_test")), d.where(F.col("is_test"))
@@ -260,7 +277,8 @@ def _cut_split(spark, sf):
 
 def _cut_classes(spark, sf, label, model, params):
     train, test = _cut_split(spark, sf)
-    fit = M.fit_classifier(train, _CUT_FEATS, label, model, params)
+    with _kept(train, *_CUT_FEATS, label) as rows:
+        fit = M.fit_classifier(rows, _CUT_FEATS, label, model, params)
     return fit.predict(test).select("l_orderkey", "l_linenumber", F.col(label).alias("label"), F.col("pred_label").alias("prediction"))
 
 
@@ -277,7 +295,8 @@ def q_fit_gbt_classifier_cuts(spark, sf):
 @query("fit_gbt_regressor_cuts", f"SELECT l_orderkey, l_linenumber, CAST({_STEP} AS DOUBLE) AS y, CAST({_STEP} AS DOUBLE) AS prediction FROM {_CUT_SRC} WHERE is_test")
 def q_fit_gbt_regressor_cuts(spark, sf):
     train, test = _cut_split(spark, sf)
-    mdl = M.fit_gbt_regressor(train, _CUT_FEATS, "step", {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1})
+    with _kept(train, *_CUT_FEATS, "step") as rows:
+        mdl = M.fit_gbt_regressor(rows, _CUT_FEATS, "step", {"n_estimators": 30, "max_depth": 3, "learning_rate": 0.1})
     out = M.predict_regressor(mdl, test, _CUT_FEATS, "prediction")
     return out.select("l_orderkey", "l_linenumber", F.col("step").alias("y"), F.round("prediction", 3).alias("prediction"))
 

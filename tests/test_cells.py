@@ -109,3 +109,55 @@ def test_forests_keep_the_node_of_each_row(rows, small, monkeypatch):
 
 def test_a_task_fits_few_thousand_rows():
     assert C.PER_TASK <= C.ROWS  # a forest's rows meet every tree: 65,536 units keep eight tasks busy
+
+
+def test_counting_values_reads_the_rows_once(spark, small):
+    """One pass tells features of many values from those of few (two scans in Python before)."""
+    acc = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def seen(x):
+        acc.add(1)
+        return float(x)
+
+    for k in (31, 32, 33, 40):
+        df = spark.range(2000).select((F.col("id") % k * 1.7 - 3.4).alias("a"), F.when(F.col("id") > 9, F.col("id") % 7 + 0.5).alias("b"), F.lit(float("nan")).alias("c"))
+        assert C._few_values(df, ["a", "b", "c"]) == (2000, [k <= C.BINS, True, True])
+    df = spark.range(2000).select(seen("id").alias("a"))
+    assert C._few_values(df, ["a"]) == (2000, [False])
+    assert acc.value == 2000
+    zeros = spark.range(2000).select(F.expr("if(id % 2 = 0, -0.0D, 0.0D) + id % 32").alias("a"), F.lit(None).cast("double").alias("b"))
+    assert C._few_values(zeros, ["a", "b"]) == (2000, [True, True])
+
+
+def test_rows_of_one_task_are_spread(spark, monkeypatch):
+    from sparkmend.sources import io
+
+    one = spark.range(0, 4000, 1, 1).withColumn("k", F.lit(1))
+    assert io.spread(one).rdd.getNumPartitions() == 1  # too few rows for a shuffle
+    monkeypatch.setattr(io, "SPREAD_ROWS", 100)
+    got = io.spread(one)
+    per = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(per) == 4000 and max(per) <= 2000 and got.columns == ["id", "k"]
+    assert got.agg(F.sum("id")).first()[0] == 3999 * 2000
+    even = spark.range(0, 4000, 1, 64)
+    assert io.spread(even) is even and io.spread(one.where("false")).count() == 0
+
+
+def test_training_rows_are_released(spark):
+    from sparkmend.plans import catalog_models as CM
+
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    d = spark.range(100).withColumn("x", F.col("id") * 2)
+    with CM._kept(d, "x") as kept:
+        assert kept.columns == ["x"] and kept.storageLevel.useMemory and kept.storageLevel.useDisk
+        kept.count()
+    assert not kept.storageLevel.useMemory
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == before
+
+
+def test_texts_are_measured_once(spark):
+    from sparkmend.plans.catalog_profile import documents_faulted
+
+    plan = documents_faulted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan and "parquet" not in plan
