@@ -204,6 +204,11 @@ def _kept(train, *cols):
         narrow.unpersist()
 
 
+def _joinable(guesses, most=100_000):
+    """A stored look-up table, broadcast up to so many rows: the test rows stay where they are."""
+    return F.broadcast(guesses) if guesses.limit(most + 1).count() <= most else guesses
+
+
 def _classify(spark, sf, label, model, params):
     d = noisy_split(spark, sf)
     test = d.where(F.col("is_test"))
@@ -213,7 +218,7 @@ def _classify(spark, sf, label, model, params):
         best = cut_lineage(train.groupBy("l_quantity", label).agg(F.count("*").alias("n")))
     out = fit.predict(test)
     best = best.withColumn("r", F.row_number().over(w)).where("r = 1").select("l_quantity", F.col(label).alias("guess"))
-    both = out.join(best, "l_quantity", "left")
+    both = out.join(_joinable(best), "l_quantity", "left")
     got, lookup = both.agg(M.accuracy_expr(label, "pred_label"), F.avg((F.col(label) == F.col("guess")).cast("double"))).first()
     return out.select(
         "l_orderkey", "l_linenumber", F.col(label).alias("label"), F.col("pred_label").isin(fit.indexer.labels).alias("seen_label"),
@@ -247,7 +252,7 @@ def q_fit_gbt_regressor(spark, sf):
         best = cut_lineage(train.groupBy("l_quantity").agg(F.avg(y).alias("guess"), F.min(y).alias("lo"), F.max(y).alias("hi")))
     out = M.predict_regressor(mdl, test, TREE_FEATS, "prediction")
     lo, hi = best.agg(F.min("lo"), F.max("hi")).first()
-    both = out.join(best, "l_quantity", "left")
+    both = out.join(_joinable(best), "l_quantity", "left")
     got, lookup = both.agg(M.rmse_expr("l_qty_noisy", "prediction"), M.rmse_expr("l_qty_noisy", "guess")).first()
     pad = (hi - lo) / 10  # boosted sums may step a little outside
     return rounded(

@@ -161,3 +161,14 @@ def test_texts_are_measured_once(spark):
 
     plan = documents_faulted(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "text" not in plan and "parquet" not in plan
+
+
+def test_small_lookups_are_broadcast(spark):
+    from sparkmend.plans import catalog_models as CM
+    from sparkmend.session import cut_lineage
+
+    best = cut_lineage(spark.range(50).withColumnRenamed("id", "k"))
+    rows = spark.range(1000).select((F.col("id") % 60).alias("k"))
+    for most, kind in ((50, "BroadcastHashJoin"), (49, "SortMergeJoin")):
+        joined = rows.join(CM._joinable(best, most), "k", "left")
+        assert kind in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 1000
