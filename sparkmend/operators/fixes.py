@@ -12,7 +12,7 @@ import json
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -50,11 +50,12 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str = "mean", fit_on: D
     return df.withColumns(repl)
 
 
-def few_levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list | None:
+def few_levels(df: DataFrame, col: str, max_levels: int | None = MAX_LEVELS) -> list | None:
     """Sorted distinct non-missing levels, None if there are more than
-    ``max_levels`` (a distinct + limit job)."""
-    rows = df.select(F.col(q(col))).where(F.col(q(col)).isNotNull()).distinct().limit(max_levels + 1).collect()
-    return sorted(r[0] for r in rows) if len(rows) <= max_levels else None
+    ``max_levels`` (a distinct + limit job; without a limit: all of them)."""
+    found = df.select(F.col(q(col))).where(F.col(q(col)).isNotNull()).distinct()
+    rows = (found if max_levels is None else found.limit(max_levels + 1)).collect()
+    return sorted(r[0] for r in rows) if max_levels is None or len(rows) <= max_levels else None
 
 
 def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
@@ -65,12 +66,17 @@ def levels(df: DataFrame, col: str, max_levels: int = MAX_LEVELS) -> list:
     return found
 
 
-def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_levels: int = MAX_LEVELS, fit_on: DataFrame | None = None) -> DataFrame:
+def level_column(col: str, level) -> Column:
+    """The 0/1 column of one level, named col_level; missing -> 0."""
+    return F.col(q(col)).eqNullSafe(F.lit(level)).cast("int").alias(f"{col}_{level}")
+
+
+def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_levels: int | None = MAX_LEVELS, fit_on: DataFrame | None = None) -> DataFrame:
     """One 0/1 column per sorted level named col_level, first level dropped,
     missing -> all 0; the source column is removed and the dummies go to
     the end (in column, then level order).  A column of more than
     ``max_levels`` levels becomes one sparse vector col_vec of the same slots
-    instead (``one_hot_vector``)."""
+    instead (``one_hot_vector``); with None every level has its column."""
     src = df if fit_on is None else fit_on
     known = {c: few_levels(src, c, max_levels) for c in cols}
     for c in [c for c in cols if known[c] is None]:
@@ -79,7 +85,7 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = True, max_lev
     dummies = []
     for c, lv in known.items():
         for v in (lv or [])[1 if drop_first else 0 :]:
-            dummies.append(F.col(q(c)).eqNullSafe(F.lit(v)).cast("int").alias(f"{c}_{v}"))
+            dummies.append(level_column(c, v))
     return df.select(*keep, *dummies)
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..config import DEFAULT_CORR, DEFAULT_FEATURES, DEFAULT_PROFILE, CorrelationConfig, FeatureConfig, ProfileConfig
 from ..operators import correlate as C
@@ -74,8 +75,7 @@ def run_pipeline(
         out["features_log"] = log
         kept = [x["feature_name"] for x in log.where("kept").collect()]
         note("features", "ok", "kept", len(kept), ",".join(kept))
-        encoded = _encoded(final, levels)
-        filtered, report, drop_report, heat = C.filter_features(encoded.drop("is_test"), target, ccfg)
+        filtered, report, drop_report, heat = C.filter_features(final, target, ccfg, levels, ~F.col("is_test"))
         out["drop_report"], out["heatmap"], final, levels = drop_report, heat, filtered, []
         note("filter", "ok", "features_after", report["n_features_after"], f"low={report['dropped_low_target_corr']} redundant={report['dropped_redundant']}")
     except Exception as exc:  # the partial result is kept
@@ -87,6 +87,6 @@ def run_pipeline(
 
 
 def _encoded(df: DataFrame, levels: list[str]) -> DataFrame:
-    """Text columns that the plan encodes as 0/1 columns (a vector beyond
-    ``MAX_LEVELS`` levels), levels taken from the training rows."""
-    return FX.one_hot(df, levels, fit_on=df.where("NOT is_test")) if levels else df
+    """Text columns that the plan encodes as 0/1 columns, one per level however
+    many there are, levels taken from the training rows."""
+    return FX.one_hot(df, levels, max_levels=None, fit_on=df.where("NOT is_test")) if levels else df
